@@ -86,12 +86,13 @@ def mix_rates(sizes: DataFrame, targets: DataFrame, total: float | None = None)
     return named.withColumn("rate", F.when(there, F.least(F.col("max_repeats").cast("double"), F.col("share") * F.col("total") / F.col("available"))).otherwise(0.0))
 
 
-def _stage(df: DataFrame, groups_of: DataFrame | None, seed: int, last: bool) -> DataFrame:
+def _stage(df: DataFrame, seed: int, last: bool) -> DataFrame:
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id", kind="stable")
         rng = np.random.default_rng([seed, abs(hash_text(f"{key[0]}|{key[1]}")), int(key[2])])
         tokens = [float(x) for x in pdf["tokens"]]
-        order = rng.permutation(len(tokens))
+        # large documents are decided first, in random order within a size class, so that what stays open is small
+        order = np.lexsort((rng.random(len(tokens)), -np.floor(2 * np.log2(tokens))))
         p, t = [float(pdf["p"].iloc[i]) for i in order], [tokens[i] for i in order]
         p = flight(p, t, rng)
         if last:
@@ -127,7 +128,7 @@ def choose(items: DataFrame, targets: DataFrame, total: float | None = None, see
         g = F.pmod(F.xxhash64("doc_id", "mix_id", F.lit(seed + level)), F.col("groups"))
         most = (rates.agg(F.max("docs")).first()[0] or 0) if level == 0 else most_open
         last = most <= per_group
-        staged = _stage(open_.withColumn("grp", F.lit(0).cast("long") if last else g), None, seed + level, last).drop("grp")
+        staged = _stage(open_.withColumn("grp", F.lit(0).cast("long") if last else g), seed + level, last).drop("grp")
         if last:
             settled.append(staged)
             break

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from reqloom.llm import mixing, packing, percentiles, pieces
+from reqloom.llm import mixing, packing, pairs, percentiles, pieces
 
 QUERIES = {
     "p3_found": pieces.p3_found,
     "p3_pieces": pieces.p3_pieces,
     "p4_percentiles": percentiles.p4_percentiles,
     "p4_daily_sketches": percentiles.p4_daily_sketches,
+    "p5_found": pairs.p5_found,
     "p7_containers": packing.p7_containers,
     "p8_mix_documents": mixing.p8_mix_documents,
     "p8_shares": mixing.p8_shares,
