@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from reqloom.llm import mixing, packing, pairs, percentiles, pieces
+from reqloom.llm import mixing, neardup, packing, pairs, percentiles, pieces
 
 QUERIES = {
+    "p2_found": neardup.p2_found,
+    "p2_groups": neardup.p2_groups,
     "p3_found": pieces.p3_found,
     "p3_pieces": pieces.p3_pieces,
     "p4_percentiles": percentiles.p4_percentiles,
@@ -16,6 +18,12 @@ QUERIES = {
 }
 
 SQL = {
+    "p2_found": """WITH docs AS (SELECT DISTINCT req_id, list_transform(regexp_extract_all(coalesce(title, '') || ' ' || text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS w
+        FROM requirements WHERE req_id IS NOT NULL AND len(regexp_extract_all(text, '[A-Za-z0-9]+')) >= 25),
+      grams AS (SELECT DISTINCT req_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM docs, unnest(range(1, len(w) - 1)) AS t(i)),
+      sizes AS (SELECT req_id, count(*) AS n FROM grams GROUP BY 1),
+      shared AS (SELECT a.req_id AS req_id_a, b.req_id AS req_id_b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.req_id < b.req_id GROUP BY ALL)
+      SELECT req_id_a, req_id_b FROM shared s JOIN sizes x ON x.req_id = req_id_a JOIN sizes y ON y.req_id = req_id_b WHERE s.n >= 0.6 * (x.n + y.n - s.n)""",
     "p3_found": """WITH items AS (
         SELECT DISTINCT 'requirements' AS item_table, rec_id AS item_id, text FROM requirements WHERE length(text) > 2000
         UNION ALL SELECT DISTINCT 'spec_sections', sec_id, text FROM spec_sections WHERE length(text) > 2000)
