@@ -108,7 +108,7 @@ def _first_column(n: int, least: int):
                 keys.append(prefix_keys(trees, minima(s, slice(None), slice(0, BASE))).view(np.int64))
             yield pd.DataFrame({"id": ids, "id2": ids2, "m": ms, "keys": keys})
 
-    return first
+    return first.asNondeterministic()  # else a filter on its result would run it once more
 
 
 def _set_column(n: int):

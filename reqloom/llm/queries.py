@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reqloom.llm import mixing, neardup, packing, pairs, percentiles, pieces
+from reqloom.llm import langid, mixing, neardup, packing, pairs, percentiles, pieces
 
 QUERIES = {
     "p2_found": neardup.p2_found,
@@ -15,6 +15,9 @@ QUERIES = {
     "p7_containers": packing.p7_containers,
     "p8_mix_documents": mixing.p8_mix_documents,
     "p8_shares": mixing.p8_shares,
+    "p9_found": langid.p9_found,
+    "p9_documents": langid.p9_documents,
+    "p9_passages": langid.p9_passages,
 }
 
 SQL = {
