@@ -3,7 +3,8 @@
 Features of a word are its affixes, its hashed character n-grams, its scripts and the lexicons it is in; the model has a
 weight for each feature and language and one for each transition between languages. It is trained here, on sentences of
 at most ``SAMPLE`` documents of at most ``SAMPLE_CHARS`` characters (the smallest hashes of doc_id, a documented bound)
-whose language the lexicons settle; sentences are strung together with switches, so that transitions are learned from
+whose language the lexicons settle, starting from weights that say what lexicons and scripts say (with fewer than
+``LEAST_SENTENCES`` sentences those stay as they are); sentences are strung together with switches, so that transitions are learned from
 code-switched text. Everything else covers all documents and whole texts: forward-backward gives every word its
 language distribution, words add up to sentences, sentences to passages and documents.
 
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from reqloom.llm.languages import LANGS, OF_WORD, is_cyrillic, is_han, is_kana, language_of_label
 from reqloom.sources.tables import table
 
-SAMPLE, SAMPLE_CHARS, PER_LANGUAGE = 4000, 4000, 500
+SAMPLE, SAMPLE_CHARS, PER_LANGUAGE, LEAST_SENTENCES = 4000, 4000, 500, 100
 WORDS, SURE = 3, 0.6
 L = len(LANGS)
 BUCKETS = 1 << 15
@@ -212,10 +213,10 @@ def train(texts: list[str], rounds: int = 60, seed: int = 5) -> tuple[np.ndarray
     first = np.concatenate([[0], np.cumsum(words)[:-1]])
     by_lang = [rng.permutation(np.flatnonzero(clear & (label == k)))[:PER_LANGUAGE] for k in range(L)]
     use = np.concatenate(by_lang)
-    weights = np.zeros((BUCKETS, L))
-    trans = np.zeros((L, L))
-    if not len(use):
-        return seed_weights(), np.exp(np.eye(L) * 2)
+    weights = seed_weights().astype(np.float64)
+    trans = np.eye(L) * 2
+    if len(use) < LEAST_SENTENCES:
+        return weights.astype(np.float32), np.exp(trans).astype(np.float32)
     # strings of three sentences, a third of the joints switching at random, the others within a language
     order = use.copy()
     swap = rng.random(len(order)) < 0.3
@@ -254,10 +255,6 @@ def train(texts: list[str], rounds: int = 60, seed: int = 5) -> tuple[np.ndarray
             m[i] = 0.9 * m[i] + 0.1 * x
             v[i] = 0.98 * v[i] + 0.02 * x * x
             w += rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.98**step)) + 1e-7)
-    # a language without sentences in the sample keeps what its lexicon and script say
-    absent = np.array([len(b) < 5 for b in by_lang])
-    if absent.any():
-        weights[:, absent] = seed_weights()[:, absent]
     return weights.astype(np.float32), np.exp(trans).astype(np.float32)
 
 

@@ -6,8 +6,8 @@ document's inclusion probability for one copy more. The cube method turns the fr
 totals of every source, documents and tokens: it takes three documents that are still undecided, and moves their
 probabilities along the null-space of the two constraints, (t2 - t3, t3 - t1, t1 - t2), until one hits 0 or 1. That runs
 in groups of about ``GROUP`` documents; each leaves at most two undecided ones (or a few with equal sizes), which are
-grouped again until one small landing problem remains per source; there the last ones are drawn one at a time, each time
-with its own probability corrected by the drift of the tokens so far.
+grouped again until one small landing problem remains per source; there the document total is given up and the tokens
+are kept to the end, so that a source misses its tokens by less than one document.
 
 Defined results: a source with no tokens can give nothing; it is reported with share 0 and the others keep their
 proportions. Documents without tokens, without a source or of a source that the mix does not name are never chosen.
@@ -63,13 +63,21 @@ def flight(p: list[float], t: list[float], rng: np.random.Generator) -> list[flo
 
 
 def land(p: list[float], t: list[float], rng: np.random.Generator) -> list[float]:
-    """Decides the last undecided ones, each with its probability corrected by the drift of the tokens so far."""
-    p, drift = list(p), 0.0
-    for i in sorted((i for i in range(len(p)) if EPS < p[i] < 1 - EPS), key=lambda i: -t[i]):
-        q = min(1.0, max(0.0, p[i] - drift / t[i]))
-        took = 1.0 if rng.random() < q else 0.0
-        drift += (took - p[i]) * t[i]
-        p[i] = took
+    """The landing: the document total is given up, and the undecided move in pairs along (t2, -t1), which keeps the
+    tokens, until a single one is left; it is drawn with its probability. The tokens end within one document."""
+    p = list(p)
+    live = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
+    while len(live) > 1:
+        a, b = live[-2:]
+        x, y = t[b], t[a]
+        up, down = min((1 - p[a]) / x, p[b] / y), min(p[a] / x, (1 - p[b]) / y)
+        step = up if rng.random() * (up + down) < down else -down
+        for k, d in ((a, x), (b, -y)):
+            v = p[k] + step * d
+            p[k] = 0.0 if v < EPS else 1.0 if v > 1 - EPS else v
+        live = [i for i in live if EPS < p[i] < 1 - EPS]
+    for i in live:
+        p[i] = 1.0 if rng.random() < p[i] else 0.0
     return p
 
 
