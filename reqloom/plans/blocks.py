@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from reqloom.functions.plugins import embedding_column
 from reqloom.operators import blocks as b
+from reqloom.operators.parser import parse_documents
+from reqloom.operators.retrieval import chunks
+
+
+
+def embedded(spark, base):
+    """Every chunk with its hashed embedding (the plug-in's default)."""
+    c = chunks(spark, base)
+    return c.select("chunk_id", embedding_column()("text").alias("embedding"))
+
 
 QUERIES = {
+    "stateful_parse": parse_documents,
+    "udf_embed": embedded,
     "block_explode": b.reindexed,
     "block_type_cube": b.type_counts,
     "block_type_filter": b.table_blocks,
