@@ -12,9 +12,10 @@ Defined results: null texts are empty; blocks without an index come first; docum
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,53 +202,70 @@ def parse(rows: list[dict], p: Profile = Profile()) -> tuple[list[Section], list
     return sections + children, dropped, terms
 
 
-def _rows(pdf: pd.DataFrame) -> list[dict]:
-    pdf = pdf.sort_values("idx", na_position="first", kind="stable")
-    out = []
-    for r in pdf.to_dict("records"):
-        r["size"] = None if pd.isna(r["size"]) else r["size"]
-        r["struck"] = bool(r["struck"]) if not pd.isna(r["struck"]) else False
-        r["idx"] = -1 if pd.isna(r["idx"]) else int(r["idx"])
-        r["page"] = 0 if pd.isna(r["page"]) else int(r["page"])
-        r["rows"] = [list(x) for x in r["rows"]] if r["rows"] is not None else []
-        r["headers"] = list(r["headers"]) if r["headers"] is not None else []
-        out.append(r)
-    return out
+COLUMNS = ["doc_id", "idx", "page", "type", "text", "struck", "size", "headers", "rows"]
 
 
-COLUMNS = ["doc_id", "idx", "page", "type", "text", "struck", "size", "headers", "rows"]
+def _row(r: dict) -> dict:
+    return {
+        "idx": -1 if r["idx"] is None else r["idx"], "page": r["page"] or 0, "type": r["type"] or "paragraph", "text": r["text"], "struck": bool(r["struck"]),
+        "size": r["size"], "headers": r["headers"] or [], "rows": r["rows"] or [],
+    }
+
+
+def _scan(blocks: DataFrame, make: Callable[[str | None, list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Calls `make` with every document's blocks in order. Documents are brought together by one shuffle and a sort; they
+    stream through Arrow batches, so that a task holds one document at a time and pays nothing per group."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: list[dict] = []
+        out: list[tuple] = []
+
+        def table() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), type=arrow[n]) for n, c in zip(names, cols, strict=True)], names=names)
+
+        arrow = {n: {"string": pa.string(), "int": pa.int32()}[k] for n, k in (c.split() for c in schema.split(", "))}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if doc and r["doc_id"] != doc[0]["doc_id"]:
+                    out += make(doc[0]["doc_id"], [_row(x) for x in doc])
+                    doc = []
+                doc.append(r)
+            if out:
+                yield table()
+                out = []
+        if doc:
+            out += make(doc[0]["doc_id"], [_row(x) for x in doc])
+        if out:
+            yield table()
+
+    return blocks.select(*COLUMNS).repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_first("idx")).mapInArrow(run, schema)
 
 
 def parse_sections(blocks: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """Sections and table-anchored requirements (these have no section number of their own)."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sections, _, _ = parse(_rows(pdf), profile)
+    def one(doc: str | None, rows: list[dict]) -> list[tuple]:
+        sections, _, _ = parse(rows, profile)
         numbers = {s.number for s in sections if s.number}
         out = []
         for i, s in enumerate(sections):
             up = s.number.rpartition(".")[0]
             parent = s.title if s.merged else (up if up in numbers else None)
-            out.append((key[0], i, s.number or None, None if s.merged else s.title, s.req_id or None, "\n".join(s.text), len(s.tables), s.images, parent, s.idx, s.last))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SECTION.split(", ")])
+            out.append((doc, i, s.number or None, None if s.merged else s.title, s.req_id or None, "\n".join(s.text), len(s.tables), s.images, parent, s.idx, s.last))
+        return out
 
-    return blocks.select(*COLUMNS).groupBy("doc_id").applyInPandas(one, SECTION)
+    return _scan(blocks, one, SECTION)
 
 
 def parse_dropped(blocks: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """The audit of dropped blocks with their reasons."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *d) for d in parse(_rows(pdf), profile)[1]], columns=["doc_id", "idx", "page", "reason"])
-
-    return blocks.select(*COLUMNS).groupBy("doc_id").applyInPandas(one, DROPPED)
+    return _scan(blocks, lambda doc, rows: [(doc, *d) for d in parse(rows, profile)[1]], DROPPED)
 
 
 def parse_definitions(blocks: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], k, v) for k, v in parse(_rows(pdf), profile)[2].items()], columns=["doc_id", "term", "expansion"])
-
-    return blocks.select(*COLUMNS).groupBy("doc_id").applyInPandas(one, "doc_id string, term string, expansion string")
+    return _scan(blocks, lambda doc, rows: [(doc, k, v) for k, v in parse(rows, profile)[2].items()], "doc_id string, term string, expansion string")
 
 
 def parse_documents(spark, base: str) -> DataFrame:

@@ -50,18 +50,21 @@ def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, asked: DataFrame, id_: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """qid, chunk, score of every chunk that shares a term with the question; repeated terms count repeatedly.
 
-    Terms in more than half of the texts get epsilon times the mean idf, as the reference's public scorer does.
+    Texts are tokenised once, into a written table. Document frequencies of all terms combine before the shuffle; only
+    occurrences of terms that are asked for become postings. Terms in more than half of the texts get epsilon times the
+    mean idf, as the reference's public scorer does.
     """
-    post = postings(docs, id_, text)
-    stats = docs.select(F.size(tx.tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))  # one row
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    q = asked.select("qid", F.explode(tx.tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    # only the terms asked for meet postings
-    terms = q.join(idf, "term").crossJoin(F.broadcast(mean)).select("qid", "term", "qtf", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    tmp = Scratch(docs.sparkSession)
+    toks = tmp.save(docs.select(id_, tx.tokenize(F.col(text)).alias("ts")))
+    q = tmp.save(asked.select("qid", F.explode(tx.tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")))
+    stats = F.broadcast(toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl")))  # one row
+    df = toks.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = tmp.save(df.crossJoin(stats).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")))
+    mean = F.broadcast(idf.agg(F.avg("raw").alias("mean")))  # one row
+    terms = q.join(idf, "term").crossJoin(mean).select("qid", "term", "qtf", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    seen = toks.select(id_, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    hit = seen.groupBy("term", id_, "dl").agg(F.count("*").alias("tf")).join(terms, "term").crossJoin(stats)
     tf, dl = F.col("tf"), F.col("dl")
-    hit = post.join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
     return hit.groupBy("qid", id_).agg(F.sum(part).alias("score"))
 
@@ -159,7 +162,7 @@ def paired_questions(spark: SparkSession, base: str) -> DataFrame:
 
 def ranked_lists(spark: SparkSession, base: str, fan: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(questions, dense list, BM25 list): qid, chunk_id, score or distance, rank."""
-    q = paired_questions(spark, base)
+    q = Scratch(spark).save(paired_questions(spark, base))
     v = vectors(spark, base)
     dense = vector_search(v, v.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi"), fan).select("qid", F.col("vec_id").alias("chunk_id"), "distance", "rank")
     sparse = topk_per_group(bm25(chunks(spark, base), q).withColumn("score", F.round("score", 6)), ["qid"], [F.desc("score"), F.asc("chunk_id")], fan)
@@ -170,7 +173,8 @@ def fused(spark: SparkSession, base: str, weight: float = 0.5) -> DataFrame:
     """Reciprocal rank fusion of both lists (ties: the list and rank that had the chunk first)."""
     _, dense, sparse = ranked_lists(spark, base)
     f = rrf_fuse([dense, sparse], ["qid"], "chunk_id", k=RRF_K, weights=[1.0, weight]).withColumn("fused", F.round("fused", 9))
-    return topk_per_group(f, ["qid"], [F.desc("fused"), F.asc("first_list"), F.asc("first_rank")], 20).select("qid", "chunk_id", "fused", "rank")
+    top = topk_per_group(f, ["qid"], [F.desc("fused"), F.asc("first_list"), F.asc("first_rank")], 20).select("qid", "chunk_id", "fused", "rank")
+    return Scratch(spark).save(top)  # later stages read it more than once
 
 
 def diversity(ranked: DataFrame, k: int, plan: str = "plan_id") -> DataFrame:
@@ -183,7 +187,8 @@ def diversity(ranked: DataFrame, k: int, plan: str = "plan_id") -> DataFrame:
 
 
 def diverse(spark: SparkSession, base: str) -> DataFrame:
-    f = fused(spark, base).join(chunks(spark, base).select("chunk_id", "plan_id"), "chunk_id")
+    plans = table(spark, base, "requirements").where("req_id is not null").groupBy("req_id").agg(F.min("rec_id").alias("chunk_id"), F.min_by("plan_id", "rec_id").alias("plan_id"))
+    f = fused(spark, base).join(plans.select("chunk_id", "plan_id"), "chunk_id")
     # vectors without a requirement are no chunks: ranks close up first
     f = f.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
     return diversity(f, 10).select("qid", "chunk_id", "plan_id", "rank")
