@@ -6,9 +6,10 @@
    share the first `base` of them in some order are neighbours with a common prefix: one region of the sorted order.
    Only regions with two or more records go on; at the base depth a pair at the threshold is missed by all trees with
    probability (1 - threshold^base)^TREES: 0.0004 at 0.6, below 10^-5 at 0.7.
-3. Adaptive depth: a region of more than CROWD records is cut by the next min-hash of its order, region by region, until
-   it is small enough or DEPTH is reached. A region still crowded then holds nearly equal records whose pairs are results;
-   it is compared in blocks of CROWD, each block pair a group of its own. Nothing is capped or dropped.
+3. Adaptive depth: the records of a region of more than CROWD are sorted anew by longer prefixes, and by as many more
+   orders as that depth needs for the same chance of missing a pair (``orders``), until their regions are small enough
+   or DEPTH is reached. A region still crowded then holds nearly equal records whose pairs are results; it is compared
+   in blocks of CROWD, each block pair a group of its own. Nothing is capped or dropped.
 4. Every candidate pair whose sizes allow it is checked exactly on the two sets.
 
 Counts combine before the shuffle, no group holds more than CROWD (2 CROWD for block pairs) records.
@@ -19,6 +20,7 @@ deliveries and re-created records of one id are one record; equal ids never pair
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,18 +34,25 @@ from pyspark.sql import types as T
 from reqloom.operators.components import components
 from reqloom.sources.tables import Scratch, table
 
-TREES, BASE, DEPTH, CROWD = 32, 3, 8, 128
+BASE, DEPTH, CROWD, MISS = 3, 8, 128, 0.0005
+TREES = 32  # orders at the base depth
 _WORDS = re.compile(r"[A-Za-z0-9]+")
 _SEED = 20240607
 
 
+def orders(depth: int, threshold: float) -> int:
+    """Orders that a prefix length needs so that a pair at the threshold is missed by all with probability MISS at most."""
+    return math.ceil(math.log(MISS) / math.log(1 - threshold**depth))
+
+
 def _random(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-# one multiplier and one summand for each tree and depth
-_MUL = _random(TREES * DEPTH, _SEED).reshape(TREES, DEPTH)
-_ADD = _random(TREES * DEPTH, _SEED + 1).reshape(TREES, DEPTH)
+# one multiplier and one summand for each order and depth; orders beyond the base serve crowded regions only
+ORDERS = 512
+_MUL = _random(ORDERS * DEPTH, _SEED).reshape(ORDERS, DEPTH)
+_ADD = _random(ORDERS * DEPTH, _SEED + 1).reshape(ORDERS, DEPTH)
 _MIX = _random(DEPTH + 1, _SEED + 2)
 _SPREAD = _random(16, _SEED + 3)
 
@@ -105,7 +114,7 @@ def _first_column(n: int, least: int):
                     continue
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 ids.append((d & (2**64 - 1)) - 2**63), ids2.append((d >> 64) - 2**63), ms.append(len(s))
-                keys.append(prefix_keys(trees, minima(s, slice(None), slice(0, BASE))).view(np.int64))
+                keys.append(prefix_keys(trees, minima(s, slice(0, TREES), slice(0, BASE))).view(np.int64))
             yield pd.DataFrame({"id": ids, "id2": ids2, "m": ms, "keys": keys})
 
     return first.asNondeterministic()  # else a filter on its result would run it once more
@@ -121,18 +130,15 @@ def _set_column(n: int):
     return sets
 
 
-def _deeper_column(n: int):
-    """Keys of one tree at the depths BASE + 1 to DEPTH."""
+def _deeper_column(n: int, depth: int, count: int):
+    """Prefix keys of the first `count` orders at a depth."""
 
     @F.pandas_udf(_LONGS)
-    def deeper(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def deeper(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         cache: dict[bytes, int] = {}
-        for title, text, tree in batches:
-            out = []
-            for a, b, t in zip(title, text, tree, strict=True):
-                labels = minima(shingles(text_of(a, b), n, cache), int(t), slice(None))[None, :]
-                out.append([int(prefix_keys(np.array([t]), labels[:, :d]).view(np.int64)[0]) for d in range(BASE + 1, DEPTH + 1)])
-            yield pd.Series(out)
+        trees = np.arange(count)
+        for title, text in batches:
+            yield pd.Series([prefix_keys(trees, minima(shingles(text_of(a, b), n, cache), slice(0, count), slice(0, depth))).view(np.int64) for a, b in zip(title, text, strict=True)])
 
     return deeper
 
@@ -173,19 +179,17 @@ def similar_classes(tmp: Scratch, docs: DataFrame, n: int, threshold: float, lea
     rows = tmp.save(_regions(rows, "region_key"))
     found = [_pairs_in(rows.where(F.col("region") <= CROWD), "region_key")]
     crowded = rows.where(F.col("region") > CROWD)
-    if crowded.limit(1).count():
-        of = classes.select("id", "key").join(crowded.select("id").distinct(), "id", "left_semi").join(texts, "key").dropDuplicates(["id"]).select("id", "title", "text")
-        deep = crowded.select("id", "m", "tree").join(of, "id").select("id", "m", "tree", _deeper_column(n)("title", "text", "tree").alias("deep"))
-        deep = tmp.save(deep)
-        for d in range(DEPTH - BASE):
-            level = tmp.save(_regions(deep.withColumn("k", F.col("deep")[d]), "k"))
-            found.append(_pairs_in(level.where(F.col("region") <= CROWD), "k"))
-            crowded = level.where(F.col("region") > CROWD)
-            if not crowded.limit(1).count():
-                break
-            if d == DEPTH - BASE - 1:
-                found.append(_block_pairs(crowded, "k"))
-            deep = crowded.select("id", "m", "tree", "deep")
+    depth = BASE
+    while depth < DEPTH and crowded.limit(1).count():
+        depth += 1
+        ids = crowded.select("id", "m").distinct()
+        of = classes.select("id", "key").join(ids, "id").join(texts, "key").dropDuplicates(["id"])
+        keys = of.select("id", "m", F.explode(_deeper_column(n, depth, min(ORDERS, orders(depth, threshold)))("title", "text")).alias("k"))
+        level = tmp.save(_regions(keys, "k"))
+        found.append(_pairs_in(level.where(F.col("region") <= CROWD), "k"))
+        crowded = level.where(F.col("region") > CROWD)
+        if depth == DEPTH:
+            found.append(_block_pairs(crowded, "k"))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)

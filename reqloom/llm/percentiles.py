@@ -48,11 +48,11 @@ def merge(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: Sequence[str], shares: Sequence[float] = SHARES, k: int = K) -> DataFrame:
-    """The percentiles of each sketch with the bound of their rank error."""
+    """The percentiles of each sketch with the bound of their rank error, and the sketch itself, which can be merged further."""
     q = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(float(s)) for s in shares]))
     cols = [F.element_at("q", i + 1).alias(f"p{s * 100:g}".replace(".", "_")) for i, s in enumerate(shares)]
     error = F.when(F.col("n") < k, 0.0).otherwise(rank_error(k)).alias("rank_error")
-    return sketches.withColumn("q", q).select(*keys, "n", "low", "high", *cols, error)
+    return sketches.withColumn("q", q).select(*keys, "n", "low", "high", *cols, error, "sketch")
 
 
 def daily_sketches(spark: SparkSession, base: str, k: int = K) -> DataFrame:

@@ -91,3 +91,19 @@ def test_short_sets(n):
 def test_recall_figure():
     assert (1 - 0.6**N.BASE) ** N.TREES < 0.0005
     assert Scratch is not None
+
+
+def test_crowded_region_keeps_pairs_at_the_threshold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "CROWD", 8)
+    rnd = random.Random(9)
+    base = [rnd.choice(VOCAB) for _ in range(120)]
+    rows = []
+    for i in range(70):  # one boilerplate, each with enough words of its own that pairs lie around 0.6
+        w = list(base)
+        for _ in range(rnd.randint(4, 12)):
+            w[rnd.randrange(120)] = f"own{rnd.randrange(4000)}"
+        rows.append((f"c{i:03d}", "same title", " ".join(w)))
+    got, _ = run(spark, rows, tmp_path)
+    want = brute(rows)
+    assert 300 < len(want) < 70 * 69 // 2 - 300
+    assert got <= want and len(want - got) <= 0.005 * len(want)
