@@ -237,6 +237,8 @@ def truncated(answer: str) -> bool:
         return True
     lines = [x for x in s.split("\n") if x.strip()]
     last = lines[-1].strip()
+    if len(lines) > 1 and re.fullmatch(r"[-*•–+]|\(?\d{1,3}[.)]|\(?[a-z][.)]", last):
+        return True  # the mark of an item that never came
     if last.startswith("|"):
         rows = [x.strip() for x in lines if x.strip().startswith("|")]
         return not last.endswith("|") or len({r.count("|") for r in rows[:1] + rows[-1:]}) > 1

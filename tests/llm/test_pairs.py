@@ -8,6 +8,7 @@ GOOD = [
     "Yes", "No", "20", "425 seconds", "T5571", "see HL_REQ_SIMROAM_3321", "Yes, on NR only",
     "The plan lists:\n- leave LTE at once\n- keep the record unchanged",
     "Values:\n\n| Name | Value |\n|---|---|\n| cell | 3 |",
+    "Steps:\n1. Leave NR.\n2. Wait.",
     "Use this.\n```\nset cell=3\n```",
     "Sorry for the delay. The modem shall leave NR at once.",
     "The UE is unable to do so on its own. The modem shall wait for 5 seconds.",
@@ -27,7 +28,7 @@ def test_whole_answers(answer):
     [(a, "empty") for a in (None, "", " \n", "​", " ", "N/A", "none", "[]", "{}", "...", "—", "<p></p>", "``` ```", "(no answer)", "Answer:", '""')]
     + [(a, "copied") for a in (Q, Q.upper(), f'"{Q}"', f"Q: {Q}", f"You asked: {Q}", f"{Q} {Q}", Q.rstrip("?"))]
     + [(a, "refusal") for a in ("I'm sorry, but I can't help with that.", "No comment.", "Dazu kann ich leider keine Auskunft geben.", "回答は差し控えます。", "Не могу ответить на этот вопрос.", "As an assistant, that has to stay unanswered. Please rephrase the question.", "Sorry!", "Regarding the X: I have nothing I could tell you.")]
-    + [(a, "truncated") for a in ("The modem shall stop every attempt. It shall then retu", "The modem shall leave NR (see HL_REQ_", "Do this. ```\nset cell=3\nset t", "The modem shall stop. | Name | Value |\n|---|---|\n| cell", "The modem shall wait until...")]
+    + [(a, "truncated") for a in ("The modem shall stop every attempt. It shall then retu", "The modem shall leave NR (see HL_REQ_", "Do this. ```\nset cell=3\nset t", "The modem shall stop. | Name | Value |\n|---|---|\n| cell", "The modem shall wait until...", "Steps:\n1. Leave NR.\n2. Wait.\n3.", "Steps:\n1. Leave NR.\n2. Wri")]
     + [(a, "other_language") for a in ("Nur das Modem kann den Schlüssel ohne weitere Rückfrage verwerfen.", "如果网络没有响应，表中的数值158适用于所有设备。")],
 )
 def test_defects(answer, want):
