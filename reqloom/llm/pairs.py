@@ -67,7 +67,7 @@ leider|es tut mir leid|tut mir leid|entschuldigung|bitte|danke|désolé|malheure
 """.strip()
 
 # A line that announces the quotation of a question.
-ANNOUNCE = re.compile(r"^\W*(?:q|question|you asked|your question(?: was| is)?|you wrote|user|prompt|asked|the question (?:is|was)|frage|ihre frage|pregunta|pergunta|domanda|vraag|fråga|pytanie|вопрос|问题|問題|質問|問)\W*", re.I)
+ANNOUNCE = re.compile(r"^\W*(?:q|question|you asked|your question(?: was| is)?|you wrote|user|prompt|asked|the question (?:is|was)|frage|ihre frage|pregunta|pergunta|domanda|vraag|fråga|pytanie|вопрос|问题|問題|質問|問)(?![^\W_])\W*", re.I)
 
 # Words after which a sentence or an item cannot end.
 OPEN_WORDS = frozenset(

@@ -26,7 +26,7 @@ def test_whole_answers(answer):
 @pytest.mark.parametrize(
     ("answer", "want"),
     [(a, "empty") for a in (None, "", " \n", "​", " ", "N/A", "none", "[]", "{}", "...", "—", "<p></p>", "``` ```", "(no answer)", "Answer:", '""')]
-    + [(a, "copied") for a in (Q, Q.upper(), f'"{Q}"', f"Q: {Q}", f"You asked: {Q}", f"{Q} {Q}", Q.rstrip("?"))]
+    + [(a, "copied") for a in (Q, Q.upper(), f'"{Q}"', f"Q: {Q}", f"You asked: {Q}", f"Question: {Q}", f"{Q} {Q}", Q.rstrip("?"))]
     + [(a, "refusal") for a in ("I'm sorry, but I can't help with that.", "No comment.", "Dazu kann ich leider keine Auskunft geben.", "回答は差し控えます。", "Не могу ответить на этот вопрос.", "As an assistant, that has to stay unanswered. Please rephrase the question.", "Sorry!", "Regarding the X: I have nothing I could tell you.")]
     + [(a, "truncated") for a in ("The modem shall stop every attempt. It shall then retu", "The modem shall leave NR (see HL_REQ_", "Do this. ```\nset cell=3\nset t", "The modem shall stop. | Name | Value |\n|---|---|\n| cell", "The modem shall wait until...", "Steps:\n1. Leave NR.\n2. Wait.\n3.", "Steps:\n1. Leave NR.\n2. Wri")]
     + [(a, "other_language") for a in ("Nur das Modem kann den Schlüssel ohne weitere Rückfrage verwerfen.", "如果网络没有响应，表中的数值158适用于所有设备。")],
@@ -35,6 +35,11 @@ def test_defects(answer, want):
     assert P.defect(Q, answer) == want
 
 
+def test_short_question_behind_an_announcement():
+    assert P.defect("What is the default of ABCDE_FGHI_JKLM?", "Question: What is the default of ABCDE_FGHI_JKLM?") == "copied"
+    assert P.defect("Why?", "Question: why?") == "copied"
+
+
 def test_language_asked_for():
     a = "Nur das Modem kann den Schlüssel ohne weitere Rückfrage verwerfen."
     assert P.defect(Q + " Please answer in German.", a) is None
