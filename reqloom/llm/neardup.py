@@ -10,7 +10,9 @@
    orders as that depth needs for the same chance of missing a pair (``orders``), until their regions are small enough
    or DEPTH is reached. A region still crowded then holds nearly equal records whose pairs are results; it is compared
    in blocks of CROWD, each block pair a group of its own. Nothing is capped or dropped.
-4. Every candidate pair whose sizes allow it is checked exactly on the two sets.
+4. Candidate pairs whose sizes allow it meet their sketches, two bits of each of the 96 base min-hashes: a pair at the
+   threshold differs from what is expected by more than ``SIGMAS`` standard deviations with probability below 10^-6, and
+   nearly all chance neighbours fall out before any text is fetched for them. The rest is checked exactly on the sets.
 
 Counts combine before the shuffle, no group holds more than CROWD (2 CROWD for block pairs) records.
 
@@ -35,7 +37,8 @@ from reqloom.operators.components import components
 from reqloom.sources.tables import Scratch, table
 
 BASE, DEPTH, CROWD, MISS = 3, 8, 128, 0.0005
-TREES = 32  # orders at the base depth
+TREES = 32  # orders at the base depth; two bits of each fill a long
+SIGMAS = 5
 _WORDS = re.compile(r"[A-Za-z0-9]+")
 _SEED = 20240607
 
@@ -94,7 +97,7 @@ def text_of(title: str | None, text: str | None) -> list[bytes]:
     return [w.encode() for w in _WORDS.findall(f"{title or ''} {text or ''}".lower() if (title or "").isascii() and (text or "").isascii() else "")] or [w.lower().encode() for w in _WORDS.findall(f"{title or ''} {text or ''}")]
 
 
-_FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("id2", T.LongType()), T.StructField("m", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("id2", T.LongType()), T.StructField("m", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 _LONGS = T.ArrayType(T.LongType())
 
 
@@ -104,18 +107,20 @@ def _first_column(n: int, least: int):
         cache: dict[bytes, int] = {}
         trees = np.arange(TREES)
         for title, text in batches:
-            ids, ids2, ms, keys = [], [], [], []
+            ids, ids2, ms, keys, sketches = [], [], [], [], []
             if len(cache) > 500_000:
                 cache.clear()
             for a, b in zip(title, text, strict=True):
                 s = shingles(text_of(a, b), n, cache) if isinstance(b, str) and len(_WORDS.findall(b)) >= least else None
                 if s is None or not len(s):
-                    ids.append(0), ids2.append(0), ms.append(0), keys.append([])
+                    ids.append(0), ids2.append(0), ms.append(0), keys.append([]), sketches.append([])
                     continue
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 ids.append((d & (2**64 - 1)) - 2**63), ids2.append((d >> 64) - 2**63), ms.append(len(s))
-                keys.append(prefix_keys(trees, minima(s, slice(0, TREES), slice(0, BASE))).view(np.int64))
-            yield pd.DataFrame({"id": ids, "id2": ids2, "m": ms, "keys": keys})
+                labels = minima(s, slice(0, TREES), slice(0, BASE))
+                keys.append(prefix_keys(trees, labels).view(np.int64))
+                sketches.append(((labels & np.uint64(3)) << (2 * trees.astype(np.uint64))[:, None]).sum(axis=0, dtype=np.uint64).view(np.int64))
+            yield pd.DataFrame({"id": ids, "id2": ids2, "m": ms, "keys": keys, "sketch": sketches})
 
     return first.asNondeterministic()  # else a filter on its result would run it once more
 
@@ -143,6 +148,17 @@ def _deeper_column(n: int, depth: int, count: int):
     return deeper
 
 
+def alike(a: str, b: str, threshold: float):
+    """Whether two sketches agree in as many of their two-bit fields as a pair at the threshold does."""
+    fields, p = TREES * BASE, threshold + (1 - threshold) / 4
+    least = math.floor(fields * p - SIGMAS * math.sqrt(fields * p * (1 - p)))
+    differ = F.lit(0)
+    for i in range(BASE):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return F.lit(fields) - differ >= least
+
+
 def _regions(rows: DataFrame, key: str) -> DataFrame:
     """Rows whose region has two or more records, with its size. Counting combines first; only crowded keys meet rows."""
     sizes = rows.groupBy(key).agg(F.count("*").alias("region")).where(F.col("region") > 1)
@@ -172,7 +188,7 @@ def similar_classes(tmp: Scratch, docs: DataFrame, n: int, threshold: float, lea
     # the UDF is asked for once; selecting its fields one by one would run it for each
     signed = tmp.save(seen.select("key", _first_column(n, least)("title", "text").alias("s")).select("key", "s.*").where(F.col("m") > 0))
     members = signed.select("key", "id", "id2").distinct()
-    classes = tmp.save(signed.groupBy("id", "id2").agg(F.min("key").alias("key"), F.first("m").alias("m"), F.first("keys").alias("keys")))
+    classes = tmp.save(signed.groupBy("id", "id2").agg(F.min("key").alias("key"), F.first("m").alias("m"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     texts = docs.select("key", "title", "text")
 
     rows = classes.select(F.posexplode("keys").alias("tree", "region_key"), "id", "m")
@@ -194,7 +210,9 @@ def similar_classes(tmp: Scratch, docs: DataFrame, n: int, threshold: float, lea
     for f in found[1:]:
         pairs = pairs.unionByName(f)
     fits = F.least("ma", "mb") >= F.lit(threshold) * F.greatest("ma", "mb")
-    pairs = tmp.save(pairs.where(fits).select("a", "b").distinct())
+    pairs = pairs.where(fits).select("a", "b").distinct()
+    sk = lambda c: classes.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"))
+    pairs = tmp.save(pairs.join(sk("a"), "a").join(sk("b"), "b").where(alike("sa", "sb", threshold)).select("a", "b"))
 
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     reps = classes.join(needed, "id", "left_semi").select("id", "id2", "key")
