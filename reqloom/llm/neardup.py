@@ -39,7 +39,7 @@ from reqloom.sources.tables import Scratch, table
 BASE, DEPTH, CROWD, MISS = 3, 8, 128, 0.0005
 TREES = 32  # orders at the base depth; two bits of each fill a long
 SIGMAS = 5
-_WORDS = re.compile(r"[A-Za-z0-9]+")
+_WORDS = re.compile(rb"[a-z0-9]+")
 _SEED = 20240607
 
 
@@ -93,8 +93,13 @@ def prefix_keys(trees: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return k
 
 
+def words_of(text: str) -> list[bytes]:
+    """Runs of ASCII letters and digits, lower-cased; bytes of other characters are never part of one."""
+    return _WORDS.findall(text.encode("utf-8", "surrogatepass").lower())
+
+
 def text_of(title: str | None, text: str | None) -> list[bytes]:
-    return [w.encode() for w in _WORDS.findall(f"{title or ''} {text or ''}".lower() if (title or "").isascii() and (text or "").isascii() else "")] or [w.lower().encode() for w in _WORDS.findall(f"{title or ''} {text or ''}")]
+    return words_of(f"{title or ''} {text or ''}")
 
 
 _FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("id2", T.LongType()), T.StructField("m", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
@@ -111,7 +116,7 @@ def _first_column(n: int, least: int):
             if len(cache) > 500_000:
                 cache.clear()
             for a, b in zip(title, text, strict=True):
-                s = shingles(text_of(a, b), n, cache) if isinstance(b, str) and len(_WORDS.findall(b)) >= least else None
+                s = shingles(text_of(a, b), n, cache) if isinstance(b, str) and len(words_of(b)) >= least else None
                 if s is None or not len(s):
                     ids.append(0), ids2.append(0), ms.append(0), keys.append([]), sketches.append([])
                     continue
