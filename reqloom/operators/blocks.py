@@ -52,8 +52,8 @@ def normal_line(c: Column) -> Column:
 def repeated_lines(spark: SparkSession, base: str, share: float = 0.02) -> DataFrame:
     """Headers and footers: normalised lines in at least `share` of a source's documents; what is left without them.
 
-    Lines are reduced to distinct (source, line, document) and counted before they meet the blocks; the list of
-    repeated lines has at most 1 / share lines of each length of document, far fewer than blocks.
+    Lines are reduced to distinct (source, line, document) and counted, both with partial aggregation, before the few
+    that repeat meet the blocks in an anti join.
     """
     b = blocks(spark, base).withColumn("norm", normal_line(F.col("text")))
     docs = b.groupBy("source").agg(F.countDistinct("doc_id").alias("docs"))

@@ -52,7 +52,7 @@ def bm25(docs: DataFrame, asked: DataFrame, id_: str = "chunk_id", text: str = "
 
     Texts are tokenised once, into a written table. Document frequencies of all terms combine before the shuffle; only
     occurrences of terms that are asked for become postings. Terms in more than half of the texts get epsilon times the
-    mean idf, as the reference's public scorer does.
+    mean idf, as the usual scorer does.
     """
     tmp = Scratch(docs.sparkSession)
     toks = tmp.save(docs.select(id_, tx.tokenize(F.col(text)).alias("ts")))

@@ -85,10 +85,8 @@ def set_operations(spark: SparkSession, base: str) -> DataFrame:
 
 
 def price_ntile(spark: SparkSession, base: str) -> DataFrame:
-    """Share of parts per size that lie in the dearest tenth, by an approximate cut of bounded error turned exact.
-
-    The cut is the exact 0.9 disc percentile by counting values in order over ranges of the price.
-    """
+    """Parts per size that lie in the dearest tenth. The cut is the 0.9 disc percentile of the whole prices, found by
+    counting in order over one row per whole price."""
     p = table(spark, base, "part").select("p_size", "p_retailprice")
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     v = p.groupBy("p_retailprice").agg(F.count("*").alias("c")).withColumn("bucket", F.floor(F.col("p_retailprice")).cast("int"))
