@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 # Fixed values of the reference data model.
 TOKEN = r"[a-z0-9_.\-]+"
 REQ_ID = r"[A-Z]{2}_REQ_[A-Z0-9]+_[0-9]+"
-SPEC_SECTION = r"(?:3GPP )?TS ([0-9]{2}\.[0-9]{3}) (?:clause|section|subclause) ([0-9]+(?:\.[0-9]+)*)"
+SECTION_WORD = r"(?:[Ss]ection|(?:[Ss]ub)?[Cc]lause|§)"
+SECTION_NUMBER = r"([0-9]+(?:\.[0-9]+)*)"
+SPEC_NUMBER = r"([0-9][0-9.]*[0-9])"
+# Section citations: pattern, group of the spec, group of the section.
+SPEC_SECTIONS = [
+    (rf"(?U)TS\s+{SPEC_NUMBER}\s*,?\s*{SECTION_WORD}\s+{SECTION_NUMBER}", 1, 2),
+    (rf"(?U){SECTION_WORD}\s+{SECTION_NUMBER}\s+of\s+(?:3GPP\s+)?TS\s+{SPEC_NUMBER}", 2, 1),
+    (rf"(?U)TS\s+{SPEC_NUMBER}\s*\(?\s*(?:reference\s*)?\[[0-9]+\]\s*\)?\s*,?\s*{SECTION_WORD}\s+{SECTION_NUMBER}", 1, 2),
+]
 SPEC = r"TS ([0-9]{2}\.[0-9]{3})"
 TOC_LINE = r".*\.{3,}\s*[0-9]+\s*$"
 BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -61,6 +69,15 @@ def clean_spec_number(c: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.trim(c), r"^(3GPP )?TS ", ""), F.lit("."))
 
 
+def section_citations(c: Column) -> Column:
+    """Every `TS x, section y`, `section y of TS x` and `TS x [n] section y` of a text: array of (spec, section)."""
+    found = []
+    for pattern, spec, section in SPEC_SECTIONS:
+        specs, sections = (F.regexp_extract_all(c, F.lit(pattern), i) for i in (spec, section))
+        found.append(F.arrays_zip(specs.alias("spec"), sections.alias("section")))
+    return F.filter(F.concat(*found), lambda x: F.length(x["spec"]) >= 4)
+
+
 def release_number(c: Column) -> Column:
     """`Release 15`, `Rel-15` or a bare integer; 0 for anything else."""
     named = F.regexp_extract(c, r"(?i)rel(?:ease)?[- ]?([0-9]+)", 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqloom.functions.keys import canonical_key, spec_key
-from reqloom.functions.text import SPEC_SECTION, release_number
+from reqloom.functions.text import release_number, section_citations
 from reqloom.operators.patterns import once
 from reqloom.sources.tables import table
 
@@ -66,15 +66,15 @@ def status_summary(spark: SparkSession, base: str) -> DataFrame:
 def standards_index(spark: SparkSession, base: str) -> DataFrame:
     """Per spec and release: references of the manifests, and sections and plans of manifests and texts.
 
-    Sections found in texts inherit the release with which their plan cites the spec (the highest known one).
+    Sections found in texts inherit the release with which their plan cites the spec (the highest known one); where it
+    cites none they stand under release 0.
     """
     std = resolve_standards(spark, base).where(F.length("spec") >= 4)
     refs = std.select("plan_id", "spec", release_number(F.col("spec_release")).alias("release_num"), F.lit(1).alias("manifest"), F.lit(None).cast("string").alias("section"))
     cited = refs.where("release_num > 0").groupBy("plan_id", "spec").agg(F.max("release_num").alias("release_num"))
-    reqs = once(table(spark, base, "requirements").where(F.contains("text", F.lit("TS "))), "rec_id")
-    specs, sections = (F.regexp_extract_all("text", F.lit(SPEC_SECTION), i) for i in (1, 2))
-    found = reqs.select("plan_id", F.explode(F.arrays_zip(specs.alias("spec"), sections.alias("section"))).alias("x")).select("plan_id", "x.spec", "x.section")
-    texts = found.join(cited, ["plan_id", "spec"]).select("plan_id", "spec", "release_num", F.lit(0).alias("manifest"), "section")
+    reqs = once(table(spark, base, "requirements").where(F.contains("text", F.lit("TS"))), "rec_id")
+    found = reqs.select("plan_id", F.explode(section_citations(F.col("text"))).alias("x")).select("plan_id", "x.spec", "x.section")
+    texts = found.join(cited, ["plan_id", "spec"], "left").select("plan_id", "spec", F.coalesce("release_num", F.lit(0)).alias("release_num"), F.lit(0).alias("manifest"), "section")
     u = refs.unionByName(texts)
     return u.groupBy("spec", "release_num").agg(
         F.sum("manifest").alias("ref_count"), F.count("*").alias("total_refs"),
