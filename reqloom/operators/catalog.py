@@ -3,31 +3,69 @@ links, acronyms, the stub graph, ancestor walks, counters, profile merges."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reqloom.functions import text as tx
+from reqloom.functions.keys import DOTTED
 from reqloom.operators.patterns import once
 from reqloom.operators.structure import sections
 from reqloom.operators.understanding import feature_hits
 from reqloom.sources.tables import table
 
-# A spec with the characters around it in which a release may be named.
+# A spec with its section, a spec alone, and the characters on both sides in which a release may be named.
+SPEC_DETAIL = re.compile(rf"(?:3GPP\s+)?TS\s+({DOTTED})\s*,?\s*{tx.SECTION_WORD}\s+{tx.SECTION_NUMBER}|3GPP\s+TS\s+({DOTTED})\s+([0-9][0-9.]*[0-9])")
+SPEC_ALONE = re.compile(rf"3GPP\s+TS\s+({DOTTED})|TS\s+([0-9]{{2}}\.[0-9]{{3}})")
 AROUND = 100
-RELEASE = r"(?i)release ([0-9]+)"
+RELEASE = re.compile(r"(?i)release\s+([0-9]+)")
+STANDARD = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("spec", "section", "release")]))
 ACRONYM = r"(?i)^(?:what (?:is|does|do)(?: the)?|define|definition of|meaning of|expand|explain the role of the) ([A-Za-z][A-Za-z0-9_-]{1,14})\b"
 
 
+def standards_in(text: str) -> list[dict]:
+    """The specs of a text, each (spec, section) once at its first place, a spec alone only where no section of it is
+    cited; with the first release named within 100 characters on either side."""
+
+    def add(m: re.Match, spec: str, section: str) -> None:
+        last = m.end() + AROUND
+        near = RELEASE.search(text, max(0, m.start() - AROUND), last + 1)  # one more, so that no number is cut
+        found.append({"spec": spec, "section": section, "release": near[1] if near and near.end() <= last else None})
+
+    found: list[dict] = []
+    seen: set[tuple[str, str]] = set()
+    for m in SPEC_DETAIL.finditer(text):
+        key = (m[1] or m[3], m[2] or m[4])
+        if key not in seen:
+            seen.add(key)
+            add(m, *key)
+    specs = {spec for spec, _ in seen}
+    for m in SPEC_ALONE.finditer(text):
+        if (spec := m[1] or m[2]) not in specs:
+            specs.add(spec)
+            add(m, spec, "")
+    return found
+
+
+@F.pandas_udf(STANDARD)
+def standards_column(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: standards_in(t) if t else [])
+
+
 def cross_refs(spark: SparkSession, base: str) -> DataFrame:
-    """References in requirement texts: requirement ids of the own plan, of other plans, and specs with the release
-    named within 100 characters after them."""
+    """References in requirement texts: requirement ids of the own plan, of other plans, and the distinct specs and
+    sections (`standards`, counted in `specs`) with the release named within 100 characters around them."""
     r = once(table(spark, base, "requirements").where("text is not null"), "rec_id")
     ids = F.array_distinct(tx.find_req_ids(F.col("text")))
     own = F.concat(F.lit("_REQ_"), F.col("plan_id"), F.lit("_"))
     internal = F.size(F.filter(ids, lambda x: F.contains(x, own)))
-    specs = F.regexp_extract_all("text", F.lit(r"(?s)" + tx.SPEC + r".{0,%d}" % AROUND), 0)
-    with_release = F.size(F.filter(specs, lambda s: F.regexp_extract(s, RELEASE, 1) != ""))
-    return r.select("rec_id", internal.alias("internal"), (F.size(ids) - internal).alias("external"), F.size(specs).alias("specs"), with_release.alias("with_release")).where("internal + external + specs > 0")
+    # texts without a spec do not travel to Python
+    x = r.select("rec_id", internal.alias("internal"), (F.size(ids) - internal).alias("external"), standards_column(F.when(F.contains("text", F.lit("TS")), F.col("text"))).alias("standards"))
+    x = x.withColumn("specs", F.size("standards")).withColumn("with_release", F.size(F.filter("standards", lambda s: s["release"].isNotNull())))
+    return x.select("rec_id", "internal", "external", "specs", "with_release", "standards").where("internal + external + specs > 0")
 
 
 def spec_citations(spark: SparkSession, base: str) -> DataFrame:
