@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from reqloom.functions import text as tx
 from reqloom.functions.keys import DOTTED
 from reqloom.operators.patterns import once
+from reqloom.operators.references import resolve_standards
 from reqloom.operators.structure import sections
 from reqloom.operators.understanding import feature_hits
 from reqloom.sources.tables import table
@@ -23,6 +24,7 @@ SPEC_ALONE = re.compile(rf"3GPP\s+TS\s+({DOTTED})|TS\s+([0-9]{{2}}\.[0-9]{{3}})"
 AROUND = 100
 RELEASE = re.compile(r"(?i)release\s+([0-9]+)")
 STANDARD = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("spec", "section", "release")]))
+LAST_RELEASE = 21
 ACRONYM = r"(?i)^(?:what (?:is|does|do)(?: the)?|define|definition of|meaning of|expand|explain the role of the) ([A-Za-z][A-Za-z0-9_-]{1,14})\b"
 
 
@@ -93,11 +95,15 @@ def latest_versions(spark: SparkSession, base: str) -> DataFrame:
 
 
 def version_candidates(spark: SparkSession, base: str) -> DataFrame:
-    """File names to try for each catalogued spec's release 15: minor versions from 20 down to 0."""
-    c = table(spark, base, "spec_catalog").select("spec").distinct()
-    x = c.select("spec", F.explode(F.sequence(F.lit(20), F.lit(0), F.lit(-1))).alias("minor"))
-    v = F.concat(F.lit("15."), F.col("minor").cast("string"), F.lit(".0"))
-    return x.select("spec", (20 - F.col("minor")).alias("attempt"), F.concat(F.regexp_replace("spec", r"\.", ""), F.lit("-"), tx.version_code(v), F.lit(".zip")).alias("file"))
+    """File names to try for each spec and release that a reference names (inline or by its plan's map) and for each
+    catalogued spec's release 15: minor versions from 20 down to 0. Releases beyond 21 have no version code."""
+    # the index of cited standards has no other release above 0: citations in texts inherit theirs from the references
+    std = resolve_standards(spark, base).where(F.length("spec") >= 4).select("spec", tx.release_number(F.col("spec_release")).alias("release_num"))
+    catalogued = table(spark, base, "spec_catalog").where("spec is not null").select("spec", F.lit(15).alias("release_num"))
+    c = std.where(F.col("release_num").between(1, LAST_RELEASE)).unionByName(catalogued).distinct()
+    x = c.select("spec", "release_num", F.explode(F.sequence(F.lit(20), F.lit(0), F.lit(-1))).alias("minor"))
+    v = F.concat_ws(".", F.col("release_num").cast("string"), F.col("minor").cast("string"), F.lit("0"))
+    return x.select("spec", "release_num", (20 - F.col("minor")).alias("attempt"), F.concat(F.regexp_replace("spec", r"\.", ""), F.lit("-"), tx.version_code(v), F.lit(".zip")).alias("file"))
 
 
 def tables_of_contents(spark: SparkSession, base: str, lines: int = 200) -> DataFrame:

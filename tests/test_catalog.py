@@ -39,3 +39,15 @@ def test_release_is_read_up_to_100_characters_on_both_sides():
     for gap, near in ((90, "7"), (91, None)):
         assert C.standards_in("release 7" + " " * gap + " TS 38.101")[0]["release"] == near
         assert C.standards_in("TS 38.101 " + " " * gap + "release 7")[0]["release"] == near
+
+
+def test_version_candidates_of_every_named_release(spark, tmp_path):
+    refs = [(1, "A", "3GPP TS 24.301", "Release 11"), (2, "A", "TS 24.301", "Rel-9"), (3, "B", "36.331", ""), (4, "B", "99.999", "16"), (5, "A", "36.331", "Release 99"), (6, "A", "36.331", "")]
+    rows = [(i, "m", "r", p, s, rel, AT) for i, p, s, rel in refs]
+    spark.createDataFrame(rows + rows[:1], "ref_id bigint, mno string, release string, plan_id string, spec string, spec_release string, ingested_at timestamp_ntz").write.parquet(f"{tmp_path}/refs_standards.parquet")
+    spark.createDataFrame([("m", "r", "A", {"36.331": "Release 10"}, AT)], "mno string, release string, plan_id string, referenced_standards_releases map<string,string>, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/plans.parquet")
+    spark.createDataFrame([("24.301",), ("38.101",)], "spec string").write.parquet(f"{tmp_path}/spec_catalog.parquet")
+    got = [tuple(r) for r in C.version_candidates(spark, str(tmp_path)).select("spec", "release_num", "attempt", "file").collect()]
+    code = "0123456789abcdefghijklmnopqrstuvwxyz"
+    pairs = [("24.301", 11), ("24.301", 9), ("36.331", 10), ("99.999", 16), ("24.301", 15), ("38.101", 15)]
+    assert sorted(got) == sorted((s, n, 20 - m, f"{s.replace('.', '')}-{code[n]}{code[m]}0.zip") for s, n in pairs for m in range(21))
