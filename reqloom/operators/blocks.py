@@ -71,9 +71,9 @@ def toc_ratio(spark: SparkSession, base: str, at_least: float = 0.3) -> DataFram
     return g.where((F.col("n") >= 2) & (F.col("hits") / F.col("n") >= at_least))
 
 
-def sections(spark: SparkSession, base: str) -> DataFrame:
+def sections(spark: SparkSession, base: str, lines: DataFrame | None = None) -> DataFrame:
     """Blocks into sections: a heading opens one, what follows attaches, blocks before the first heading are dropped."""
-    b = blocks(spark, base).withColumn("section", F.sum((F.col("type") == "heading").cast("int")).over(doc_window().rowsBetween(Window.unboundedPreceding, 0)))
+    b = (blocks(spark, base) if lines is None else lines).withColumn("section", F.sum((F.col("type") == "heading").cast("int")).over(doc_window().rowsBetween(Window.unboundedPreceding, 0)))
     b = b.where("section > 0")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("type") != "heading", F.struct("idx", "text")))), lambda x: x["text"]), "\n")
     return b.groupBy("doc_id", "section").agg(F.min_by("text", "idx").alias("title"), F.count_if(F.col("type") == "table").alias("tables"), body.alias("body"))
@@ -210,9 +210,9 @@ def pattern_election(spark: SparkSession, base: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(best)).select("pattern", "matches", (F.col("ord") == F.col("best")).alias("elected"))  # one row
 
 
-def profile_counts(spark: SparkSession, base: str) -> DataFrame:
+def profile_counts(spark: SparkSession, base: str, lines: DataFrame | None = None) -> DataFrame:
     """One pass per source: numbered lines, ids, greatest number of bars, longest block, distinct sizes."""
-    b = blocks(spark, base)
+    b = blocks(spark, base) if lines is None else lines
     return b.groupBy("source").agg(
         F.count_if(F.col("text").rlike(r"^[0-9]+(\.[0-9]+)*\s")).alias("numbered"), F.sum(F.regexp_count("text", F.lit(REQ_LINE))).alias("ids"),
         F.max(F.length("text")).alias("longest"), F.countDistinct(F.length("text")).alias("sizes"), F.count_if(F.col("type") == "heading").alias("headings"),

@@ -29,16 +29,16 @@ def requirement_rows(spark: SparkSession, base: str) -> DataFrame:
     return r.groupBy("req_id").agg(*[F.min_by(c, "rec_id").alias(c) for c in ("mno", "release", "plan_id", "title", "text", "section_number", "parent_req_id")])
 
 
-def standard_refs(spark: SparkSession, base: str) -> DataFrame:
+def standard_refs(spark: SparkSession, base: str, resolved: DataFrame | None = None) -> DataFrame:
     """source_req_id, std (node id) of every reference to a standard: by section where one is given, else by release."""
-    std = resolve_standards(spark, base).select("ref_id", "spec", release_number(F.col("spec_release")).alias("rel"))
+    std = (resolve_standards(spark, base) if resolved is None else resolved).select("ref_id", "spec", release_number(F.col("spec_release")).alias("rel"))
     raw = table(spark, base, "refs_standards").select("ref_id", "source_req_id", "plan_id", F.nullif("spec_section", F.lit("")).alias("section")).distinct()
     j = std.join(raw, "ref_id").where("spec is not null")
     node = F.when((F.col("rel") > 0) & F.col("section").isNotNull(), F.concat_ws(":", F.lit("std"), "spec", "rel", "section")).otherwise(F.concat_ws(":", F.lit("std"), "spec", "rel"))
     return j.select("ref_id", "source_req_id", "plan_id", node.alias("std"), F.concat_ws(":", F.lit("std"), "spec", "rel").alias("std_spec"))
 
 
-def nodes(spark: SparkSession, base: str) -> DataFrame:
+def nodes(spark: SparkSession, base: str, resolved: DataFrame | None = None) -> DataFrame:
     """id, node_type, plan_id of every node; edges' targets that no table describes are nodes too."""
     p = table(spark, base, "plans").select("mno", "release", "plan_id").distinct()
     none = F.lit(None).cast("string")
@@ -46,13 +46,13 @@ def nodes(spark: SparkSession, base: str) -> DataFrame:
     out = out.unionByName(p.select(nid("release", "mno", "release").alias("id"), F.lit("Release").alias("node_type"), none.alias("plan_id")).distinct())
     out = out.unionByName(p.select(nid("plan", "mno", "release", "plan_id").alias("id"), F.lit("Plan").alias("node_type"), "plan_id"))
     out = out.unionByName(requirement_rows(spark, base).select(nid("req", "req_id").alias("id"), F.lit("Requirement").alias("node_type"), "plan_id"))
-    refs = standard_refs(spark, base)
+    refs = standard_refs(spark, base, resolved)
     cat = table(spark, base, "spec_catalog").select(F.concat(F.lit("std:"), spec_key(F.col("spec")), F.lit(":0")).alias("id"))
     std = refs.select(F.explode(F.array("std", "std_spec")).alias("id")).unionByName(cat).distinct()
     return out.unionByName(std.select("id", F.lit("Standard").alias("node_type"), none.alias("plan_id")))
 
 
-def edges(spark: SparkSession, base: str) -> DataFrame:
+def edges(spark: SparkSession, base: str, resolved: DataFrame | None = None) -> DataFrame:
     """src, dst, edge_type; per ordered pair the last step wins."""
     p = table(spark, base, "plans").select("mno", "release", "plan_id").distinct()
     r = requirement_rows(spark, base)
@@ -79,7 +79,7 @@ def edges(spark: SparkSession, base: str) -> DataFrame:
     first_plan = p.groupBy(canonical_key(F.col("plan_id")).alias("k")).agg(F.min(nid("plan", "mno", "release", "plan_id")).alias("dst"))
     cross = table(spark, base, "refs_cross_plan").select(canonical_key(F.col("source_req_id")).alias("s"), canonical_key(F.col("target_plan_id")).alias("k")).distinct()
     parts.append(e(cross.join(first_plan, "k").join(a, "s"), F.col("src"), F.col("dst"), "depends_on", 5))
-    std = standard_refs(spark, base)
+    std = standard_refs(spark, base, resolved)
     s = std.select(canonical_key(F.col("source_req_id")).alias("s"), "std").distinct().join(a, "s")
     parts.append(e(s, F.col("src"), F.col("std"), "references_standard", 6))
     sec = std.where("std <> std_spec").select("std", "std_spec").distinct()

@@ -268,11 +268,23 @@ def parse_definitions(blocks: DataFrame, profile: Profile = Profile()) -> DataFr
     return _scan(blocks, lambda doc, rows: [(doc, k, v) for k, v in parse(rows, profile)[2].items()], "doc_id string, term string, expansion string")
 
 
+# In lines of the text corpus, list numbers are the headings.
+LINES = Profile(numbering=r"^(?:\(?)(\d+(?:\.\d+)*)[.)]\s+\S", heading_chars=2000, sentence_chars=2000)
+
+
+def line_blocks(b: DataFrame) -> DataFrame:
+    """Lines of documents (`blocks.blocks`) as the parser's blocks."""
+    cells = F.filter(F.split("text", r"\|"), lambda x: F.trim(x) != "")
+    return b.select(F.col("doc_id").cast("string").alias("doc_id"), "idx", F.lit(1).alias("page"), F.when(F.col("type") == "table", "table").otherwise("paragraph").alias("type"), "text", F.lit(False).alias("struck"), F.lit(None).cast("double").alias("size"), F.array().cast("array<string>").alias("headers"), F.array(cells).alias("rows"))
+
+
 def parse_documents(spark, base: str) -> DataFrame:
-    """The parser over all lines of `documents`: list numbers are its headings."""
+    """The parser over all lines of `documents`."""
     from reqloom.operators.blocks import blocks
 
-    b = blocks(spark, base)
-    cells = F.filter(F.split("text", r"\|"), lambda x: F.trim(x) != "")
-    b = b.select(F.col("doc_id").cast("string").alias("doc_id"), "idx", F.lit(1).alias("page"), F.when(F.col("type") == "table", "table").otherwise("paragraph").alias("type"), "text", F.lit(False).alias("struck"), F.lit(None).cast("double").alias("size"), F.array().cast("array<string>").alias("headers"), F.array(cells).alias("rows"))
-    return parse_sections(b, Profile(numbering=r"^(?:\(?)(\d+(?:\.\d+)*)[.)]\s+\S", heading_chars=2000, sentence_chars=2000))
+    return parse_sections(line_blocks(blocks(spark, base)), LINES)
+
+
+def file_blocks(b: DataFrame) -> DataFrame:
+    """Blocks of document files (`sources.documents.read_blocks`) as the parser's blocks."""
+    return b.where("error is null").select(F.col("path").alias("doc_id"), "idx", "page", "type", "text", "struck", F.lit(None).cast("double").alias("size"), "headers", "rows")

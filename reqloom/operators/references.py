@@ -48,9 +48,10 @@ def resolve_standards(spark: SparkSession, base: str) -> DataFrame:
     return j.select("ref_id", "plan_id", F.col("k").alias("spec"), F.coalesce("inline", doc, F.lit("")).alias("spec_release"), source.alias("release_source"), F.when(source == "", "unresolved").otherwise("resolved").alias("status"))
 
 
-def status_summary(spark: SparkSession, base: str) -> DataFrame:
-    """Nine counters per plan: references of each kind by outcome."""
-    parts = [("internal", resolve_internal(spark, base)), ("cross", resolve_cross_plan(spark, base)), ("std", resolve_standards(spark, base))]
+def status_summary(spark: SparkSession, base: str, internal: DataFrame | None = None, cross: DataFrame | None = None, standards: DataFrame | None = None) -> DataFrame:
+    """Nine counters per plan: references of each kind by outcome; resolved tables that exist already can be given."""
+    given = [("internal", internal, resolve_internal), ("cross", cross, resolve_cross_plan), ("std", standards, resolve_standards)]
+    parts = [(kind, resolve(spark, base) if df is None else df) for kind, df, resolve in given]
     u = None
     for kind, df in parts:
         x = df.select("plan_id", F.lit(kind).alias("kind"), "status")
@@ -63,13 +64,13 @@ def status_summary(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def standards_index(spark: SparkSession, base: str) -> DataFrame:
+def standards_index(spark: SparkSession, base: str, resolved: DataFrame | None = None) -> DataFrame:
     """Per spec and release: references of the manifests, and sections and plans of manifests and texts.
 
     Sections found in texts inherit the release with which their plan cites the spec (the highest known one); where it
     cites none they stand under release 0.
     """
-    std = resolve_standards(spark, base).where(F.length("spec") >= 4)
+    std = (resolve_standards(spark, base) if resolved is None else resolved).where(F.length("spec") >= 4)
     refs = std.select("plan_id", "spec", release_number(F.col("spec_release")).alias("release_num"), F.lit(1).alias("manifest"), F.lit(None).cast("string").alias("section"))
     cited = refs.where("release_num > 0").groupBy("plan_id", "spec").agg(F.max("release_num").alias("release_num"))
     reqs = once(table(spark, base, "requirements").where(F.contains("text", F.lit("TS"))), "rec_id")

@@ -153,7 +153,7 @@ def taxonomy_diff(spark: SparkSession, base: str) -> DataFrame:
     return j.select("feature_id", "keyword", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("kept").alias("change"))
 
 
-def score_questions(spark: SparkSession, base: str) -> DataFrame:
+def score_questions(spark: SparkSession, base: str, known: DataFrame | None = None) -> DataFrame:
     """Scores of each answer against its expected citations: completeness, accuracy, citation, standards, grounding.
 
     Expected ids come from citations_json, found ones from the answer's text; an id that no requirement has is
@@ -162,7 +162,7 @@ def score_questions(spark: SparkSession, base: str) -> DataFrame:
     q = question_rows(spark, base)
     expected = F.array_distinct(F.filter(F.coalesce(F.transform(F.from_json("citations_json", "array<struct<req_id string>>"), lambda x: x["req_id"]), F.array().cast("array<string>")), lambda x: x.isNotNull()))
     x = q.select("id", "page_section", "llm_model", expected.alias("expected"), F.array_distinct(tx.find_req_ids(F.coalesce("answer", F.lit("")))).alias("found"), F.contains(F.coalesce("answer", F.lit("")), F.lit("3GPP TS")).alias("std"))
-    have = table(spark, base, "requirements").select("req_id").distinct()
+    have = (table(spark, base, "requirements") if known is None else known).select("req_id").distinct()
     ungrounded = x.select("id", F.explode("found").alias("req_id")).join(have, "req_id", "left_anti").groupBy("id").agg(F.count("*").alias("bad"))
     plan = lambda c: F.array_distinct(F.transform(c, lambda i: F.coalesce(tx.plan_of_req(i), F.lit(""))))
     share = lambda a, b: F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))

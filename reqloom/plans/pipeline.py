@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import inspect
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reqloom.functions.plugins import Embed, embedding_column, hash_embedder
 
 # Codes of what can go wrong.
 ERRORS = {"PIP-E001": "a stage raised", "PIP-E002": "no such stage", "PIP-E003": "stages out of order", "EXT-E001": "no readable file", "STO-E001": "a table is missing"}
@@ -22,21 +28,80 @@ class Outcome:
     message: str = ""
 
 
-Stage = Callable[[SparkSession, str], dict[str, DataFrame]]
+# A stage takes the session, the folder of the engine's tables and, if it has a third parameter, the folder of the tables
+# that earlier stages wrote (None after a failed stage). A value may be a function: it is called once the tables before it
+# are written.
+Stage = Callable[..., dict[str, DataFrame | Callable[[], DataFrame]]]
+
+
+def made(spark: SparkSession, out: str | None, name: str) -> DataFrame | None:
+    """A table that an earlier stage wrote; None where there is none, and the stage computes it itself."""
+    try:
+        return spark.read.parquet(f"{out}/{name}") if out else None
+    except AnalysisException:
+        return None
+
+
+def default_stages(documents: str | None = None, embed: Callable[[], Embed] = hash_embedder) -> dict[str, Stage]:
+    """The nine stages over the engine's tables, and over the document files below `documents` where that is given."""
+    from reqloom.operators import blocks, graph, parser, references, structure, understanding
+    from reqloom.sources.documents import read_blocks
+
+    def lines(s, b, o):
+        found = made(s, o, "blocks")
+        return blocks.blocks(s, b) if found is None else found
+
+    def extract(s, b, o):
+        return {"blocks": blocks.blocks(s, b)} | ({"file_blocks": read_blocks(s, documents)} if documents else {})
+
+    def profile(s, b, o):
+        return {"profile": blocks.profile_counts(s, b, lines(s, b, o)), "req_id_patterns": blocks.pattern_election(s, b)}
+
+    def parse(s, b, o):
+        x = lines(s, b, o)
+        parts = [(parser.line_blocks(x), parser.LINES)]
+        if documents:
+            files = made(s, o, "file_blocks")
+            parts.append((parser.file_blocks(read_blocks(s, documents) if files is None else files), parser.Profile()))
+        every = lambda f: reduce(DataFrame.unionByName, [f(*p) for p in parts])
+        return {"sections": blocks.sections(s, b, x), "parsed_sections": every(parser.parse_sections), "parse_dropped": every(parser.parse_dropped), "definitions": every(parser.parse_definitions)}
+
+    def resolve(s, b, o):
+        names = ("refs_internal_resolved", "refs_cross_plan_resolved", "refs_standards_resolved")
+        found = (references.resolve_internal(s, b), references.resolve_cross_plan(s, b), references.resolve_standards(s, b))
+        return dict(zip(names, found, strict=True)) | {"ref_summary": lambda: references.status_summary(s, b, *[made(s, o, n) for n in names])}
+
+    def standards(s, b, o):
+        return {"reference_index": references.standards_index(s, b, made(s, o, "refs_standards_resolved")), "spec_context": structure.section_neighbourhood(s, b)}
+
+    def build_graph(s, b, o):
+        std = made(s, o, "refs_standards_resolved")
+        return {"nodes": graph.nodes(s, b, std), "edges": graph.edges(s, b, std)}
+
+    def vectorstore(s, b, o):
+        make = {"chunks": structure.chunk_texts, "glossary": structure.glossary_chunks}
+
+        def vectors():
+            texts = [(make[n](s, b) if (df := made(s, o, n)) is None else df).select("chunk_id", "text") for n in make]
+            return texts[0].unionByName(texts[1]).select("chunk_id", embedding_column(embed)("text").alias("vector"))
 
+        return {n: f(s, b) for n, f in make.items()} | {"vectors": vectors}
 
-def default_stages() -> dict[str, Stage]:
-    """Stages over the engine's tables; each returns the tables it makes."""
-    from reqloom.operators import blocks, graph, references, structure, understanding
+    def evaluate(s, b, o):
+        chunks = made(s, o, "chunks")
+        known = None if chunks is None else chunks.select(F.regexp_replace("chunk_id", "^req:", "").alias("req_id"))
+        return {"scores": understanding.score_questions(s, b, known)}
 
     return {
-        "parse": lambda s, b: {"blocks": blocks.blocks(s, b), "sections": blocks.sections(s, b)},
-        "resolve": lambda s, b: {"refs_internal_resolved": references.resolve_internal(s, b), "refs_standards_resolved": references.resolve_standards(s, b), "ref_summary": references.status_summary(s, b)},
+        "extract": extract,
+        "profile": profile,
+        "parse": parse,
+        "resolve": resolve,
         "taxonomy": lambda s, b: {"taxonomy": understanding.taxonomy(s, b)},
-        "standards": lambda s, b: {"reference_index": references.standards_index(s, b), "spec_context": structure.section_neighbourhood(s, b)},
-        "graph": lambda s, b: {"nodes": graph.nodes(s, b), "edges": graph.edges(s, b)},
-        "chunks": lambda s, b: {"chunks": structure.chunk_texts(s, b), "glossary": structure.glossary_chunks(s, b)},
-        "eval": lambda s, b: {"scores": understanding.score_questions(s, b)},
+        "standards": standards,
+        "graph": build_graph,
+        "vectorstore": vectorstore,
+        "eval": evaluate,
     }
 
 
@@ -59,7 +124,10 @@ def run(spark: SparkSession, base: str, out: str, stages: dict[str, Stage] | Non
         began = time.time()
         o = Outcome(name, "OK")
         try:
-            for table, df in stages[name](spark, base).items():
+            takes = len(inspect.signature(stages[name]).parameters)
+            earlier = None if any(x.status == "FAIL" for x in done) else out
+            for table, df in stages[name](*(spark, base, earlier)[:takes]).items():
+                df = df() if callable(df) else df
                 df.write.mode("overwrite").parquet(f"{out}/{table}")
                 o.rows[table] = spark.read.parquet(f"{out}/{table}").count()
         except Exception as e:  # noqa: BLE001 - reported as the stage's outcome
