@@ -7,6 +7,8 @@ counts per standard and plan.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,8 +151,8 @@ def graph_components(spark: SparkSession, base: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("components"))
 
 
-def hops_from(spark: SparkSession, base: str, most: int = 6) -> DataFrame:
-    """Hops from the first plan node to every plan that it reaches within `most` undirected steps.
+def hops_from(spark: SparkSession, base: str) -> DataFrame:
+    """Hops from the first plan node to every plan that it reaches by undirected steps, however far.
 
     Level by level; a level reads only the frontier and the nodes not reached yet, each level a written table.
     """
@@ -159,7 +161,7 @@ def hops_from(spark: SparkSession, base: str, most: int = 6) -> DataFrame:
     both = tmp.save(e.select(F.col("src").alias("id"), F.col("dst").alias("next")).unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("next"))).distinct())
     p = table(spark, base, "plans").select(nid("plan", "mno", "release", "plan_id").alias("id"))
     seen = tmp.save(p.agg(F.min("id").alias("id")).select("id", F.lit(0).alias("hops")))
-    for d in range(1, most + 1):
+    for d in itertools.count(1):
         edge = seen.where(F.col("hops") == d - 1).join(both, "id").select(F.col("next").alias("id")).distinct()
         new = edge.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(d))
         old, seen = seen, tmp.save(seen.unionByName(new))
