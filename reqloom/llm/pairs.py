@@ -155,8 +155,6 @@ def copied(question: str | None, answer: str) -> bool:
     a = fold(ANNOUNCE.sub("", answer, count=1))
     if not a or len(q) < 3:
         return bool(a) and a == q
-    if len(a) > 4 * len(q) + 40:
-        return False  # more than the question and its announcement several times over: covered text cannot be the most of it
     least = max(3, min(10, len(q) // 3))
     got = SuffixAutomaton(q).covered(a, least)
     return got >= 0.85 * len(a) and got >= 0.5 * len(q)

@@ -66,3 +66,8 @@ def test_operator(spark):
     got = {r.id: r.defect for r in P.broken_pairs(df).collect()}
     assert got == {1: "empty", 3: "empty"}
     assert P.broken_pairs(df.limit(0)).count() == 0
+
+
+def test_a_question_given_back_many_times_is_copied():
+    assert P.copied(Q, " ".join([Q] * 12)) and P.defect(Q, " ".join([Q] * 12)) == "copied"
+    assert not P.copied(Q, " ".join([Q] * 2) + " The modem shall leave NR at once and wait for three seconds." * 20)
