@@ -17,6 +17,8 @@ or less names nothing; max_repeats null or below 1 gives nothing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,7 +29,24 @@ from reqloom.llm.tokens import VOCABULARY
 from reqloom.sources.tables import Scratch, table
 
 GROUP = 5000
-EPS = 1e-9
+# What counts as rounding, relative to the numbers that were added.
+NOISE = 1e-14
+
+
+def move(p: list[float], at: Sequence[int], u: Sequence[float], r: float) -> None:
+    """Moves the probabilities at `at` along u, one way or the other by the draw r, until one is exactly 0 or 1."""
+    up = down = float("inf")
+    for k, x in zip(at, u, strict=True):
+        if x > 0:
+            up, down = min(up, (1 - p[k]) / x), min(down, p[k] / x)
+        elif x < 0:
+            up, down = min(up, p[k] / -x), min(down, (1 - p[k]) / -x)
+    step = up if r * (up + down) < down else -down
+    for k, x in zip(at, u, strict=True):
+        if x:
+            d = step * x
+            v, noise = p[k] + d, NOISE * (p[k] + abs(d))
+            p[k] = 0.0 if v <= noise else 1.0 if v >= 1 - noise else v
 
 
 def flight(p: list[float], t: list[float], rng: np.random.Generator) -> list[float]:
@@ -36,7 +55,7 @@ def flight(p: list[float], t: list[float], rng: np.random.Generator) -> list[flo
     draws = iter(())
     live: list[int] = []
     for i in range(len(p)):
-        if not EPS < p[i] < 1 - EPS:
+        if not 0 < p[i] < 1:
             continue
         live.append(i)
         while len(live) == 3:
@@ -44,21 +63,12 @@ def flight(p: list[float], t: list[float], rng: np.random.Generator) -> list[flo
             u = (t[b] - t[c], t[c] - t[a], t[a] - t[b])
             if u == (0, 0, 0):
                 u = (1.0, -1.0, 0.0)  # equal sizes: any exchange keeps both totals
-            up = down = float("inf")
-            for k, x in zip(live, u, strict=True):
-                if x > 0:
-                    up, down = min(up, (1 - p[k]) / x), min(down, p[k] / x)
-                elif x < 0:
-                    up, down = min(up, p[k] / -x), min(down, (1 - p[k]) / -x)
             r = next(draws, None)
             if r is None:
                 draws = iter(rng.random(256).tolist())
                 r = next(draws)
-            step = up if r * (up + down) < down else -down
-            for k, x in zip(live, u, strict=True):
-                v = p[k] + step * x
-                p[k] = 0.0 if v < EPS else 1.0 if v > 1 - EPS else v
-            live = [k for k in live if EPS < p[k] < 1 - EPS]
+            move(p, live, u, r)
+            live = [k for k in live if 0 < p[k] < 1]
     return p
 
 
@@ -66,16 +76,11 @@ def land(p: list[float], t: list[float], rng: np.random.Generator) -> list[float
     """The landing: the document total is given up, and the undecided move in pairs along (t2, -t1), which keeps the
     tokens, until a single one is left; it is drawn with its probability. The tokens end within one document."""
     p = list(p)
-    live = [i for i in range(len(p)) if EPS < p[i] < 1 - EPS]
+    live = [i for i in range(len(p)) if 0 < p[i] < 1]
     while len(live) > 1:
         a, b = live[-2:]
-        x, y = t[b], t[a]
-        up, down = min((1 - p[a]) / x, p[b] / y), min(p[a] / x, (1 - p[b]) / y)
-        step = up if rng.random() * (up + down) < down else -down
-        for k, d in ((a, x), (b, -y)):
-            v = p[k] + step * d
-            p[k] = 0.0 if v < EPS else 1.0 if v > 1 - EPS else v
-        live = [i for i in live if EPS < p[i] < 1 - EPS]
+        move(p, (a, b), (t[b], -t[a]), rng.random())
+        live = [i for i in live if 0 < p[i] < 1]
     for i in live:
         p[i] = 1.0 if rng.random() < p[i] else 0.0
     return p
@@ -126,9 +131,9 @@ def choose(items: DataFrame, targets: DataFrame, total: float | None = None, see
     sizes = items.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("docs"))
     rates = tmp.save(mix_rates(sizes, targets, total))  # as many rows as targets
     use = F.broadcast(rates.where(F.col("rate") > 0).select("mix_id", "source", "rate", "docs"))
-    dealt = items.join(use, "source").withColumn("whole", F.floor(F.col("rate") + EPS).cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
+    dealt = items.join(use, "source").withColumn("whole", F.floor(F.col("rate") * (1 + NOISE)).cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     dealt = dealt.select("mix_id", "source", "doc_id", "tokens", "whole", "p", F.expr(f"(docs + {per_group} - 1) div {per_group}").alias("groups"))
-    dealt = dealt.withColumn("p", F.when(F.col("p") > 1e-6, F.col("p")).otherwise(0.0))
+    dealt = dealt.withColumn("p", F.when(F.col("p") > F.col("whole") * NOISE, F.col("p")).otherwise(0.0))
     settled = [dealt.where(F.col("p") == 0)]
     open_ = dealt.where(F.col("p") > 0)
     level = 0
@@ -141,7 +146,7 @@ def choose(items: DataFrame, targets: DataFrame, total: float | None = None, see
             settled.append(staged)
             break
         staged = tmp.save(staged)
-        undecided = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
+        undecided = (F.col("p") > 0) & (F.col("p") < 1)
         settled.append(staged.where(~undecided))
         left = staged.where(undecided)
         per = left.groupBy("mix_id", "source").agg(F.count("*").alias("n"))

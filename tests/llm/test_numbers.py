@@ -133,3 +133,18 @@ def test_flight_keeps_both_totals():
     p = M.flight([0.3] * 200, t, rng)
     assert sum(0 < x < 1 for x in p) <= 2
     assert abs(sum(p) - 60) < 1e-6 and abs(np.dot(p, t) - 0.3 * sum(t)) < 1e-3
+
+
+def test_tiny_probabilities_reach_the_landing():
+    rng = np.random.default_rng(3)
+    t = [float(x) for x in rng.integers(1, 500, 1000)]
+    p = M.flight([1e-10] * 1000, t, rng)
+    assert sum(0 < x < 1 for x in p) <= 2 and sum(x > 0 for x in p) <= 2
+    assert abs(sum(p) - 1e-7) < 1e-13 and abs(sum(x * y for x, y in zip(p, t)) / (1e-10 * sum(t)) - 1) < 1e-6
+
+
+def test_mixing_keeps_a_source_with_a_tiny_rate(spark):
+    items = spark.range(1_500_000).selectExpr("id AS doc_id", "'big' AS source", "10 AS tokens").unionByName(spark.createDataFrame([(-1, "scarce", 10)], "doc_id bigint, source string, tokens int"))
+    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "scarce", 0.5, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    chosen, _ = M.choose(items, targets)
+    assert {r.source: r.n for r in chosen.groupBy("source").sum("tokens").toDF("source", "n").collect()} == {"big": 10, "scarce": 10}
