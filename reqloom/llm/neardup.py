@@ -102,6 +102,12 @@ def text_of(title: str | None, text: str | None) -> list[bytes]:
     return words_of(f"{title or ''} {text or ''}")
 
 
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's 128-bit hash: equal sets are one class."""
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63
+
+
 _FIRST = T.StructType([T.StructField("id", T.LongType()), T.StructField("id2", T.LongType()), T.StructField("m", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 _LONGS = T.ArrayType(T.LongType())
 
@@ -120,8 +126,8 @@ def _first_column(n: int, least: int):
                 if s is None or not len(s):
                     ids.append(0), ids2.append(0), ms.append(0), keys.append([]), sketches.append([])
                     continue
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                ids.append((d & (2**64 - 1)) - 2**63), ids2.append((d >> 64) - 2**63), ms.append(len(s))
+                i, i2 = class_of(s)
+                ids.append(i), ids2.append(i2), ms.append(len(s))
                 labels = minima(s, slice(0, TREES), slice(0, BASE))
                 keys.append(prefix_keys(trees, labels).view(np.int64))
                 sketches.append(((labels & np.uint64(3)) << (2 * trees.astype(np.uint64))[:, None]).sum(axis=0, dtype=np.uint64).view(np.int64))
@@ -131,26 +137,30 @@ def _first_column(n: int, least: int):
 
 
 def _set_column(n: int):
+    """The set of a text; null where it is not the set of the class (id, id2), as when a key has several texts."""
+
     @F.pandas_udf(_LONGS)
-    def sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def sets(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         cache: dict[bytes, int] = {}
-        for title, text in batches:
-            yield pd.Series([shingles(text_of(a, b), n, cache).view(np.int64) for a, b in zip(title, text, strict=True)])
+        for rows in batches:
+            found = ((shingles(text_of(a, b), n, cache), (i, i2)) for a, b, i, i2 in zip(*rows, strict=True))
+            yield pd.Series([s.view(np.int64) if class_of(s) == k else None for s, k in found], dtype=object)
 
-    return sets
+    return sets.asNondeterministic()  # else a filter on its result would run it once more
 
 
 def _deeper_column(n: int, depth: int, count: int):
-    """Prefix keys of the first `count` orders at a depth."""
+    """Prefix keys of the first `count` orders at a depth; null where the text does not make the class (id, id2)."""
 
     @F.pandas_udf(_LONGS)
-    def deeper(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def deeper(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         cache: dict[bytes, int] = {}
         trees = np.arange(count)
-        for title, text in batches:
-            yield pd.Series([prefix_keys(trees, minima(shingles(text_of(a, b), n, cache), slice(0, count), slice(0, depth))).view(np.int64) for a, b in zip(title, text, strict=True)])
+        for rows in batches:
+            found = ((shingles(text_of(a, b), n, cache), (i, i2)) for a, b, i, i2 in zip(*rows, strict=True))
+            yield pd.Series([prefix_keys(trees, minima(s, slice(0, count), slice(0, depth))).view(np.int64) if class_of(s) == k else None for s, k in found], dtype=object)
 
-    return deeper
+    return deeper.asNondeterministic()  # else a filter on its result would run it once more
 
 
 def alike(a: str, b: str, threshold: float):
@@ -194,7 +204,8 @@ def similar_classes(tmp: Scratch, docs: DataFrame, n: int, threshold: float, lea
     signed = tmp.save(seen.select("key", _first_column(n, least)("title", "text").alias("s")).select("key", "s.*").where(F.col("m") > 0))
     members = signed.select("key", "id", "id2").distinct()
     classes = tmp.save(signed.groupBy("id", "id2").agg(F.min("key").alias("key"), F.first("m").alias("m"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    texts = docs.select("key", "title", "text")
+    # a re-created record may come with another text under the same key: only a text that makes the class stands for it
+    texts = docs.select("key", "title", "text").where(F.col("text").isNotNull())
 
     rows = classes.select(F.posexplode("keys").alias("tree", "region_key"), "id", "m")
     rows = tmp.save(_regions(rows, "region_key"))
@@ -204,8 +215,9 @@ def similar_classes(tmp: Scratch, docs: DataFrame, n: int, threshold: float, lea
     while depth < DEPTH and crowded.limit(1).count():
         depth += 1
         ids = crowded.select("id", "m").distinct()
-        of = classes.select("id", "key").join(ids, "id").join(texts, "key").dropDuplicates(["id"])
-        keys = of.select("id", "m", F.explode(_deeper_column(n, depth, min(ORDERS, orders(depth, threshold)))("title", "text")).alias("k"))
+        of = classes.select("id", "id2", "key").join(ids, "id").join(texts, "key")
+        keys = of.select("id", "m", _deeper_column(n, depth, min(ORDERS, orders(depth, threshold)))("title", "text", "id", "id2").alias("ks"))
+        keys = keys.where(F.col("ks").isNotNull()).dropDuplicates(["id"]).select("id", "m", F.explode("ks").alias("k"))
         level = tmp.save(_regions(keys, "k"))
         found.append(_pairs_in(level.where(F.col("region") <= CROWD), "k"))
         crowded = level.where(F.col("region") > CROWD)
@@ -221,9 +233,8 @@ def similar_classes(tmp: Scratch, docs: DataFrame, n: int, threshold: float, lea
 
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     reps = classes.join(needed, "id", "left_semi").select("id", "id2", "key")
-    sets = reps.join(texts.where(F.col("text").isNotNull()), "key").select("id", "id2", _set_column(n)("title", "text").alias("s"))
-    # a re-created record may come with another text under the same key: keep the text that makes the class
-    sets = sets.dropDuplicates(["id", "id2"])
+    sets = reps.join(texts, "key").select("id", "id2", _set_column(n)("title", "text", "id", "id2").alias("s"))
+    sets = sets.where(F.col("s").isNotNull()).dropDuplicates(["id", "id2"])
     sets = tmp.save(sets)
     x = sets.select(F.col("id").alias("a"), F.col("id2").alias("a2"), F.col("s").alias("sa"))
     y = sets.select(F.col("id").alias("b"), F.col("id2").alias("b2"), F.col("s").alias("sb"))

@@ -107,3 +107,33 @@ def test_crowded_region_keeps_pairs_at_the_threshold(spark, tmp_path, monkeypatc
     want = brute(rows)
     assert 300 < len(want) < 70 * 69 // 2 - 300
     assert got <= want and len(want - got) <= 0.005 * len(want)
+
+
+def variants(n=40, seed=5):
+    """Each key has a null text, a text of its own and one near to that of its partner."""
+    rnd = random.Random(seed)
+    text = lambda: [rnd.choice(VOCAB) for _ in range(60)]
+    rows, want = [], set()
+    for i in range(n):
+        a, b = f"a{i:03d}", f"b{i:03d}"
+        near = text()
+        twin = [*near[:-1], "other"]
+        for key, words in ((a, near), (b, twin)):
+            both = [(key, "t", " ".join(words)), (key, "t", " ".join(text()))]
+            rows += [(key, "t", None), *(both if rnd.random() < 0.5 else both[::-1])]
+        want.add((a, b))
+    return rows, want
+
+
+@pytest.mark.parametrize("crowd", [128, 4])
+def test_a_key_with_several_texts_keeps_its_links(spark, tmp_path, monkeypatch, crowd):
+    rows, want = variants()
+    if crowd < 128:
+        rows += [(f"c{i:02d}", "t", rows[1][2] + f" end{i}") for i in range(12)]
+        want = None
+    monkeypatch.setattr(N, "CROWD", crowd)
+    got, _ = run(spark, rows, tmp_path)
+    if want is None:
+        sets = [(k, grams(t, x)) for k, t, x in rows if x]
+        want = {(min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(sets, 2) if a != b and len(x & y) >= 0.6 * len(x | y)}
+    assert got == want
