@@ -30,8 +30,12 @@ class Score(Protocol):
     def __call__(self, questions: list[str], texts: list[str]) -> list[float]: ...
 
 
-def hash_embedder(dimension: int = 64, chars: int = 8000) -> Embed:
-    """Unit vectors of signed token counts; stable across processes. An empty text is the zero vector."""
+def hash_embedder(dimension: int = 64, chars: int | None = None) -> Embed:
+    """Unit vectors of signed token counts; stable across processes. An empty text is the zero vector.
+
+    Whole texts are embedded; `chars` limits them to a prefix, as a model with a bounded input does (8,000 characters
+    are usual for served models).
+    """
     import re
 
     def embed(texts: list[str]) -> list[list[float]]:

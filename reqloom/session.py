@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import os
+import uuid
+import zipfile
+
 from pyspark.sql import SparkSession
 
+from reqloom.sources.tables import shared_dir
+
 # Only settings that change how Spark may re-plan at run time; nothing about sizes, which belong to the cluster.
 RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
@@ -15,10 +22,40 @@ RUNTIME = {
 }
 
 
+def package_zip() -> bytes:
+    """This package's modules as a zip that Python can import from."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    return out.getvalue()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per Spark application; it lies in the shared folder while that runs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_reqloom_shipped", False):
+        return
+    where = f"{shared_dir(spark)}/reqloom-{uuid.uuid4().hex}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(bytearray(package_zip()))
+    out.close()
+    fs.deleteOnExit(path)
+    sc.addPyFile(where)
+    sc._reqloom_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Set the run-time SQL settings on an existing session."""
+    """Set the run-time SQL settings on an existing session and send the package to its executors."""
     for k, v in RUNTIME.items():
         spark.conf.set(k, v)
+    ship(spark)
     return spark
 
 

@@ -14,13 +14,16 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediates: the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder for written intermediates: the cluster's spark.checkpoint.dir. Where that is unset, a temporary one, in
+    local mode only: on a cluster each machine would write to and read from a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="reqloom-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")

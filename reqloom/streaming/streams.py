@@ -88,13 +88,7 @@ def _ntz(df: DataFrame, *cols: str) -> DataFrame:
 
 def _query(build: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None, times: list[str]):
     def query(spark: SparkSession, base: str) -> DataFrame:
-        # a stream has one state store per shuffle partition; a handful is enough for the rows at hand
-        before = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), 8)))
-        try:
-            out = drain(build(event_stream(spark, base)), mode, Scratch(spark), keys)
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
+        out = drain(build(event_stream(spark, base)), mode, Scratch(spark), keys)
         return _ntz(out, *times)
 
     return query
@@ -111,13 +105,7 @@ stream_dedup_counts = _query(deduplicated, "update", ["event_type"], [])
 
 def stream_session_counts(spark: SparkSession, base: str) -> DataFrame:
     """Sessions in complete mode: what the sink holds after the last batch."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), 8)))
-    try:
-        tmp = Scratch(spark)
-        rows = drain(sessions(event_stream(spark, base)), "complete", tmp)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = drain(sessions(event_stream(spark, base)), "complete", Scratch(spark))
     # complete mode repeats all sessions in each batch: the longest version of a start is the last one
     out = rows.groupBy("user_id", "start").agg(F.max(F.struct("end", "n")).alias("v")).select("user_id", "start", "v.end", "v.n")
     return _ntz(out, "start", "end")

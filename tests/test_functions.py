@@ -149,3 +149,9 @@ def test_metrics_filter(spark):
     df = spark.createDataFrame([(1, dt.datetime(2025, 1, 1), "a", "x"), (2, dt.datetime(2025, 1, 2), "a", "y"), (3, dt.datetime(2025, 1, 3), "b", "x")], "id long, ts timestamp_ntz, category string, name string")
     assert [r.id for r in filtered(df, category="a", limit=1).collect()] == [2]
     assert {r.id for r in filtered(df, name="x", since=dt.datetime(2025, 1, 2)).collect()} == {3} and filtered(df).count() == 3
+
+
+def test_embedder_reads_whole_texts():
+    long = "alpha " * 5000 + "omega"
+    whole, cut = G.hash_embedder()([long])[0], G.hash_embedder(chars=8000)([long])[0]
+    assert whole != cut and cut == G.hash_embedder()(["alpha " * 1333])[0]
