@@ -127,6 +127,62 @@ def test_mixing_edges(spark):
     assert mix(spark, [(1, "a", 10)], [("m", "a", None, 1), ("n", "a", 0.5, 0)])[0] == []
 
 
+def heavy(rng, n):
+    return [float(x) for x in np.maximum(1, rng.pareto(0.9, n) * 60).astype(int)]
+
+
+def test_least_miss_is_exact():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 9, 12):
+        t = [float(x) for x in rng.integers(1, 90, n)]
+        sums = [sum(x for k, x in enumerate(t) if m >> k & 1) for m in range(1 << n)]
+        for target in (0.0, 3.2, 70.0, sum(t) / 3, sum(t) + 5):
+            got = M.least_miss(t, target, rng)
+            assert abs(abs(np.dot(got, t) - target) - min(abs(s - target) for s in sums)) < 1e-9
+
+
+def test_landing_of_heavy_tails_misses_by_little():
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        for n in (30, 60, 300, 3000):
+            t = sorted(heavy(rng, n), reverse=True)
+            for rate in (0.1, 0.5, 0.93):
+                p = M.flight([rate] * n, t, rng, M.reserve([rate] * n, t))
+                p = M.land(p, t, rng)
+                assert set(p) <= {0.0, 1.0}
+                miss = abs(np.dot(p, t) - rate * sum(t)) / (rate * sum(t))
+                # a document over half of all tokens may leave nothing nearer
+                if t[0] < 0.4 * sum(t) * min(rate, 1 - rate) or n >= 300 and t[0] < 0.1 * sum(t):
+                    assert miss < 0.02, (seed, n, rate, miss, t[:3])
+
+
+def test_landing_keeps_inclusion_probabilities():
+    t = [900.0, 500.0, 300.0] + [float(x) for x in range(60, 0, -1)]
+    hits = np.zeros(len(t))
+    for seed in range(400):
+        rng = np.random.default_rng(seed)
+        p = [0.4] * len(t)
+        hits += M.land(M.flight(p, t, rng, M.reserve(p, t)), t, rng)
+    assert abs(np.dot(hits / 400, t) / sum(t) - 0.4) < 0.01 and abs(hits[:40].mean() / 400 - 0.4) < 0.08
+
+
+def test_mixing_of_heavy_tails_hits_the_shares(spark):
+    rng = np.random.default_rng(8)
+    docs, i = [], 0
+    for source, n in (("a", 150), ("b", 400), ("c", 90), ("d", 1500)):
+        for x in heavy(rng, n):
+            docs.append((i, source, int(min(x, 4000))))
+            i += 1
+    targets = [("m", "a", 0.2, 2), ("m", "b", 0.3, 2), ("m", "c", 0.2, 4), ("m", "d", 0.3, 1)]
+    for seed in range(3):
+        got, rates = mix(spark, docs, targets, seed=seed, per_group=600)
+        size = {}
+        for r in got:
+            size[r.source] = size.get(r.source, 0) + r.tokens * r.repeats
+        for (_, s), r in rates.items():
+            assert abs(size[s] / (r.rate * r.available) - 1) < 0.02, (seed, s)
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(0)
     t = [float(x) for x in rng.integers(1, 1000, 200)]
