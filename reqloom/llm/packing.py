@@ -7,7 +7,7 @@ left finds it in log2 steps.
 
 Defined results: an item larger than the capacity is cut into full containers and a rest that is packed like an item of
 its own (its parts are numbered); items of size 0 or null (empty texts) need no container and come out in none. Equal
-sizes go by id. A capacity below 1 raises ValueError; repeated ids are separate items.
+sizes go by id. A capacity below 1 and more than ``MOST_PACKS`` packs raise ValueError; repeated ids are separate items.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqloom.llm.tokens import VOCABULARY, token_count
+from reqloom.llm.tokens import VOCABULARY, ship, token_count
 from reqloom.sources.tables import Scratch, table
 
 GROUP = 20_000
+MOST_PACKS = 1000  # packs of one call: their definitions travel inside the plan
 
 
 class Room:
@@ -76,7 +77,12 @@ def pack_groups(items: DataFrame, limits: DataFrame, rows: int, per_group: int =
     """
     groups = max(1, -(-rows // per_group))
     dealt = items.where(F.col("tokens") > 0).withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(groups)))
-    dealt = dealt.join(F.broadcast(limits.select("pack_id", "capacity_tokens").distinct()))
+    packs = limits.select("pack_id", "capacity_tokens").distinct().limit(MOST_PACKS + 1).collect()
+    if len(packs) > MOST_PACKS:
+        raise ValueError(f"more than {MOST_PACKS} packs: pack them in several calls")
+    packs = [F.struct(F.lit(p.pack_id).cast("string").alias("pack_id"), F.lit(p.capacity_tokens).cast("int").alias("capacity_tokens")) for p in packs]
+    packs = F.array(*packs) if packs else F.array().cast("array<struct<pack_id string, capacity_tokens int>>")
+    dealt = dealt.withColumn("pack", F.explode(packs)).select("*", "pack.*").drop("pack")
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pack_id, capacity, grp = key
@@ -96,6 +102,7 @@ def pack_groups(items: DataFrame, limits: DataFrame, rows: int, per_group: int =
 
 def document_tokens(spark: SparkSession, base: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source, tokens of every document; written once, so that texts are tokenised once."""
+    ship(spark, vocabulary)
     d = table(spark, base, "documents").select("doc_id", "source", token_count(vocabulary)("text").alias("tokens"))
     return Scratch(spark).save(d)
 
