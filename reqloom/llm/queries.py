@@ -9,6 +9,7 @@ QUERIES = {
     "p2_groups": neardup.p2_groups,
     "p3_found": pieces.p3_found,
     "p3_pieces": pieces.p3_pieces,
+    "p3_restored": pieces.p3_restored,
     "p4_percentiles": percentiles.p4_percentiles,
     "p4_daily_sketches": percentiles.p4_daily_sketches,
     "p5_found": pairs.p5_found,
@@ -32,4 +33,6 @@ SQL = {
         UNION ALL SELECT DISTINCT 'spec_sections', sec_id, text FROM spec_sections WHERE length(text) > 2000)
       SELECT item_table, item_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \\x{3000}\\x{a0}\\t\\n\\r.!?;:,。！？、，；：]'), lambda x: length(x))) > 2000
         THEN 'forced' ELSE 'natural' END AS cut FROM items""",
+    "p3_restored": """SELECT DISTINCT 'requirements' AS item_table, rec_id AS item_id, md5(text) AS restored, true AS kept FROM requirements WHERE length(text) > 2000
+        UNION ALL SELECT DISTINCT 'spec_sections', sec_id, md5(text), true FROM spec_sections WHERE length(text) > 2000""",
 }

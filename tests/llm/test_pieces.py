@@ -43,6 +43,49 @@ def test_many_shapes():
                 assert any(h for *_, h in check(text, limit, overlap)) == (longest > limit)
 
 
+def test_every_piece_makes_progress():
+    import random
+
+    got = check("A sentence here. " * 60 + "x" * 1950 + " " + "Another sentence here. " * 60)
+    assert all(b - a > 500 for a, b, _ in got) and not any(h for *_, h in got)
+    rnd = random.Random(7)
+    for _ in range(300):
+        parts = []
+        while sum(map(len, parts)) < 9000:
+            parts.append("Some words of a sentence. " * rnd.randint(1, 60))
+            parts.append("y" * rnd.randint(300, 2500) + " ")
+        text = "".join(parts)
+        every = sorted({i + d for i, c in enumerate(text) if c in P.BOUNDARY for d in (0, 1)})
+        done = 0
+        cuts = check(text)
+        for k, (_, b, hard) in enumerate(cuts):
+            if b - done < 500 and k + 1 < len(cuts):
+                # no boundary allows more: none further on within the limit
+                assert not hard and not any(done + 500 <= x <= done + 2000 for x in every), (done, b)
+            done = b
+
+
+def test_hard_cuts_keep_their_overlap():
+    cuts = check("x" * 9000)
+    assert [a for a, _, _ in cuts] == [0, 1800, 3600, 5400, 7200]
+
+
+def test_limit_in_tokens(spark):
+    from reqloom.llm.tokens import VOCABULARY, encoding
+
+    enc = encoding(VOCABULARY)
+    text = "Das Gerät muss warten. The device shall wait, 等待三秒。 " * 90 + "q" * 400
+    for limit, overlap in ((100, 10), (37, 0), (8, 3)):
+        done = 0
+        for a, b, _ in P.token_cut_points(text, limit, overlap, enc):
+            assert a <= done < b and len(enc.encode_ordinary(text[a:b])) <= limit
+            assert len(enc.encode_ordinary(text[a:done])) <= overlap + 2
+            done = b
+        assert done == len(text)
+    df = spark.createDataFrame([("t", 1, text)], "item_table string, item_id long, text string")
+    assert restore(P.split_items(df, 100, 10, vocabulary=VOCABULARY).collect()) == text
+
+
 def test_prefers_paragraphs():
     text = "a. " * 500 + "\n\n" + "b. " * 500
     assert P.cut_points(text)[0][1] == 1502
