@@ -5,11 +5,13 @@ Each pair is looked at by four devices, in this order, and gets the first defect
 * ``empty`` - nothing is left of the answer after stand-ins and empty brackets, fences and tags are taken away;
 * ``copied`` - a suffix automaton of the prompt is traversed with the answer; what its long matches cover is copied. A
   pair is defective when hardly anything else is left, apart from phrases that announce a quotation;
-* ``refusal`` - an Aho-Corasick automaton of refusal phrases finds sentences that decline; a pair is defective when the
-  other sentences are courtesies only;
+* ``refusal`` - Aho-Corasick automata of refusal phrases find sentences that decline: whole phrases, or phrases that do so
+  only where the writer or the answering is what they are about, or the slots of writer, inability and telling; a pair is
+  defective when the other sentences are courtesies only;
 * ``truncated`` - a stack of delimiters ends with one open, or the last line of running text has no end of sentence;
 * ``other_language`` - stopwords and scripts vote for a language of prompt and answer, and the votes differ clearly,
-  unless the prompt names the answer's language.
+  unless the prompt names the answer's language; an answer of running text without any frequent word of the prompt's
+  language is in another one even where nobody votes for that.
 
 Defined results: a null answer is ``empty``; a null question cannot be copied and has no language. Repeated deliveries
 (same id) give one row. Texts are processed whole; the work is linear in their length.
@@ -25,41 +27,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reqloom.llm.languages import LANGS, NAMES, OF_WORD, is_cyrillic, is_han, is_kana
+from reqloom.llm.languages import LANGS, NAMES, OF_WORD, is_han, is_kana
 from reqloom.sources.tables import table
 
 # Stand-ins for an answer (compared after lower case and without outer punctuation).
 STAND_INS = frozenset(
-    "none null nil nan n/a na n.a not applicable|no answer|no response|no reply|no content|no output|no data|no text|not available|not answered|"
-    "unanswered|empty|blank|tbd|tba|tbc|todo|to do|to be done|to be defined|pending|placeholder|undefined|unknown|missing|void|nothing|answer|response|reply|a|"
-    "output|result|text|antwort|keine antwort|leer|réponse|pas de réponse|sans réponse|vide|respuesta|sin respuesta|vacío|resposta|sem resposta|vazio|risposta|"
-    "nessuna risposta|vuoto|antwoord|geen antwoord|leeg|svar|inget svar|tomt|odpowiedź|brak odpowiedzi|brak|ответ|нет ответа|пусто|无|无回答|没有回答|答案|回答|空|なし|回答なし|答え|"
-    "lorem ipsum|xxx|xx|x|string|error|false|here is the answer|the answer is|my answer|your answer here|insert answer here|see answer|assistant|ai|bot".replace("none null nil nan n/a na n.a ", "none|null|nil|nan|n/a|na|n.a|").split("|")
-)
+    [
+        "none", "null", "nil", "nan", "n/a", "na", "n.a", "not applicable", "no answer", "no response", "no reply", "no content", "no output", "no data", "no text", "not available", "not answered",
+        "unanswered", "tbd", "tba", "tbc", "todo", "to do", "to be done", "to be defined", "placeholder", "answer", "lorem ipsum", "xxx", "here is the answer", "the answer is", "my answer",
+        "your answer here", "insert answer here", "see answer", "antwort", "keine antwort", "réponse", "pas de réponse", "sans réponse", "respuesta", "sin respuesta", "resposta", "sem resposta",
+        "risposta", "nessuna risposta", "antwoord", "geen antwoord", "svar", "inget svar", "odpowiedź", "brak odpowiedzi", "brak", "ответ", "нет ответа", "无", "无回答", "没有回答", "答案", "回答", "なし", "回答なし", "答え",
+    ]
+)
+# Words that may be a value as well; they stand in for an answer only in brackets, as in `<empty>`.
+BRACKETED = frozenset(
+    [
+        "empty", "blank", "pending", "undefined", "unknown", "missing", "void", "nothing", "response", "reply", "output", "result", "text", "xx", "x", "string", "error", "assistant", "ai", "bot",
+        "leer", "vide", "vacío", "vazio", "vuoto", "leeg", "tomt", "пусто", "空",
+    ]
+)
 
 # Phrases that decline or say that one is unable to answer (lower case; apostrophes made straight).
 REFUSALS = """
 i can't help|i cannot help|can't help with|cannot help with|can not help with|can't assist|cannot assist|unable to assist|unable to help|unable to answer|unable to provide|unable to respond|unable to comment
 not able to answer|not able to say|not able to help|not able to provide|not able to assist|not able to respond|not able to tell|can't answer|cannot answer|can not answer|couldn't answer|could not answer|won't answer|will not answer|can't provide|cannot provide|won't provide|will not provide
 won't be able to|will not be able to|can't say|cannot say|can't tell|cannot tell|can't comment|cannot comment|can't respond|cannot respond|can't discuss|cannot discuss|can't share|cannot share|can't do that|cannot do that|can't comply|cannot comply|cannot fulfil|can't fulfil|can't give|cannot give|can't speak|cannot speak
-rather not|prefer not|must decline|have to decline|i decline|i refuse|must refuse|have to refuse|decline to|refuse to answer|respectfully decline|request declined|request denied|request refused|no comment|i pass on|i'll pass|i do not know|i don't know|don't know the answer|no idea|i have no answer|i have nothing
-not allow a reply|not allow me|do not allow|does not allow me|not allowed to|not permitted to|not authorized|not authorised|guidelines|outside of what i|outside what i|beyond what i|beyond my|outside my|out of my|out of scope for me|not something i can|not something i may|not in a position
-look elsewhere|no answer can be|no answer is possible|no answer from|there is no answer from|stay unanswered|remain unanswered|goes unanswered|leave this unanswered|leave it unanswered|lets me answer|let me answer|allows me to answer|possible for me to|impossible for me to|access that was not|have no access|don't have access|do not have access|lack access|without access
-enough information to|sufficient information to|lack the information|don't have the information|do not have the information|don't have that information|no information on this|no information about this|enough context to|don't have enough|do not have enough|as an ai|as a language model|will not go into|won't go into|not going to answer|not going to|against my|against policy|blocked here|blocked by policy|by policy
-i may not|may not discuss|must not discuss|must not answer|may not answer|not for me to|not my place|cannot be answered by me|can't be answered by me|is not something i|ask someone else|ask somebody else|someone else will have to|no reply|i must leave|i will have to leave|i'd rather|i would rather|keep silent|remain silent|stay silent|not at liberty|be disclosed|be revealed|disclosed by me|answered by me|not disclose|not reveal|no permission to|lack permission|not my call|confidential
-kann ich nicht|kann ich leider|kann dir nicht|kann ihnen nicht|kann dazu nicht|ich kann diese|ich kann darauf|ich kann das nicht|nicht beantworten|keine auskunft|keine antwort geben|keine antwort möglich|darf ich nicht|darf dazu|darf darüber|möchte ich nicht|möchte mich dazu nicht|will ich nicht|nicht in der lage|bin außerstande|lehne ich ab|muss ich ablehnen|nicht weiterhelfen|nicht helfen|leider nicht möglich|ist mir nicht möglich|dazu sage ich nichts|weiß ich nicht|ich weiß es nicht|kein kommentar
+rather not|prefer not|must decline|have to decline|i decline|i refuse|must refuse|have to refuse|refuse to answer|respectfully decline|request declined|request refused|no comment|i pass on|i'll pass|i do not know|i don't know|don't know the answer|i have no answer|i have nothing
+outside of what i|outside what i|beyond what i|beyond my|outside my|out of my|out of scope for me|not in a position
+look elsewhere|no answer can be|no answer is possible|no answer from|there is no answer from|stay unanswered|remain unanswered|goes unanswered|leave this unanswered|leave it unanswered|impossible for me to|have no access|don't have access|do not have access|lack access
+lack the information|don't have the information|do not have the information|don't have that information|don't have enough|do not have enough|as an ai|as a language model|will not go into|won't go into|not going to answer|against my
+i may not|||not for me to|not my place|cannot be answered by me|can't be answered by me|is not something i|ask someone else|ask somebody else|someone else will have to|i must leave|i will have to leave|i'd rather|i would rather|not at liberty|disclosed by me|answered by me|not my call
+kann ich nicht|kann ich leider|kann dir nicht|kann ihnen nicht|kann dazu nicht|ich kann diese|ich kann darauf|nicht befugt|darf ich keine|ich kann das nicht|nicht beantworten|keine auskunft|keine antwort geben|keine antwort möglich|darf ich nicht|darf dazu|darf darüber|möchte ich nicht|möchte mich dazu nicht|will ich nicht|nicht in der lage|bin außerstande|lehne ich ab|muss ich ablehnen|nicht weiterhelfen|nicht helfen|leider nicht möglich|ist mir nicht möglich|dazu sage ich nichts|weiß ich nicht|ich weiß es nicht|kein kommentar
 je ne peux pas|je ne puis|je ne suis pas en mesure|pas en mesure|ne suis malheureusement pas|préfère ne pas|je refuse|dois refuser|dois décliner|impossible de répondre|impossible de vous aider|impossible pour moi|m'est impossible|pas autorisé à|pas le droit de|aucune réponse à donner|je ne sais pas|sans commentaire|pas de commentaire|ne saurais répondre|ne souhaite pas|ne veux pas répondre|m'abstiens
 no puedo|no me es posible|me es imposible|no soy capaz|no estoy en condiciones|no estoy autorizado|prefiero no|no tengo permitido|no me está permitido|debo rechazar|tengo que rechazar|me niego|no sé responder|no lo sé|no sé la|sin comentarios|no quiero responder|no deseo responder|me abstengo|no quisiera|no podré|imposible responder|imposible contestar
 não posso|não me é possível|é-me impossível|não consigo|não sou capaz|não estou em condições|não estou autorizad|prefiro não|não me é permitido|tenho de recusar|devo recusar|recuso-me|não sei|sem comentários|não quero responder|não desejo responder|abstenho-me|não poderei|impossível responder|não gostaria de
 non posso|non mi è possibile|mi è impossibile|non sono in grado|non sono autorizzat|preferisco non|non mi è permesso|non mi è consentito|devo rifiutare|devo declinare|mi rifiuto|non so rispondere|non lo so|non so la|no comment|nessun commento|non voglio rispondere|non desidero|mi astengo|non potrò|impossibile rispondere|non vorrei
-ik kan niet|kan ik niet|kan ik geen|kan ik helaas|kan ik je|kan ik u|ik kan u niet|ik kan je niet|ben niet in staat|niet in staat om|liever geen|liever niet|mag ik niet|ik mag niet|moet ik weigeren|ik weiger|wil ik niet|weet ik niet|ik weet het niet|geen commentaar|niet mogelijk om te antwoorden|is mij niet toegestaan|onthoud ik mij
-jag kan inte|kan jag inte|kan jag tyvärr|jag kan tyvärr|avstår från|avstår jag|vill inte svara|vill jag inte|får jag inte|jag får inte|måste avböja|måste neka|jag vägrar|inte i stånd|har inte möjlighet|inte möjligt för mig|vet inte|inga kommentarer|ingen kommentar|hellre inte|helst inte
+ik kan niet|kan ik niet|kan ik geen|kan ik helaas|kan ik je|kan ik u|ik kan u niet|ik kan je niet|ben niet in staat|niet in staat om|liever geen|liever niet|mag ik niet|mag hier niets|kan ik niets|mag ik niets|ik mag niet|moet ik weigeren|ik weiger|wil ik niet|weet ik niet|ik weet het niet|geen commentaar|niet mogelijk om te antwoorden|is mij niet toegestaan|onthoud ik mij
+jag kan inte|kan jag inte|kan jag tyvärr|jag kan tyvärr|avstår från|avstår jag|vill inte svara|vill inte kommentera|kan inte kommentera|vill jag inte|får jag inte|jag får inte|måste avböja|måste neka|jag vägrar|inte i stånd|har inte möjlighet|inte möjligt för mig|vet inte|inga kommentarer|ingen kommentar|hellre inte|helst inte
 nie mogę|nie jestem w stanie|nie potrafię|wolę nie|wolałbym nie|wolałabym nie|nie wolno mi|nie mam prawa|nie mam uprawnień|muszę odmówić|odmawiam|nie wiem|bez komentarza|nie chcę|nie będę mógł|nie będę mogła|nie udzielę|niemożliwe jest udzielenie|powstrzymam się
 не могу|не смогу|не в состоянии|не в силах|предпочту не|предпочитаю не|не хочу|не буду отвечать|не имею права|мне не разрешено|мне нельзя|вынужден отказать|вынуждена отказать|отказываюсь|я не знаю|без комментариев|воздержусь|невозможно ответить|не вправе|не уполномочен
-无法回答|无法答复|无法提供|无法协助|无法帮助|不能回答|不能协助|不能提供|不能帮助|不便作答|不便回答|不便透露|不便评论|恕不|恕我|拒绝回答|不予回答|不予置评|无可奉告|我不知道|不方便回答|不方便透露|没有办法回答|不想回答|帮不了|不会回答|无权回答|不回答|无法作答|无法处理
+无法回答|无法答复|无法提供|无法协助|无法帮助|不能回答|不能协助|不能提供|不能帮助|不便作答|不便回答|不便透露|不能透露|不便评论|恕不|恕我|拒绝回答|不予回答|不予置评|无可奉告|我不知道|不方便回答|不方便透露|没有办法回答|不想回答|帮不了|不会回答|无权回答|不回答|无法作答|无法处理
 お答えできません|お答えできかね|お答えいたしかね|お答えしかね|答えられません|答えることはできません|答えることができません|回答できません|回答できかね|回答いたしかね|回答しかね|回答は控え|回答は差し控え|回答を控え|回答を差し控え|差し控え|対応できません|対応いたしかね|対応しかね|対応できかね|お手伝いできません|お手伝いできかね|お手伝いいたしかね|分かりません|わかりません|お断り|ご遠慮|申し上げられません|お話しできません|お教えできません|提供できません|ノーコメント|応じられません|応じかね
 """.strip()
 
+# What declines only when the writer or the answering is what it is about.
+WEAK = """
+not allowed to|not permitted to|not authorized|not authorised|guidelines|blocked here|blocked by policy|by policy|against policy|no reply|be disclosed|be revealed|not disclose|not reveal|no permission to|lack permission|confidential|no idea|not going to|decline to
+enough information to|sufficient information to|enough context to|without access|access that was not|keep silent|remain silent|stay silent|do not allow|does not allow|not allow me|no information on|no information about|possible for me to|not something i|lets me answer|let me answer|allows me to answer
+""".strip()
+_SELF = re.compile(r"\b(?:i|i'm|i'd|i'll|i've|me|my|mine|we|we're|us|our)\b", re.I)
+_ANSWERING = re.compile(r"\banswer(?:s|ed|ing)?\b|\bunanswered\b|\b(?:this|that|the|your) (?:question|request|matter|topic)\b|\brespond(?:ing)?\b|\bcomment(?:ing)?\b", re.I)
+# The three slots of an English refusal in the first person: writer, inability or unwillingness, telling.
+_SLOTS = re.compile(
+    r"\b(?:i|we)(?:'m| am|'re| are)? ?(?:really |simply |just |afraid |sorry,? |but |do |also |still )*"
+    r"(?:can't|can not|cannot|could not|couldn't|won't|will not|would not|wouldn't|must not|may not|shall not|don't|do not|am not going to|(?:not )?(?:able|allowed|willing|permitted|prepared) to|unable to|refuse to|decline to|(?:would|'d) rather not|prefer not to)\b"
+    r"[^.!?]*?\b(?:help|assist|answer|say|tell|comment|respond|reply|provide|discuss(?:ing)?|share|disclose|reveal|speak|talk|explain|write|comply|fulfil|fulfill|advise|confirm|elaborate|know|go into|feel (?:comfortable|free|able)|do (?:that|this|it)|give (?:you|an|any|that|this))\b",
+    re.I,
+)
+# The question is passed on to somebody else.
+_PASSED_ON = re.compile(r"^\W*request (?:declined|denied|refused)\W*$|\b(?:question|matter|one|something|topic) (?:for|to be asked of) (?:your|the|somebody|someone|another)\b|\b(?:better|best) (?:asked|put|addressed)\b|\b(?:ask|consult|turn to) (?:your|somebody|someone|an expert|another)\b", re.I)
+
 # What may stand beside a refusal or a quoted question without being an answer.
 COURTESIES = """
 sorry|i'm sorry|i am sorry|apologies|my apologies|unfortunately|thanks|thank you|thanks for asking|hmm|well|as an assistant|please|try asking|please rephrase|please contact|contact the|is there anything else|anything else|let me know|feel free|hope this helps|good question|great question|have a nice day|ask me something else|something else|ask again|ok|okay|hello|hi
@@ -80,6 +107,10 @@ _END = re.compile(r"[.!?。！？:：][\"'”’»)\]】」』*_`]*$|[)\]】」
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*|\n+|(?<=:)\s+")
 _BARE = re.compile(r"^\W*$")
 _WORD = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile(r"[\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0002ffff]")
+_RUNNING = re.compile(r"[^\W\d_]+ [^\W\d_]+ [^\W\d_]+[^.!?]*[.!?]")
+_KANA = re.compile(r"[\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f]")
+_CYR = re.compile(r"[\u0400-\u04ff]")
 _ITEM = re.compile(r"^\s*(?:[-*•–+]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+")
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "」": "「", "』": "『", "】": "【", "”": "“", "»": "«"}
 _OPENERS = set(_PAIRS.values())
@@ -116,8 +147,9 @@ class SuffixAutomaton:
                     self.link[q] = self.link[cur] = clone
             last = cur
 
-    def covered(self, text: str, least: int) -> int:
-        """Characters of `text` that lie in matches of at least `least` characters."""
+    def covered(self, text: str, least: int, spare: float = float("inf")) -> int:
+        """Characters of `text` that lie in matches of at least `least` characters; the traversal ends as soon as more
+        than `spare` of them lie in none, which later ones cannot change."""
         state = length = 0
         total, upto = 0, 0
         for i, c in enumerate(text, 1):
@@ -130,6 +162,8 @@ class SuffixAutomaton:
             if length >= least:
                 total += i - max(upto, i - length)
                 upto = i
+            elif i - length - total > spare:
+                break
         return total
 
 
@@ -138,14 +172,25 @@ def fold(s: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", s.lower()))
 
 
+_TAGS = re.compile(r"<[^<>]{0,40}>|&nbsp;|[\u200b\u200c\u200d\u2060\ufeff]")
+_MARKS = re.compile(r"[\"'`*_~()\[\]{}<>«»“”„=#|,;:.!?…。、：\-–—/\\]+")
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+_IN_BRACKETS = re.compile(r"^\W*[(\[{<].*[)\]}>]\W*$", re.S)
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    s = re.sub(r"<[^<>]{0,40}>|&nbsp;|[​‌‍⁠﻿]", " ", answer)
-    folded = re.sub(r"\s+", " ", re.sub(r"[\"'`*_~()\[\]{}<>«»“”„=#|,;:.!?…。、：\-–—/\\]+", " ", s)).strip().lower()
+    s = _TAGS.sub(" ", answer)
+    folded = " ".join(_MARKS.sub(" ", s).split()).lower()
     if not folded:
-        return not re.search(r"[^\W_]", s)
-    return folded in STAND_INS or re.sub(r"^[\W_]+|[\W_]+$", "", s.lower()) in STAND_INS
+        if not re.search(r"[^\W_]", s):
+            # a tag may be the stand-in itself, or one around nothing
+            return True
+        return False
+    if folded in STAND_INS or _OUTER.sub("", s.lower()) in STAND_INS:
+        return True
+    return folded in BRACKETED and _IN_BRACKETS.match(s) is not None
 
 
 def copied(question: str | None, answer: str) -> bool:
@@ -156,7 +201,7 @@ def copied(question: str | None, answer: str) -> bool:
     if not a or len(q) < 3:
         return bool(a) and a == q
     least = max(3, min(10, len(q) // 3))
-    got = SuffixAutomaton(q).covered(a, least)
+    got = SuffixAutomaton(q).covered(a, least, 0.15 * len(a))
     return got >= 0.85 * len(a) and got >= 0.5 * len(q)
 
 
@@ -177,45 +222,69 @@ def _automaton(name: str, text: str):
 
 # Subjects of statements about a device or person, which decline nothing on the writer's part.
 _THIRD = re.compile(r"^\W*(?:the|a|an|this|that|it|its|any|each|der|das|die|il|el|le|la|o)\s+(?!question|answer|answering)", re.I)
-_FIRST = re.compile(r"\b(?:i|i'm|i'd|i'll|i've|me|my|we|us|our)\b|\bno answer\b|\banswer(?:ing|ed)?\b|\bunanswered\b", re.I)
+# A device or network as the subject of a Chinese or Japanese sentence.
+_THING = re.compile(r"^\W*(?:[^，,。]{0,12}?(?:设备|终端|网络|用户|应用|服务器|模块|系统|固件|代理|订阅者?|定时器|计数器)[^我，,。]{0,8}(?:无法|不能|不得|不会)|[^、。]{0,16}?(?:端末|ネットワーク|機器|装置|モデム|サーバー?|アプリ|利用者|加入者|ファームウェア|エージェント|タイマー)(?:は|が|では))")
+_FIRST = re.compile(r"\b(?:i|i'm|i'd|i'll|i've|me|my|we|us|our|ich|mir|mich|je|moi|yo|eu|io|mi|ik|mij|jag|mig|wir|nous|wij)\b|\bno answer\b|\banswer(?:ing|ed)?\b|\bunanswered\b", re.I)
 
 
 def refuses(sentence: str) -> bool:
+    """Whether a sentence declines: a whole phrase of refusal, or the slots of one: who (the writer), inability, telling."""
     s = sentence.lower().replace("’", "'").replace("‘", "'")
+    weak = next(_automaton("weak", WEAK).iter(s), None) is not None
+    if weak and (_SELF.search(s) or _ANSWERING.search(s)):
+        return True
+    if _SLOTS.search(s) or (_PASSED_ON.search(s) and not re.search(r"\d", s)):
+        return True
     if next(_automaton("refusal", REFUSALS).iter(s), None) is None:
         return False
-    ascii_letters = sum(c.isascii() for c in s)
-    if ascii_letters == len(s) and _THIRD.match(s) and not _FIRST.search(s):
+    if s.isascii() and _THIRD.match(s) and not _FIRST.search(s):
         return False
-    return True
+    return not _THING.match(s)
 
 
 _IDIOM = re.compile(r"\bcannot stress|\bcan't stress|\bcannot be overstated|\bsorry for the (?:delay|wait|late)", re.I)
 
 
+def courtesy(sentence: str) -> bool:
+    """Whether courtesies make up at least three tenths of a sentence."""
+    s = sentence.lower().replace("’", "'")
+    got = upto = 0
+    for end, n in _automaton("courtesy", COURTESIES).iter(s):
+        got += end + 1 - max(upto, end + 1 - n)
+        upto = end + 1
+    return got >= 0.3 * len(s)
+
+
 def refusal(answer: str) -> bool:
     """Some sentence declines and the rest is courtesy."""
     declined, other = False, 0
-    polite = _automaton("courtesy", COURTESIES)
     for s in _SENTENCE.split(answer):
         s = s.strip() if s else ""
         if not s or not re.search(r"[^\W_]", s):
             continue
-        if not _IDIOM.search(s) and refuses(s):
+        idiom = _IDIOM.search(s)
+        if not idiom and refuses(s):
             declined = True
             continue
         if s.endswith((":", "：")):
             continue  # it only leads up to what follows
-        low = s.lower().replace("’", "'")
-        if len(low) <= 90 and next(polite.iter(low), None) is not None and not re.search(r"\d", s):
-            if _IDIOM.search(s) and len(fold(answer)) > len(fold(s)) + 3:
-                other += 1
+        if not re.search(r"\d", s) and courtesy(s):
+            other += bool(idiom and len(fold(answer)) > len(fold(s)) + 3)
             continue
-        other += len(_WORD.findall(s)) > 2 or len(s) > 25
+        wide = len(_WIDE.findall(s))
+        other += len(_WORD.findall(_WIDE.sub(" ", s))) + wide / 2 > 2
     if declined:
         return other == 0
-    bare = fold(answer)
-    return other == 0 and bare in ("sorry", "i am sorry", "i m sorry", "apologies", "my apologies", "unfortunately not possible", "desculpe", "lo siento", "désolé", "leider nein", "leider nicht", "抱歉", "很抱歉", "对不起", "申し訳ありません", "すみません", "извините", "к сожалению", "tyvärr", "helaas", "niestety", "przepraszam", "purtroppo", "mi dispiace", "infelizmente", "het spijt me", "förlåt")
+    return other == 0 and fold(answer) in SORRY
+
+
+# An excuse that is the whole answer.
+SORRY = frozenset(
+    [
+        "sorry", "i am sorry", "i m sorry", "apologies", "my apologies", "unfortunately not possible", "desculpe", "lo siento", "désolé", "leider nein", "leider nicht", "抱歉", "很抱歉", "对不起", "申し訳ありません", "すみません",
+        "извините", "к сожалению", "tyvärr", "helaas", "niestety", "przepraszam", "purtroppo", "mi dispiace", "infelizmente", "het spijt me", "förlåt",
+    ]
+)
 
 
 def truncated(answer: str) -> bool:
@@ -263,15 +332,8 @@ def truncated(answer: str) -> bool:
 def votes(text: str) -> tuple[dict[str, float], float]:
     """Votes of scripts and stopwords for each language, and how many words had a say."""
     v = dict.fromkeys(LANGS, 0.0)
-    han = kana = cyr = 0
-    for c in text:
-        if c > "ʯ":
-            if is_kana(c):
-                kana += 1
-            elif is_han(c):
-                han += 1
-            elif is_cyrillic(c):
-                cyr += 1
+    kana, cyr = len(_KANA.findall(text)), len(_CYR.findall(text))
+    han = len(_WIDE.findall(text)) - kana
     if kana >= 2 and kana * 8 > han:
         v["ja"] += (han + kana) / 2
     else:
@@ -304,14 +366,28 @@ def language(text: str, least: float) -> str | None:
     return best[0] if best[1] >= least and best[1] > 1.25 * second[1] else None
 
 
+def foreign(text: str, lang: str) -> bool:
+    """Whether running text has none of the frequent words of a language: it is in one that nobody votes for."""
+    if lang in ("zh", "ja"):
+        return False
+    words = {w for w in _WORD.findall(text) if w.islower()}
+    # of a dozen different words of running text in any of the languages at least one is a frequent one, but for one text in 10^3
+    return len(words) >= 12 and _RUNNING.search(text) is not None and not any(lang in OF_WORD.get(w, ()) for w in words) and not asked_list(text)
+
+
+def asked_list(text: str) -> bool:
+    return any(_ITEM.match(x) or "|" in x for x in text.split("\n"))
+
+
 def other_language(question: str | None, answer: str) -> bool:
     if not question:
         return False
-    a = language(re.sub(r"[A-Z]+_[A-Z_]+[0-9]*|```.*?```", " ", answer, flags=re.S), 2.0)
-    if a is None:
-        return False
+    plain = re.sub(r"[A-Z]+_[A-Z_]+[0-9]*|```.*?```", " ", answer, flags=re.S)
+    a = language(plain, 2.0)
     v, n = votes(question)
     q = max(v, key=v.get)
+    if a is None:
+        return v[q] >= 1.0 and foreign(plain, q)
     if v[q] < 1.0 or q == a or v[a] >= 0.8 * v[q]:
         return False
     return not asks_for(question, a)

@@ -71,3 +71,34 @@ def test_operator(spark):
 def test_a_question_given_back_many_times_is_copied():
     assert P.copied(Q, " ".join([Q] * 12)) and P.defect(Q, " ".join([Q] * 12)) == "copied"
     assert not P.copied(Q, " ".join([Q] * 2) + " The modem shall leave NR at once and wait for three seconds." * 20)
+
+
+def test_held_out_refusals():
+    """Sentences written apart from the lists. First measured, before anything was mended for them: 42 of 50 refusals
+    found, 2 of 50 answers taken for one."""
+    from tests.llm.held_out import ANSWERED, REFUSED
+
+    q = "What does the plan say about this case?"
+    found = sum(P.defect(q, x) == "refusal" for x in REFUSED)
+    wrong = sum(P.defect(q, x) == "refusal" for x in ANSWERED)
+    assert found >= 0.9 * len(REFUSED) and wrong <= 0.05 * (found + wrong)
+
+
+@pytest.mark.parametrize("answer", ["Follow the 3GPP guidelines.", "See the operator guidelines, section 4.", "Keep it confidential.", "No reply is sent to the network.", "Blocked by policy until the SIM registers.", "Unknown", "Undefined", "false", "string", "A"])
+def test_answers_that_look_like_defects(answer):
+    assert P.defect("Which parameter is it?", answer) is None
+
+
+@pytest.mark.parametrize("answer", ["I will not write that for you.", "That would be a question for your network operator, I am afraid."])
+def test_refusals_in_other_words(answer):
+    assert P.defect(Q, answer) == "refusal"
+
+
+def test_a_language_that_nobody_votes_for():
+    finnish = "Laite odottaa verkon vastausta ja tallentaa profiilin muistiin ennen kuin ajastin päättyy, minkä jälkeen se lähettää uuden viestin palvelimelle."
+    assert P.defect(Q, finnish) == "other_language"
+    assert P.defect(Q, "<unknown>") == "empty" and P.defect(Q, "(empty)") == "empty"
+
+
+def test_courtesy_has_no_length():
+    assert P.defect(Q, "I can't help with that. " + "Thank you for asking, thank you, thanks, " * 6 + "thank you.") == "refusal"
