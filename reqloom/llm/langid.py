@@ -1,21 +1,29 @@
 """Document languages with a linear-chain conditional random field over words.
 
 Features of a word are its affixes, its hashed character n-grams, its scripts and the lexicons it is in; the model has a
-weight for each feature and language and one for each transition between languages. It is trained here, on sentences of
-at most ``SAMPLE`` documents of at most ``SAMPLE_CHARS`` characters (the smallest hashes of doc_id, a documented bound)
-whose language the lexicons settle, starting from weights that say what lexicons and scripts say (with fewer than
-``LEAST_SENTENCES`` sentences those stay as they are); sentences are strung together with switches, so that transitions are learned from
-code-switched text. Everything else covers all documents and whole texts: forward-backward gives every word its
-language distribution, words add up to sentences, sentences to passages and documents.
+weight for each feature and language and one for each transition between languages. It is fitted on a bounded sample:
+about ``SAMPLE`` documents of at most ``SAMPLE_CHARS`` characters, drawn by the hash of doc_id at a rate for each
+delivered label, of which at most ``PER_LANGUAGE`` sentences of at most ``TRAIN_WORDS`` words a language are used, whose
+language the lexicons settle. It starts from weights that say what lexicons and scripts say (with fewer than
+``LEAST_SENTENCES`` sentences those stay as they are); sentences are strung together with switches, so that transitions
+are learned from code-switched text. A fitted model is used by all queries of a session, and by later ones where the
+setting ``spark.reqloom.langid.model`` names a file for it.
+
+Everything else covers all documents and whole texts: forward-backward over whole sentences gives every word its language
+distribution. Words add up to sentences and documents; runs of words of one language are passages, also inside a
+sentence.
 
 Defined results: null and blank texts, and texts without any word, have no language (null) and are no cases. A document is
 mixed when at least two languages hold two or more full sentences each (a full sentence ends in its mark and has at
-least ``WORDS`` words); headings, lists of names and foreign terms are not full sentences of another language. Ties go
-to the language that comes first in LANGS.
+least ``WORDS`` words); headings, lists of names and foreign terms are not full sentences of another language. Passages
+are reported of every document with passages (``RUN`` words or more) in two languages or more; they cover its words.
+Running text without a single frequent word of the language found is in none of LANGS: its language is ``other``. Ties
+go to the language that comes first in LANGS.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,11 +37,12 @@ from pyspark.sql import types as T
 from reqloom.llm.languages import LANGS, OF_WORD, is_cyrillic, is_han, is_kana, language_of_label
 from reqloom.sources.tables import table
 
-SAMPLE, SAMPLE_CHARS, PER_LANGUAGE, LEAST_SENTENCES = 4000, 4000, 500, 100
-WORDS, SURE = 3, 0.6
+SAMPLE, SAMPLE_CHARS, PER_LANGUAGE, TRAIN_WORDS, LEAST_SENTENCES = 4000, 4000, 500, 60, 100
+WORDS, SURE, RUN = 3, 0.6, 4
+OTHER, OTHER_WORDS = "other", 15
 L = len(LANGS)
 BUCKETS = 1 << 15
-CHUNK = 64  # words of one chain; longer sentences are several chains
+MODEL = "spark.reqloom.langid.model"
 
 _CJK = "぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0002ffff"
 _TOKEN = re.compile(rf"[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)?|[{_CJK}]{{1,2}}|[.!?]+(?=[\"'”»)\]]*(?:\s+[^\sa-zß-ÿа-яё0-9]|\s*\Z|\s*\n))|[。！？]|\n")
@@ -68,6 +77,7 @@ class Words:
         self.rows = np.ones((1024, L), dtype=np.float32)
         self.n = 3
         self.features: list[list[int]] = [[], [], []]
+        self._flags: tuple[np.ndarray, np.ndarray] | None = None
 
     def ids(self, tokens: list[str]) -> np.ndarray:
         new = [t for t in set(tokens) if t not in self.index]
@@ -90,6 +100,23 @@ class Words:
             self.n += len(fresh)
         return np.fromiter(map(self.index.__getitem__, tokens), dtype=np.int32, count=len(tokens))
 
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each form: of which languages it is a frequent word, and whether it is a lower-case word in Latin letters."""
+        if self._flags is None or len(self._flags[0]) < self.n:
+            old = self._flags
+            f, latin = np.zeros((self.n, L), dtype=bool), np.zeros(self.n, dtype=bool)
+            begin = 3
+            if old is not None:
+                begin = len(old[0])
+                f[:begin], latin[:begin] = old
+            for w, i in self.index.items():
+                if i >= begin:
+                    for x in OF_WORD.get(w.lower(), ()):
+                        f[i, LANGS.index(x)] = True
+                    latin[i] = w.islower() and w < "\u0250"
+            self._flags = f, latin
+        return self._flags
+
     def _grow(self, fresh: list[list[int]]) -> None:
         need = self.n + len(fresh)
         if need > len(self.rows):
@@ -125,13 +152,11 @@ def chains(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def forward_backward(ids: np.ndarray, lengths: np.ndarray, rows: np.ndarray, trans: np.ndarray, grad: bool = False):
-    """Chains laid one after the other. Returns the sum of the word distributions of each chain; with `grad` also the
-    distribution of each word, the expected transitions and the log-likelihood's normaliser."""
+    """Chains laid one after the other. Returns the distribution of each word; with `grad` also the expected transitions."""
     order = np.argsort(-lengths, kind="stable")
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
     size = lengths[order]
-    out = np.zeros((len(lengths), L), dtype=np.float32)
-    each = np.zeros((len(ids), L), dtype=np.float32) if grad else None
+    each = np.zeros((len(ids), L), dtype=np.float32)
     moves = np.zeros((L, L)) if grad else None
     for lo in range(0, len(order), 4096):
         st, sz = starts[lo : lo + 4096], size[lo : lo + 4096]
@@ -147,7 +172,6 @@ def forward_backward(ids: np.ndarray, lengths: np.ndarray, rows: np.ndarray, tra
             a = a / a.sum(axis=1, keepdims=True)
             alpha.append(a)
             emit.append(e)
-        total = np.zeros((len(st), L), dtype=np.float32)
         beta = np.ones((0, L), dtype=np.float32)
         for t in range(longest - 1, -1, -1):
             k = int(active[t])
@@ -162,26 +186,57 @@ def forward_backward(ids: np.ndarray, lengths: np.ndarray, rows: np.ndarray, tra
             beta = b
             p = alpha[t] * b
             p /= p.sum(axis=1, keepdims=True)
-            total[:k] += p
-            if grad:
-                each[st[:k] + t] = p
-        out[order[lo : lo + 4096]] = total
-    return (out, each, moves) if grad else out
+            each[st[:k] + t] = p
+    return (each, moves) if grad else each
 
 
-def sentence_sums(ids: np.ndarray, sentence: np.ndarray, words: np.ndarray, rows: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Summed word distributions of each sentence; long sentences are several chains."""
-    first = np.concatenate([[0], np.cumsum(words)[:-1]])
-    within = np.arange(len(ids)) - first[sentence]
-    new = (within % CHUNK) == 0
-    chain = np.cumsum(new) - 1
-    lengths = np.bincount(chain) if len(ids) else np.empty(0, dtype=np.int64)
-    sums = forward_backward(ids, lengths, rows, trans)
+def sums_of(each: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Word distributions added up by sentence."""
     out = np.zeros((len(words), L), dtype=np.float64)
-    np.add.at(out, sentence[new], sums)
+    some = np.flatnonzero(words)
+    if len(some):
+        out[some] = np.add.reduceat(each.astype(np.float64), np.concatenate([[0], np.cumsum(words[some])[:-1]]), axis=0)
     return out
 
 
+def runs(each: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages of words laid one after the other: (first word, words, language, summed probability of it) of each.
+
+    A run is a stretch of words of one document with one most probable language. Runs of fewer than RUN words, and runs whose
+    language is not sure, belong to the passage before them (the first ones to the one after).
+    """
+    if not len(each):
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none, np.empty(0)
+    lang = each.argmax(axis=1)
+    new = np.ones(len(lang), dtype=bool)
+    new[1:] = (lang[1:] != lang[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(lang)))
+    mean = np.add.reduceat(each.max(axis=1).astype(np.float64), at) / size
+    own = (size >= RUN) & (mean >= SURE)
+    of_doc = doc[at]
+    # the owner of each run: the last own run of the document at or before it, else the first own one after it
+    idx = np.arange(len(at))
+    before = np.maximum.accumulate(np.where(own, idx, -1))
+    after = np.minimum.accumulate(np.where(own, idx, len(at))[::-1])[::-1]
+    ok = (before >= 0) & (of_doc[np.maximum(before, 0)] == of_doc)
+    ok_after = (after < len(at)) & (of_doc[np.minimum(after, len(at) - 1)] == of_doc)
+    owner = np.where(ok, before, np.where(ok_after, after, -1))
+    # documents without any own run are one passage, in the language of most of their words
+    mass = np.zeros((int(doc[-1]) + 1, L))
+    np.add.at(mass, doc, each)
+    run_lang = np.where(owner >= 0, lang[at][np.maximum(owner, 0)], mass.argmax(axis=1)[of_doc])
+    joint = np.ones(len(at), dtype=bool)
+    joint[1:] = (run_lang[1:] != run_lang[:-1]) | (of_doc[1:] != of_doc[:-1])
+    k = np.cumsum(joint) - 1
+    first = at[joint]
+    count = np.bincount(k, weights=size).astype(np.int64)
+    word_run = np.repeat(k, size)
+    p = np.bincount(word_run, weights=each[np.arange(len(lang)), run_lang[joint][word_run]])
+    return first, count, run_lang[joint], p
+
+
 def train(texts: list[str], rounds: int = 60, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions from raw texts: the lexicons settle sentences, the CRF learns from those."""
     vocab = Words()
@@ -207,7 +262,7 @@ def train(texts: list[str], rounds: int = 60, seed: int = 5) -> tuple[np.ndarray
     votes = np.zeros((len(words), L))
     np.add.at(votes, sentence, lex[ids])
     top = np.sort(votes, axis=1)
-    clear = full & (words >= 5) & (top[:, -1] >= 2) & (top[:, -1] >= 1.5 * top[:, -2])
+    clear = full & (words >= 5) & (words <= TRAIN_WORDS) & (top[:, -1] >= 2) & (top[:, -1] >= 1.5 * top[:, -2])
     label = votes.argmax(axis=1)
     rng = np.random.default_rng(seed)
     first = np.concatenate([[0], np.cumsum(words)[:-1]])
@@ -221,7 +276,7 @@ def train(texts: list[str], rounds: int = 60, seed: int = 5) -> tuple[np.ndarray
     order = use.copy()
     swap = rng.random(len(order)) < 0.3
     order[swap] = rng.permutation(order[swap])
-    words_of = [np.arange(first[s], first[s] + min(words[s], 30)) for s in order]
+    words_of = [np.arange(first[s], first[s] + words[s]) for s in order]
     at = np.concatenate(words_of)
     target = np.repeat(label[order], [len(w) for w in words_of])
     lengths = np.array([sum(len(w) for w in words_of[i : i + 3]) for i in range(0, len(words_of), 3)])
@@ -245,7 +300,7 @@ def train(texts: list[str], rounds: int = 60, seed: int = 5) -> tuple[np.ndarray
     for step in range(1, rounds + 1):
         e = emissions(feats, weights)
         rows = np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float32)
-        _, each, moves = forward_backward(seq, lengths, rows, np.exp(trans).astype(np.float32), grad=True)
+        each, moves = forward_backward(seq, lengths, rows, np.exp(trans).astype(np.float32), grad=True)
         diff = gold - each
         per_form = np.stack([np.bincount(seq, weights=diff[:, k], minlength=len(forms)) for k in range(L)], axis=1)
         spread = (per_form * scale[:, None])[owner]
@@ -272,14 +327,64 @@ def seed_weights() -> np.ndarray:
 
 
 def sample_texts(spark: SparkSession, base: str) -> list[str]:
+    """Texts of about SAMPLE documents, the same share for every delivered label: first the documents of each are counted,
+    then each gives those whose hash lies below its rate. At most 2 * SAMPLE texts of SAMPLE_CHARS characters come back."""
     d = table(spark, base, "documents").where(F.length("text").between(40, SAMPLE_CHARS))
-    # of the label that fills the collection an eighth, so that rarer languages have their share of the bounded sample
-    rare = ~F.lower(F.coalesce("lang", F.lit(""))).startswith("en") | (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0)
-    return [r[0] for r in d.where(rare).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE).select("text").collect()]
-
-
-_RESULT = T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType()))])
-_PASSAGES = T.ArrayType(T.StructType([T.StructField("passage", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())]))
+    code = F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2))
+    d = d.select("text", F.when(code.isin(LANGS), code).otherwise("").alias("code"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    counts = {r[0]: r[1] for r in d.groupBy("code").count().collect()}
+    if not counts:
+        return []
+    share = SAMPLE / len(counts)
+    low = F.lit(0)
+    for c, n in counts.items():
+        low = F.when(F.col("code") == c, int(min(1.0, share / n) * (1 << 30))).otherwise(low)
+    rows = d.where(F.col("h") < low).select("h", "text").limit(2 * SAMPLE).collect()
+    return [r[1] for r in sorted(rows)]
+
+
+def fit(spark: SparkSession, base: str) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions, fitted on the sample."""
+    return train(sample_texts(spark, base))
+
+
+def save_model(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], where: str) -> None:
+    data = io.BytesIO()
+    np.savez_compressed(data, weights=model[0], trans=model[1])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+
+
+def load_model(spark: SparkSession, where: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The model of a file, or None where there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    with np.load(io.BytesIO(bytes(spark.read.format("binaryFile").load(where).select("content").first()[0]))) as z:
+        return z["weights"], z["trans"]
+
+
+def model_of(spark: SparkSession, base: str):
+    """The broadcast model (1.5 MB): of this session, of the file that the setting names, or fitted now."""
+    sc = spark.sparkContext
+    known = sc.__dict__.setdefault("_reqloom_langid", {})
+    where = spark.conf.get(MODEL, None)
+    key = where or base
+    if key not in known:
+        model = load_model(spark, where) if where else None
+        if model is None:
+            model = fit(spark, base)
+            if where:
+                save_model(spark, model, where)
+        known[key] = sc.broadcast(model)
+    return known[key]
+
+
+_PASSAGE = T.StructType([T.StructField("passage", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType())])
+_FIELDS = [T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("passages", T.ArrayType(_PASSAGE))]
 
 
 class Labeller:
@@ -290,6 +395,14 @@ class Labeller:
         self.vocab = Words(weights)
 
     def documents(self, texts: list[str | None]) -> tuple[list, list, list]:
+        """(language, confidence, languages if mixed) of each text."""
+        return self.label(texts, False)[:3]
+
+    def passages(self, text: str) -> list[tuple[int, int, int, str, float]]:
+        """(number, start, end, language, confidence) of each passage of a text in several languages; else none."""
+        return self.label([text], True)[3][0]
+
+    def label(self, texts: list[str | None], want_passages: bool) -> tuple[list, list, list, list]:
         if self.vocab.n > 400_000:
             self.vocab = Words(self.weights)
         tokens: list[str] = []
@@ -302,8 +415,10 @@ class Labeller:
                 sizes[i] = len(x)
                 tokens += x
         doc = np.repeat(np.arange(len(texts)), sizes)
-        ids, sentence, of_doc, full, words = chains(self.vocab.ids(tokens), doc)
-        sums = sentence_sums(ids, sentence, words, self.vocab.rows, self.trans)
+        all_ids = self.vocab.ids(tokens)
+        ids, sentence, of_doc, full, words = chains(all_ids, doc)
+        each = forward_backward(ids, words[words > 0], self.vocab.rows, self.trans)
+        sums = sums_of(each, words)
         mass = np.zeros((len(texts), L))
         np.add.at(mass, of_doc, sums * np.where(full & (words >= WORDS), 1.0, 0.5)[:, None])
         top = sums.argmax(axis=1) if len(sums) else np.empty(0, dtype=np.int64)
@@ -312,63 +427,67 @@ class Labeller:
         np.add.at(held, (of_doc[sure], top[sure]), 1)
         total = mass.sum(axis=1)
         langs, sures, several = [], [], []
+        best = mass.argmax(axis=1)
         for i in range(len(texts)):
             if total[i] <= 0:
                 langs.append(None), sures.append(None), several.append([])
                 continue
-            k = int(mass[i].argmax())
+            k = int(best[i])
             langs.append(LANGS[k]), sures.append(float(mass[i, k] / total[i]))
             two = np.flatnonzero(held[i] >= 2)
             several.append([LANGS[j] for j in two] if len(two) > 1 else [])
-        return langs, sures, several
-
-    def passages(self, text: str) -> list[tuple[int, int, int, str, float]]:
-        """Maximal runs of sentences in one language, with code-point offsets."""
-        found = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        ids = self.vocab.ids([f[0].capitalize() if text.isupper() else f[0] for f in found])
-        cut = (ids == END) | (ids == BREAK)
-        of_token = np.cumsum(np.concatenate([[0], cut[:-1]])) if len(ids) else np.empty(0, dtype=np.int64)
-        w_ids, sentence, _, full, words = chains(ids, np.zeros(len(ids), dtype=np.int64))
-        sums = sentence_sums(w_ids, sentence, words, self.vocab.rows, self.trans)
-        out: list[list] = []
-        for s in range(len(words)):
-            if not words[s]:
+        for i in self._unknown(all_ids, doc, best, langs):
+            langs[i], several[i] = OTHER, []
+        return langs, sures, several, self._passages(texts, all_ids, doc, each, langs) if want_passages else [[]] * len(texts)
+
+    def _unknown(self, ids: np.ndarray, doc: np.ndarray, best: np.ndarray, langs: list) -> list[int]:
+        """Documents of OTHER_WORDS different words or more in Latin letters, of which none is a frequent one of their language."""
+        frequent, latin = self.vocab.frequent()
+        known = np.zeros(len(langs), dtype=bool)
+        hit = frequent[ids, best[doc]]
+        known[doc[hit]] = True
+        plain = latin[ids]
+        some = np.bincount(doc[plain], minlength=len(langs)) >= OTHER_WORDS
+        out = []
+        for i in np.flatnonzero(~known & some):
+            if langs[i] is not None and langs[i] not in ("zh", "ja", "ru") and len(np.unique(ids[(doc == i) & plain])) >= OTHER_WORDS:
+                out.append(int(i))
+        return out
+
+    def _passages(self, texts: list, ids: np.ndarray, doc: np.ndarray, each: np.ndarray, langs: list) -> list[list[tuple]]:
+        """Maximal runs of words in one language, with code-point offsets, of the documents that have several."""
+        out: list[list[tuple]] = [[] for _ in texts]
+        words = np.flatnonzero(ids > SKIP)
+        first, count, lang, p = runs(each, doc[words])
+        start_of = np.searchsorted(doc, np.arange(len(texts)))
+        of_doc = doc[words[first]] if len(first) else np.empty(0, dtype=np.int64)
+        for i in np.unique(of_doc):
+            mine = np.flatnonzero(of_doc == i) if len(of_doc) < 4096 else np.arange(np.searchsorted(of_doc, i), np.searchsorted(of_doc, i, side="right"))
+            if len(mine) < 2 or langs[i] == OTHER:
                 continue
-            at = np.flatnonzero(of_token == s) if len(words) < 2000 else np.arange(np.searchsorted(of_token, s), np.searchsorted(of_token, s, side="right"))
-            a, b = found[int(at[0])][1], found[int(at[-1])][2]
-            k = int(sums[s].argmax())
-            own = full[s] and words[s] >= WORDS and sums[s, k] >= SURE * words[s]
-            if out and (out[-1][2] == k or not own):  # what is no full sentence belongs to the passage around it
-                out[-1][1] = b
-                out[-1][3] += sums[s, out[-1][2]]
-                out[-1][4] += words[s]
-            else:
-                out.append([a, b, k, sums[s, k], words[s]])
-        return [(i + 1, o[0], o[1], LANGS[o[2]], float(o[3] / o[4])) for i, o in enumerate(out)]
+            spots = [m.span() for m in _TOKEN.finditer(texts[i])]
+            for n, j in enumerate(mine):
+                a = words[first[j]] - start_of[i]
+                b = words[first[j] + count[j] - 1] - start_of[i]
+                b += b + 1 < len(spots) and ids[start_of[i] + b + 1] == END  # with its full stop
+                out[i].append((n + 1, spots[a][0], spots[b][1], LANGS[lang[j]], float(p[j] / count[j])))
+        return out
+
 
+def _document_column(model, want_passages: bool):
+    fields = _FIELDS if want_passages else _FIELDS[:3]
 
-def _document_column(model):
-    @F.pandas_udf(_RESULT)
+    @F.pandas_udf(T.StructType(fields))
     def languages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(*model.value)
         for texts in batches:
-            parts = [labeller.documents(texts.iloc[i : i + 500].tolist()) for i in range(0, len(texts), 500)]
-            a, b, c = ([x for p in parts for x in p[k]] for k in range(3))
-            yield pd.DataFrame({"language": pd.Series(a, dtype=object), "confidence": pd.Series(b, dtype="float64"), "languages": pd.Series(c, dtype=object)})
+            parts = [labeller.label(texts.iloc[i : i + 500].tolist(), want_passages) for i in range(0, len(texts), 500)]
+            cols = [[x for p in parts for x in p[k]] for k in range(len(fields))]
+            yield pd.DataFrame({f.name: pd.Series(c, dtype="float64" if f.name == "confidence" else object) for f, c in zip(fields, cols, strict=True)})
 
     return languages.asNondeterministic()  # else a filter on its result would run it once more
 
 
-def _passage_column(model):
-    @F.pandas_udf(_PASSAGES)
-    def passages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        labeller = Labeller(*model.value)
-        for texts in batches:
-            yield pd.Series([labeller.passages(t) for t in texts])
-
-    return passages
-
-
 @F.pandas_udf(T.StringType())
 def label_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known: dict = {}
@@ -376,16 +495,14 @@ def label_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([known[x] if x in known else known.setdefault(x, language_of_label(x)) for x in labels], dtype=object)
 
 
-def labelled(spark: SparkSession, base: str):
-    """Every document with its label's language, found language, confidence and languages if mixed; and the model."""
-    model = spark.sparkContext.broadcast(train(sample_texts(spark, base)))
-    d = table(spark, base, "documents").select("doc_id", label_column("lang").alias("label"), _document_column(model)("text").alias("r"), "text")
-    return d, model
+def labelled(spark: SparkSession, base: str, passages: bool = False) -> DataFrame:
+    """Every document with its label's language, found language, confidence and languages if mixed; and its passages."""
+    model = model_of(spark, base)
+    return table(spark, base, "documents").select("doc_id", label_column("lang").alias("label"), _document_column(model, passages)("text").alias("r"))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    d, _ = labelled(spark, base)
-    d = d.select("doc_id", "label", "r").where(F.col("r.language").isNotNull())
+    d = labelled(spark, base).where(F.col("r.language").isNotNull() & (F.col("r.language") != OTHER))
     mixed = F.size("r.languages") > 1
     defect = F.when(mixed, "mixed").when(F.col("label").isNull(), "missing").when(F.col("label") != F.col("r.language"), "wrong")
     langs = F.when(mixed, F.col("r.languages")).otherwise(F.array("r.language"))
@@ -395,12 +512,14 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p9_documents(spark: SparkSession, base: str) -> DataFrame:
     """Language and confidence of every document."""
-    d, _ = labelled(spark, base)
-    return d.select("doc_id", "label", "r").select("doc_id", "label", "r.language", "r.confidence", F.array_join("r.languages", ",").alias("languages"))
+    return labelled(spark, base).select("doc_id", "label", "r.language", "r.confidence", F.array_join("r.languages", ",").alias("languages"))
 
 
 def p9_passages(spark: SparkSession, base: str) -> DataFrame:
-    """Language and confidence of every passage of the mixed documents."""
-    d, model = labelled(spark, base)
-    p = d.where(F.size("r.languages") > 1).select("doc_id", F.explode(_passage_column(model)("text")).alias("p"))
-    return p.select("doc_id", "p.*")
+    """Language and confidence of every passage of the documents with passages in several languages."""
+    return labelled(spark, base, True).select("doc_id", F.explode("r.passages").alias("p")).select("doc_id", "p.*")
+
+
+def p9_labels(spark: SparkSession, base: str) -> DataFrame:
+    """The language that each delivered label names, in whatever spelling."""
+    return table(spark, base, "documents").select("doc_id", label_column("lang").alias("label"))

@@ -42,9 +42,11 @@ for _lang in LANGS:
     for _w in FREQUENT_SETS[_lang]:
         OF_WORD[_w] = (*OF_WORD.get(_w, ()), _lang)
 
-_NAME_OF = {n: k for k, names in NAMES.items() for n in [k, *names.split()]}
-_NAME_OF["se"] = "sv"
-_NAME_OF.update({"gb": "en", "us": "en", "uk": "en"})
+NAME_OF = {n: k for k, names in NAMES.items() for n in [k, *names.split()]}
+NAME_OF["se"] = "sv"
+NAME_OF.update({"gb": "en", "us": "en", "uk": "en"})
+# Codes of regions and scripts, which name a language only when they stand alone.
+REGIONS = ("gb", "us", "uk", "cn", "jp", "se", "hans", "hant")
 
 
 def language_of_label(label: str | None) -> str | None:
@@ -52,11 +54,11 @@ def language_of_label(label: str | None) -> str | None:
     if not label:
         return None
     s = label.strip().lower()
-    if s in _NAME_OF:
-        return _NAME_OF[s]
+    if s in NAME_OF:
+        return NAME_OF[s]
     head = s.replace("_", "-").replace("(", "-").replace(" ", "-").split("-")[0]
-    if head in _NAME_OF and head not in ("gb", "us", "uk", "cn", "jp", "se", "hans", "hant"):
-        return _NAME_OF[head]
+    if head in NAME_OF and head not in REGIONS:
+        return NAME_OF[head]
     return None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reqloom.llm import langid, mixing, neardup, packing, pairs, percentiles, pieces
+from reqloom.llm import langid, languages, mixing, neardup, packing, pairs, percentiles, pieces
 
 QUERIES = {
     "p2_found": neardup.p2_found,
@@ -19,8 +19,12 @@ QUERIES = {
     "p9_found": langid.p9_found,
     "p9_documents": langid.p9_documents,
     "p9_passages": langid.p9_passages,
+    "p9_labels": langid.p9_labels,
 }
 
+_NAMED = ", ".join(f"('{n}', '{k}')" for n, k in languages.NAME_OF.items())
+_REGIONS = ", ".join(f"'{x}'" for x in languages.REGIONS)
+
 SQL = {
     "p2_found": """WITH docs AS (SELECT DISTINCT req_id, list_transform(regexp_extract_all(coalesce(title, '') || ' ' || text, '[A-Za-z0-9]+'), lambda w: lower(w)) AS w
         FROM requirements WHERE req_id IS NOT NULL AND len(regexp_extract_all(text, '[A-Za-z0-9]+')) >= 25),
@@ -35,4 +39,7 @@ SQL = {
         THEN 'forced' ELSE 'natural' END AS cut FROM items""",
     "p3_restored": """SELECT DISTINCT 'requirements' AS item_table, rec_id AS item_id, md5(text) AS restored, true AS kept FROM requirements WHERE length(text) > 2000
         UNION ALL SELECT DISTINCT 'spec_sections', sec_id, md5(text), true FROM spec_sections WHERE length(text) > 2000""",
+    "p9_labels": f"""WITH names(n, k) AS (VALUES {_NAMED}), d AS (SELECT doc_id, lower(regexp_replace(lang, '^\\s+|\\s+$', '', 'g')) AS s FROM documents),
+      h AS (SELECT doc_id, s, regexp_extract(s, '^([^-_( ]*)', 1) AS head FROM d)
+      SELECT doc_id, coalesce(a.k, CASE WHEN head NOT IN ({_REGIONS}) THEN b.k END) AS label FROM h LEFT JOIN names a ON a.n = s LEFT JOIN names b ON b.n = head""",
 }

@@ -53,6 +53,58 @@ def test_mixed(labeller):
     assert labeller.passages("") == []
 
 
+def test_passages_inside_a_sentence(labeller):
+    one = "The modem shall stop when the network does not answer und danach muss das Modem warten, wenn das Netz keine Antwort liefert"
+    p = labeller.passages(one)
+    assert [x[3] for x in p] == ["en", "de"] and abs(p[1][1] - one.index("und danach")) <= 12
+    assert p[0][1] == 0 and p[-1][2] == len(one) and all(0 < x[4] <= 1 for x in p)
+    three = SENTENCES["en"] + " Quand le réseau ne répond pas. " + SENTENCES["en"]
+    assert [x[3] for x in labeller.passages(three)] == ["en", "fr", "en"]
+    assert labeller.passages(SENTENCES["en"]) == []
+    names = "Danach sendet das Modem die Meldung Passive Certificate Audit an das Netz und wartet."
+    assert labeller.passages(SENTENCES["de"] + " " + names) == []
+
+
+def test_batches_and_single_texts_agree(labeller):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(list(SENTENCES.values())) for _ in range(rnd.randint(0, 6))) for _ in range(40)]
+    together = labeller.label(texts, True)
+    for i, t in enumerate(texts):
+        alone = labeller.label([t], True)
+        assert [x[i] for x in together][0] == alone[0][0] and together[2][i] == alone[2][0]
+        assert [x[:4] for x in together[3][i]] == [x[:4] for x in alone[3][0]]
+
+
+def test_a_sentence_is_one_chain(labeller):
+    """A switch after many words is seen, and words next to it are judged by their neighbours, wherever it lies."""
+    for lead in (20, 63, 64, 65, 130):
+        text = " ".join(["warten"] * 0 + ["the network"] * lead) + " und danach muss das Modem warten wenn das Netz keine Antwort liefert"
+        p = labeller.passages(text)
+        assert [x[3] for x in p] == ["en", "de"], lead
+
+
+def test_other_languages(labeller):
+    finnish = "Laite odottaa verkon vastausta ja tallentaa profiilin muistiin ennen kuin ajastin päättyy, minkä jälkeen se lähettää uuden viestin palvelimelle."
+    langs, _, _ = labeller.documents([finnish, SENTENCES["en"]])
+    assert langs == ["other", "en"]
+
+
+def test_model_is_fitted_once(spark, tmp_path):
+    rows = [(i, s + " " + s, k) for i, (k, s) in enumerate(SENTENCES.items())]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    a = G.model_of(spark, str(tmp_path))
+    assert G.model_of(spark, str(tmp_path)) is a
+    where = f"{tmp_path}/model.npz"
+    spark.conf.set(G.MODEL, where)
+    try:
+        G.model_of(spark, str(tmp_path))
+    finally:
+        spark.conf.unset(G.MODEL)
+    again = G.load_model(spark, where)
+    assert all(np.array_equal(x, y) for x, y in zip(a.value, again, strict=True))
+    assert G.load_model(spark, f"{tmp_path}/none.npz") is None
+
+
 def test_long_text(labeller):
     langs, _, several = labeller.documents([SENTENCES["fr"] * 3000 + " " + "quand la batterie est vide " * 20000])
     assert langs == ["fr"] and several == [[]]
@@ -65,7 +117,8 @@ def test_forward_backward_against_enumeration():
     keep = G.L
     rows, trans = rng.random((6, keep)).astype(np.float32), rng.random((keep, keep)).astype(np.float32)
     ids, lengths = np.array([3, 4, 5, 1]), np.array([3, 1])
-    sums, each, moves = G.forward_backward(ids, lengths, rows, trans, grad=True)
+    each, moves = G.forward_backward(ids, lengths, rows, trans, grad=True)
+    sums = G.sums_of(each, lengths)
     want, z = np.zeros((3, keep)), 0.0
     for y in itertools.product(range(keep), repeat=3):
         w = rows[3, y[0]] * trans[y[0], y[1]] * rows[4, y[1]] * trans[y[1], y[2]] * rows[5, y[2]]
