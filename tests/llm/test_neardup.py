@@ -89,10 +89,61 @@ def test_short_sets(n):
 
 
 def test_recall_figure():
-    assert (1 - 0.6**N.BASE) ** N.TREES < 0.0005
+    for threshold in (0.3, 0.4, 0.5, 0.6, 0.8, 1.0):
+        for depth in range(N.BASE, N.DEPTH + 1):
+            n = N.orders(depth, threshold)
+            assert (1 - threshold**depth) ** n <= N.MISS and len(N.factors(n)[0]) == n
+    with pytest.raises(ValueError):
+        N.orders(3, 0)
     assert Scratch is not None
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.8])
+def test_other_thresholds_lose_nothing(spark, threshold):
+    rows = collection(60, [1, 2, 3], seed=11)
+    docs = spark.createDataFrame(rows, "key string, title string, text string")
+    members, pairs = N.similar_classes(Scratch(spark), docs, 3, threshold, 25)
+    of = {}
+    for r in members.collect():
+        of.setdefault((r.id, r.id2), []).append(r.key)
+    got = {(min(x, y), max(x, y)) for r in pairs.collect() for x in of[(r.a, r.a2)] for y in of[(r.b, r.b2)]}
+    got |= {(x, y) for ks in of.values() for x in ks for y in ks if x < y}
+    want = brute(rows, threshold)
+    assert got <= want and len(want - got) <= 0.01 * len(want)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+def test_regions_across_partitions(spark, partitions, monkeypatch):
+    """Neighbours are found wherever the borders of the sorted orders lie: with few rows each partition cuts many regions."""
+    monkeypatch.setattr(N, "CROWD", 16)
+    rnd = random.Random(2)
+    rows = []
+    for r in range(40):  # 40 regions of 1 to 30 records, 10 of them crowded, and rows that share a prefix only
+        for i in range(rnd.choice([1, 2, 5, 12, 30])):
+            rows.append((r, (rnd.randrange(3) << 47) | (rnd.randrange(3) << 32) | 50, r * 1000 + i))
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs, crowded, _ = N._candidates(Scratch(spark), df, 3, 0.6)
+        pairs = {(min(p), max(p)) for p in map(tuple, pairs.collect())}
+        crowded = {tuple(r) for r in crowded.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = {}
+    for k, _, i in rows:
+        sizes.setdefault(k, []).append(i)
+    small = {(a, b) for ids in sizes.values() if len(ids) <= 16 for a, b in itertools.combinations(sorted(ids), 2)}
+    assert small <= pairs
+    needs = {}
+    for i, need in crowded:
+        needs.setdefault(i // 1000, {}).setdefault(need, set()).add(i)
+    # all records of a crowded region meet at one depth
+    assert all(any(x == set(sizes[k]) for x in needs[k].values()) for k, ids in sizes.items() if len(ids) > 16)
+    assert all(len(sizes[k]) > 16 for k in needs)
+
 def test_crowded_region_keeps_pairs_at_the_threshold(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(N, "CROWD", 8)
     rnd = random.Random(9)
