@@ -255,3 +255,17 @@ def p8_shares(spark: SparkSession, base: str) -> DataFrame:
     r = rates.join(per, ["mix_id", "source"], "left")
     got = F.coalesce("mixed_tokens", F.lit(0))
     return r.select("mix_id", "source", "target_share", "max_repeats", "available", got.alias("mixed_tokens"), F.coalesce("mixed_docs", F.lit(0)).alias("mixed_docs"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (got / F.sum(got).over(w)).alias("actual_share"))
+
+
+def p8_share_check(spark: SparkSession, base: str) -> DataFrame:
+    """Per mix and named source: documents with text, whether no document is used more often than allowed, and whether the
+    source's tokens are within 2 % of what its share asks for (where it has 30 documents or more; fewer may not allow it)."""
+    items = document_tokens(spark, base, VOCABULARY)
+    chosen, rates = choose(items, table(spark, base, "mix_targets"))
+    per = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("got"), F.max("repeats").alias("most"))
+    r = rates.join(per, ["mix_id", "source"], "left")
+    want = F.col("rate") * F.col("available")
+    kept = F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True))
+    near = F.abs(F.coalesce("got", F.lit(0)) - want) <= 0.02 * want
+    near = near | (F.col("docs") < 30)
+    return r.select("mix_id", "source", "target_share", "max_repeats", F.col("docs").cast("long").alias("docs"), kept.alias("kept"), near.alias("near"))

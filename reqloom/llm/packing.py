@@ -111,3 +111,16 @@ def p7_containers(spark: SparkSession, base: str) -> DataFrame:
     """The containers of every pack with their items and fill."""
     items = document_tokens(spark, base)
     return pack_groups(items.select("doc_id", "tokens"), table(spark, base, "pack_limits"), items.count())
+
+
+def p7_coverage(spark: SparkSession, base: str) -> DataFrame:
+    """Per pack: documents placed, containers over the capacity, documents whose parts do not add up or that lie in two
+    containers without being larger than one, and whether the containers are at most 3 % more than their tokens need."""
+    items = document_tokens(spark, base)
+    boxes = pack_groups(items.select("doc_id", "tokens"), table(spark, base, "pack_limits"), items.count())
+    over = boxes.groupBy("pack_id").agg(F.count_if(F.col("used_tokens") > F.col("capacity_tokens")).alias("overfull"), F.count("*").alias("n"), F.ceil(F.sum("used_tokens") / F.max("capacity_tokens")).alias("least"))
+    parts = boxes.select("pack_id", "capacity_tokens", F.explode(F.arrays_zip("doc_ids", "part_tokens")).alias("p")).groupBy("pack_id", "capacity_tokens", F.col("p.doc_ids").alias("doc_id")).agg(F.sum("p.part_tokens").alias("placed"), F.count("*").alias("parts"))
+    j = parts.join(items.select("doc_id", "tokens"), "doc_id")
+    wrong = (F.col("placed") != F.col("tokens")) | (F.col("parts") != F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+    docs = j.groupBy("pack_id").agg(F.count("*").alias("docs"), F.count_if(wrong).alias("broken"))
+    return docs.join(over, "pack_id").select("pack_id", "docs", "overfull", "broken", (F.col("n") <= F.ceil(F.col("least") * 1.03) + 1).alias("tight"))

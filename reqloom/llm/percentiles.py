@@ -3,7 +3,9 @@
 The sketch is a hierarchy of compactors: a full level is sorted, a fair coin keeps its odd or its even values, and what
 is kept moves one level up with double weight; levels of two sketches are merged one by one. Spark runs this hierarchy
 natively (``kll_sketch_agg_double``), inside the partial aggregation, so a group that holds a third of all rows is
-compacted where its rows lie and only sketches of a few KB are shuffled.
+compacted where its rows lie. Rows that were delivered twice are told apart by their id first, in one shuffle of narrow
+rows (id, group, value); where deliveries are known to be single (``repeated=False``) that is left out, and only sketches
+of a few KB are shuffled.
 
 With parameter k the rank error of one quantile stays within ``rank_error(k)`` (as a share of the group's rows) with
 99 % probability, for a sketch of one group and for any merge of sketches alike. Groups of fewer than k values are exact.
@@ -55,13 +57,13 @@ def quantiles(sketches: DataFrame, keys: Sequence[str], shares: Sequence[float]
     return sketches.withColumn("q", q).select(*keys, "n", "low", "high", *cols, error, "sketch")
 
 
-def daily_sketches(spark: SparkSession, base: str, k: int = K) -> DataFrame:
+def daily_sketches(spark: SparkSession, base: str, k: int = K, repeated: bool = True) -> DataFrame:
     """One sketch per category, name and day of `metrics`; each id counts once.
 
     Grouping by what is needed of a row, id included, is the dedup: one shuffle of narrow rows.
     """
-    m = table(spark, base, "metrics").where(finite("value")).select("id", "category", "name", F.to_date("ts").alias("day"), "value").distinct()
-    return sketch(m, ["category", "name", "day"], "value", k)
+    m = table(spark, base, "metrics").where(finite("value")).select("id", "category", "name", F.to_date("ts").alias("day"), "value")
+    return sketch(m.distinct() if repeated else m, ["category", "name", "day"], "value", k)
 
 
 def p4_percentiles(spark: SparkSession, base: str) -> DataFrame:
@@ -76,3 +78,19 @@ def p4_percentiles(spark: SparkSession, base: str) -> DataFrame:
 def p4_daily_sketches(spark: SparkSession, base: str) -> DataFrame:
     """The combinable form: one sketch per category, name and day."""
     return daily_sketches(spark, base)
+
+
+def p4_rank_check(spark: SparkSession, base: str) -> DataFrame:
+    """Per category and name: rows, least and greatest value, and whether every percentile lies within the stated bound of
+    its exact rank: the share of values below it is at most share + error, that of values up to it at least share - error."""
+    whole = p4_percentiles(spark, base).where("whole").select("category", "name", "n", "low", "high", "rank_error", *[f"p{s * 100:g}" for s in SHARES])
+    m = table(spark, base, "metrics").where(finite("value")).select("id", F.col("category").alias("c"), F.col("name").alias("m"), F.col("value").cast("double").alias("v")).distinct()
+    j = m.join(whole.select("category", "name", *[f"p{s * 100:g}" for s in SHARES]), F.col("c").eqNullSafe(F.col("category")) & F.col("m").eqNullSafe(F.col("name")))
+    counts = [F.count_if(F.col("v") < F.col(f"p{s * 100:g}")).alias(f"lt{i}") for i, s in enumerate(SHARES)] + [F.count_if(F.col("v") <= F.col(f"p{s * 100:g}")).alias(f"le{i}") for i, s in enumerate(SHARES)]
+    ranks = j.groupBy(F.col("c").alias("c1"), F.col("m").alias("m1")).agg(*counts)
+    both = whole.join(ranks, F.col("c1").eqNullSafe(F.col("category")) & F.col("m1").eqNullSafe(F.col("name")))
+    ok = F.lit(True)
+    for i, s in enumerate(SHARES):
+        e = F.col("rank_error") + 1e-9
+        ok = ok & (F.col(f"lt{i}") <= (s + e) * F.col("n")) & (F.col(f"le{i}") >= (s - e) * F.col("n"))
+    return both.select("category", "name", "n", "low", "high", ok.alias("within"))

@@ -38,5 +38,7 @@ def test_no_rows(spark, base, name):
         assert [(r.id, r.defect) for r in got] == [(None, "empty")]
     elif kind == "nulls" and name == "p9_documents":
         assert all(r.language is None for r in got) and len(got) == 3
+    elif kind == "nulls" and name == "p9_labels":
+        assert all(r.label is None for r in got) and len(got) == 3
     else:
         assert got == []
