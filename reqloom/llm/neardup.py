@@ -69,6 +69,11 @@ def factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     return mul[:count], add[:count]
 
 
+@functools.lru_cache(maxsize=None)
+def flat_factors(count: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.ascontiguousarray(x[:, :depth]).reshape(1, -1) for x in factors(count))
+
+
 _MIX = _random(DEPTH + 1, _SEED + 2)
 _SPREAD = _random(16, _SEED + 3)
 
@@ -90,29 +95,29 @@ def shingles(words: list[bytes], n: int, cache: dict[bytes, int]) -> np.ndarray:
 
 def minima(s: np.ndarray, count: int, depth: int) -> np.ndarray:
     """The first `depth` min-hashes of a set in each of `count` orders."""
-    mul, add = (x[:, :depth] for x in factors(count))
-    x = s[:, None] * mul.reshape(1, -1) + add.reshape(1, -1)
-    x >>= np.uint64(31)
-    return x.min(axis=0).reshape(count, depth)
+    mul, add = flat_factors(count, depth)
+    x = np.multiply(s[:, None], mul)
+    x += add
+    return (x.min(axis=0) >> np.uint64(31)).reshape(count, depth)
 
 
-def prefix_keys(trees: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """One 64-bit key per tree of its label sequence."""
-    k = (trees.astype(np.uint64) + np.uint64(1)) * _MIX[0]
-    for d in range(labels.shape[1]):
-        k = (k ^ labels[:, d]) * _MIX[1 + d]
+def prefix_keys(labels: np.ndarray) -> np.ndarray:
+    """One 64-bit key per order of its label sequence; the orders are the last axis but one."""
+    k = np.broadcast_to((np.arange(labels.shape[-2], dtype=np.uint64) + np.uint64(1)) * _MIX[0], labels.shape[:-1]).copy()
+    for d in range(labels.shape[-1]):
+        k = (k ^ labels[..., d]) * _MIX[1 + d]
         k ^= k >> np.uint64(30)
     return k
 
 
-def sort_rows(labels: np.ndarray, depth: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix key, what follows) of each order: the key of its first `depth` labels; then 15 bits of each of the labels
-    behind them, and the size of the set."""
-    key = prefix_keys(np.arange(len(labels)), labels[:, :depth]).view(np.int64)
-    tail = np.zeros(len(labels), dtype=np.uint64)
+def sort_rows(labels: np.ndarray, depth: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """labels: records, orders, labels. (prefix key, what follows) of each order: the key of its first `depth` labels; then
+    15 bits of each of the labels behind them, and the size of the set."""
+    key = prefix_keys(labels[..., :depth]).view(np.int64)
+    tail = np.zeros(labels.shape[:-1], dtype=np.uint64)
     for i in range(AHEAD):
-        tail = (tail << np.uint64(15)) | (labels[:, depth + i] & np.uint64(0x7FFF))
-    return key, ((tail << np.uint64(32)) | np.uint64(m)).view(np.int64)
+        tail = (tail << np.uint64(15)) | (labels[..., depth + i] & np.uint64(0x7FFF))
+    return key, ((tail << np.uint64(32)) | m.astype(np.uint64)[:, None]).view(np.int64)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -121,7 +126,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def text_of(title: str | None, text: str | None) -> list[bytes]:
-    return words_of(f"{title or ''} {text or ''}")
+    return words_of(title or "") + words_of(text or "")
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
@@ -143,17 +148,23 @@ def _first_column(n: int, least: int, threshold: float):
     def first(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         cache: dict[bytes, int] = {}
         for title, text in batches:
-            out = []
             if len(cache) > 500_000:
                 cache.clear()
-            for a, b in zip(title, text, strict=True):
-                s = shingles(text_of(a, b), n, cache) if isinstance(b, str) and len(words_of(b)) >= least else None
-                if s is None or not len(s):
-                    out.append((0, 0, 0, [], [], []))
-                    continue
-                labels = minima(s, max(count, SKETCHED), BASE + AHEAD)
-                sketch = ((labels[:SKETCHED, :BASE] & np.uint64(3)) << shift).sum(axis=0, dtype=np.uint64).view(np.int64)
-                out.append((*class_of(s), len(s), *sort_rows(labels[:count], BASE, len(s)), sketch))
+            out: list[tuple] = [(0, 0, 0, None, None, None)] * len(text)
+            at, sets = [], []
+            for i, (a, b) in enumerate(zip(title, text, strict=True)):
+                words = words_of(b) if isinstance(b, str) else []
+                s = shingles(words_of(a) + words if a else words, n, cache) if len(words) >= least else ()
+                if len(s):
+                    at.append(i)
+                    sets.append(s)
+            for lo in range(0, len(at), 1000):
+                part = sets[lo : lo + 1000]
+                labels = np.stack([minima(s, max(count, SKETCHED), BASE + AHEAD) for s in part])
+                keys, tails = sort_rows(labels[:, :count], BASE, np.array([len(s) for s in part]))
+                sketch = ((labels[:, :SKETCHED, :BASE] & np.uint64(3)) << shift).sum(axis=1, dtype=np.uint64).view(np.int64)
+                for k, s in enumerate(part):
+                    out[at[lo + k]] = (*class_of(s), len(s), keys[k], tails[k], sketch[k])
             yield pd.DataFrame(out, columns=_FIRST.names)
 
     return first.asNondeterministic()  # else a filter on its result would run it once more
@@ -183,7 +194,11 @@ def _deeper_column(n: int, depth: int, threshold: float):
             out = []
             for a, b, i, i2 in zip(*rows, strict=True):
                 s = shingles(text_of(a, b), n, cache)
-                out.append(sort_rows(minima(s, count, depth + AHEAD), depth, len(s)) if class_of(s) == (i, i2) else (None, None))
+                if class_of(s) != (i, i2):
+                    out.append((None, None))
+                    continue
+                keys, tails = sort_rows(minima(s, count, depth + AHEAD)[None], depth, np.array([len(s)]))
+                out.append((keys[0], tails[0]))
             yield pd.DataFrame(out, columns=_ROWS.names)
 
     return deeper.asNondeterministic()  # else a filter on its result would run it once more
