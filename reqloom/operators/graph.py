@@ -1,4 +1,4 @@
-"""The property graph of plans, requirements and standards: build, search, statistics.
+"""The property graph of plans, requirements, features and standards: build, search, statistics.
 
 Edges are a simple digraph: of several writes to one ordered pair the last step wins. Which requirements share a standard
 is kept as membership of the standard's node, never as all pairs of its members; pair counts between plans come from
@@ -16,6 +16,7 @@ from reqloom.functions.keys import canonical_key, spec_key
 from reqloom.functions.text import release_number
 from reqloom.operators.components import components
 from reqloom.operators.references import resolve_standards
+from reqloom.operators.understanding import DEPENDS, feature_hits
 from reqloom.sources.tables import Scratch, table
 
 DECAY = 0.7
@@ -51,6 +52,8 @@ def nodes(spark: SparkSession, base: str, resolved: DataFrame | None = None) ->
     refs = standard_refs(spark, base, resolved)
     cat = table(spark, base, "spec_catalog").select(F.concat(F.lit("std:"), spec_key(F.col("spec")), F.lit(":0")).alias("id"))
     std = refs.select(F.explode(F.array("std", "std_spec")).alias("id")).unionByName(cat).distinct()
+    feats = feature_hits(spark, base).select(nid("feature", "feature_id").alias("id")).distinct()
+    out = out.unionByName(feats.select("id", F.lit("Feature").alias("node_type"), none.alias("plan_id")))
     return out.unionByName(std.select("id", F.lit("Standard").alias("node_type"), none.alias("plan_id")))
 
 
@@ -86,6 +89,13 @@ def edges(spark: SparkSession, base: str, resolved: DataFrame | None = None) ->
     parts.append(e(s, F.col("src"), F.col("std"), "references_standard", 6))
     sec = std.where("std <> std_spec").select("std", "std_spec").distinct()
     parts.append(e(sec, F.col("std_spec"), F.col("std"), "parent_section", 7))
+    # a feature is mapped by all requirements of the plans that have it; features depend on features that are there
+    feats = feature_hits(spark, base).select("plan_id", nid("feature", "feature_id").alias("feature")).distinct()
+    parts.append(e(r.join(feats, "plan_id"), req, F.col("feature"), "maps_to", 8))
+    known = feats.select("feature").distinct()
+    deps = spark.createDataFrame([(f"feature:{a}", f"feature:{b}") for a, b in DEPENDS], "src string, dst string")
+    deps = deps.join(known.withColumnRenamed("feature", "src"), "src", "left_semi").join(known.withColumnRenamed("feature", "dst"), "dst", "left_semi")
+    parts.append(e(deps, F.col("src"), F.col("dst"), "feature_depends_on", 9))
     u = parts[0]
     for x in parts[1:]:
         u = u.unionByName(x)

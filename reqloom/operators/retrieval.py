@@ -1,15 +1,14 @@
 """Full-text and vector search for batches of questions: BM25, exact vector top-k, fusion, diversity, pins, thresholds.
 
-A batch is one job: questions are a side of joins, never a loop. BM25 joins question terms with postings on the term (a
-term that a third of all texts have is split by the skew join) and sums per question and chunk. Vector search compares
-every query with every vector: queries come in blocks of fixed size that are broadcast, vectors stay where they are,
-and each block of vectors keeps only its k best per query before the shuffle.
+A batch is one job: questions are a side of joins, never a loop, and never come to the driver. BM25 joins question terms
+with postings on the term (a term that a third of all texts have is split by the skew join). Where only the best k are
+wanted, bounds decide which terms need to be met at all (`bm25_best`). Vector search is a grid of blocks of queries and
+blocks of vectors: the vectors are read once whatever the number of questions, every pair of blocks is one matrix product
+in one task, and only the k best of each query leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,12 +19,14 @@ from reqloom.operators.patterns import once, rrf_fuse, topk_per_group
 from reqloom.sources.tables import Scratch, table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values: Okapi defaults
-QUERY_BLOCK = 2048  # queries that meet the vectors at once; 2048 x 1024 dimensions are 8 MB
+QUERY_BLOCK = 8192  # queries of one block; 8192 x 1024 dimensions are 32 MB
+VECTOR_BLOCK = 50_000  # vectors of one block
+STEP = 4096  # vectors multiplied at once
 RRF_K = 60
 THRESHOLD = 0.5
 # Fixed values of the retrieval policy by question type: fan-out and weight of BM25.
-TOP_K = {"cross_doc": 25, "standards_comparison": 20, "cross_mno": 30}
-BM25_WEIGHT = {"standards_comparison": 0.5, "single_doc": 0.5}
+TOP_K = {"cross_doc": 25, "cross_mno_comparison": 25, "standards_comparison": 25, "feature_level": 25, "traceability": 20, "release_diff": 20}
+BM25_WEIGHT = {"standards_comparison": 0.5, "traceability": 0.5, "single_doc": 0.5}
 
 
 def chunks(spark: SparkSession, base: str) -> DataFrame:
@@ -47,97 +48,133 @@ def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return t.groupBy("term", id_, "dl").agg(F.count("*").alias("tf"))
 
 
+class Bm25:
+    """Term weights and postings of a batch: texts are tokenised once, into a written table. Document frequencies of all
+    terms combine before the shuffle; only occurrences of terms that are asked for become postings. Terms in more than half
+    of the texts get epsilon times the mean idf, as the usual scorer does."""
+
+    def __init__(self, docs: DataFrame, asked: DataFrame, id_: str, text: str, k1: float, b: float, epsilon: float) -> None:
+        tmp = self.tmp = Scratch(docs.sparkSession)
+        self.id = id_
+        toks = tmp.save(docs.select(id_, tx.tokenize(F.col(text)).alias("ts")))
+        q = tmp.save(asked.select("qid", F.explode(tx.tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")))
+        stats = F.broadcast(toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl")))  # one row
+        df = toks.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        idf = tmp.save(df.crossJoin(stats).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")))
+        mean = F.broadcast(idf.agg(F.avg("raw").alias("mean")))  # one row
+        weight = F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw"))
+        self.terms = tmp.save(q.join(idf, "term").crossJoin(mean).select("qid", "term", (F.col("qtf") * weight).alias("w")))
+        tf, dl = F.col("tf"), F.col("dl")
+        seen = toks.select(id_, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(self.terms.select("term").distinct(), "term", "left_semi")
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+        self.post = tmp.save(seen.groupBy("term", id_, "dl").agg(F.count("*").alias("tf")).crossJoin(stats).select("term", id_, part.alias("part")))
+
+
 def bm25(docs: DataFrame, asked: DataFrame, id_: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """qid, chunk, score of every chunk that shares a term with the question; repeated terms count repeatedly.
+    """qid, chunk, score of every chunk that shares a term with the question; repeated terms count repeatedly."""
+    x = Bm25(docs, asked, id_, text, k1, b, epsilon)
+    return x.post.join(x.terms, "term").groupBy("qid", id_).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
-    Texts are tokenised once, into a written table. Document frequencies of all terms combine before the shuffle; only
-    occurrences of terms that are asked for become postings. Terms in more than half of the texts get epsilon times the
-    mean idf, as the usual scorer does.
+
+def bm25_best(docs: DataFrame, asked: DataFrame, k: int, id_: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+    """qid, chunk, score (six decimals), rank: the k best of every question, the same as of `bm25`, by bounds of the terms.
+
+    1. A term can add at most its weight times its greatest part. Of each question the term with the largest of these
+       products is scored alone; its k-th best score is a score that k chunks reach.
+    2. Terms that all together cannot add that much (the smallest bounds first) are not essential: a chunk with none but
+       those is not among the best. So only essential terms bring up chunks, and a frequent word with a small weight
+       does not meet its postings for every question.
+    3. Of the chunks brought up those stay that can still reach the score with everything that is not essential; they, and
+       only they, are looked up under the other terms.
     """
-    tmp = Scratch(docs.sparkSession)
-    toks = tmp.save(docs.select(id_, tx.tokenize(F.col(text)).alias("ts")))
-    q = tmp.save(asked.select("qid", F.explode(tx.tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")))
-    stats = F.broadcast(toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl")))  # one row
-    df = toks.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = tmp.save(df.crossJoin(stats).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")))
-    mean = F.broadcast(idf.agg(F.avg("raw").alias("mean")))  # one row
-    terms = q.join(idf, "term").crossJoin(mean).select("qid", "term", "qtf", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    seen = toks.select(id_, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    hit = seen.groupBy("term", id_, "dl").agg(F.count("*").alias("tf")).join(terms, "term").crossJoin(stats)
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    return hit.groupBy("qid", id_).agg(F.sum(part).alias("score"))
+    x = Bm25(docs, asked, id_, text, k1, b, epsilon)
+    tmp, post = x.tmp, x.post
+    most = post.groupBy("term").agg(F.max("part").alias("most"))
+    # a negative weight bounds nothing: it adds 0 at most
+    terms = tmp.save(x.terms.join(most, "term").withColumn("bound", F.greatest(F.lit(0.0), F.col("w") * F.col("most"))))
+    w = Window.partitionBy("qid").orderBy(F.desc("bound"), "term")
+    strongest = terms.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("qid", "term", "w")
+    least = F.coalesce(F.sum(F.when(F.col("w") < 0, F.col("w") * F.col("most"))), F.lit(0.0))  # what negative weights can take away
+    floor = terms.groupBy("qid").agg(least.alias("down"))
+    kth = topk_per_group(post.join(strongest, "term").select("qid", id_, (F.col("w") * F.col("part")).alias("score")), ["qid"], [F.desc("score"), F.asc(id_)], k).where(F.col("rank") == k)
+    reach = kth.join(floor, "qid").select("qid", (F.col("score") + F.col("down") - 1e-5).alias("reach"))
+    up = Window.partitionBy("qid").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    parts = terms.join(reach, "qid", "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf")))).withColumn("rest", F.sum("bound").over(up))
+    parts = tmp.save(parts.withColumn("essential", F.col("rest") >= F.col("reach")))
+    rest = parts.groupBy("qid").agg(F.max("reach").alias("reach"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    first = post.join(parts.where("essential").select("qid", "term", "w"), "term").groupBy("qid", id_).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
+    first = tmp.save(first.join(rest, "qid").where(F.col("score") + F.col("rest") >= F.col("reach")).select("qid", id_, "score"))
+    more = first.select("qid", id_).join(parts.where(~F.col("essential")).select("qid", "term", "w"), "qid").join(post, ["term", id_]).select("qid", id_, (F.col("w") * F.col("part")).alias("score"))
+    total = first.unionByName(more).groupBy("qid", id_).agg(F.round(F.sum("score"), 6).alias("score"))
+    # where fewer chunks than k share a term with a question that has any, others follow with score 0, by id: the first k ids that are not there
+    ids = docs.select(id_).orderBy(id_).limit(2 * k).agg(F.collect_list(id_).alias("ids"))  # 2 k ids at most
+    some = asked.where(F.size(tx.tokenize(F.col("question"))) > 0).select("qid").distinct()
+    none = some.crossJoin(F.broadcast(ids)).select("qid", F.explode("ids").alias(id_)).join(total.select("qid", id_), ["qid", id_], "left_anti").withColumn("score", F.lit(0.0))
+    return topk_per_group(total.unionByName(none), ["qid"], [F.desc("score"), F.asc(id_)], k)
 
 
 def bm25_topk(spark: SparkSession, base: str, k: int = 10) -> DataFrame:
-    hits = bm25(chunks(spark, base), questions(spark, base)).withColumn("score", F.round("score", 6))
-    return topk_per_group(hits, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "chunk_id", "score", "rank")
+    return bm25_best(chunks(spark, base), questions(spark, base), k).select("qid", "chunk_id", "score", "rank")
 
 
 def vectors(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "embeddings").where("embedding is not null")
 
 
-def vector_topk(data: DataFrame, queries: list[tuple[int, list[float]]], k: int, metric: str = "cosine", label: dict[int, int] | None = None) -> DataFrame:
-    """Exact k nearest vectors of one block of queries: per batch a matrix product, k kept per task, k merged per query.
-
-    `label` restricts a query to the vectors of one label.
-    """
-    spark = data.sparkSession
-    ids = np.array([q[0] for q in queries])
-    m = np.array([q[1] for q in queries], dtype=np.float64)
-    shared = spark.sparkContext.broadcast((ids, m, label))
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, q, want = shared.value
-        qn = np.linalg.norm(q, axis=1)
-        best_d = np.full((len(qid), k), np.inf)
-        best_i = np.full((len(qid), k), np.iinfo(np.int64).max)
-        for pdf in batches:
-            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            v, lab = pdf["vec_id"].to_numpy(), pdf["label"].to_numpy()
-            dots = q @ x.T
-            if metric == "cosine":
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = 1 - dots / (qn[:, None] * np.linalg.norm(x, axis=1)[None, :])
-            elif metric == "l2":
-                d = np.sqrt(np.maximum(0, qn[:, None] ** 2 + (x * x).sum(axis=1)[None, :] - 2 * dots))
-            else:
-                d = 1 - dots
-            d = np.round(np.nan_to_num(d, nan=np.inf), 6)
-            if want is not None:
-                d[np.array([want[i] for i in qid])[:, None] != lab[None, :]] = np.inf
-            all_d, all_i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(v, d.shape)])
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        ok = np.isfinite(best_d)
-        yield pd.DataFrame({"qid": np.repeat(qid, k).reshape(ok.shape)[ok], "vec_id": best_i[ok], "distance": best_d[ok]})
-
-    hits = data.select("vec_id", "embedding", "label").mapInPandas(nearest, "qid long, vec_id long, distance double")
-    return topk_per_group(hits, ["qid"], [F.asc("distance"), F.asc("vec_id")], k)
+def _nearest(k: int, metric: str, same_label: bool):
+    """The k nearest vectors of every query of a block in one block of vectors."""
+
+    def nearest(vectors_: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+        if not len(vectors_) or not len(queries):
+            return none
+        out = [none]
+        ids, x = vectors_["id"].to_numpy(), np.stack(vectors_["v"].to_numpy()).astype(np.float64)
+        qid, q = queries["id"].to_numpy(), np.stack(queries["v"].to_numpy()).astype(np.float64)
+        lab, want = vectors_["label"].to_numpy(), queries["label"].to_numpy()
+        xn, qn = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+        for lo in range(0, len(q), 512):
+            part = slice(lo, lo + 512)
+            best_d = np.full((len(qid[part]), k), np.inf)
+            best_i = np.full((len(qid[part]), k), np.iinfo(np.int64).max)
+            for at in range(0, len(x), STEP):
+                v = slice(at, at + STEP)
+                dots = q[part] @ x[v].T
+                if metric == "cosine":
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        d = 1 - dots / (qn[part][:, None] * xn[v][None, :])
+                elif metric == "l2":
+                    d = np.sqrt(np.maximum(0, qn[part][:, None] ** 2 + xn[v][None, :] ** 2 - 2 * dots))
+                else:
+                    d = 1 - dots
+                d = np.round(np.nan_to_num(d, nan=np.inf), 6)
+                if same_label:
+                    d[want[part][:, None] != lab[v][None, :]] = np.inf
+                all_d, all_i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(ids[v], d.shape)])
+                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
+                best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+            ok = np.isfinite(best_d)
+            out.append(pd.DataFrame({"qid": np.repeat(qid[part], k).reshape(ok.shape)[ok], "vec_id": best_i[ok], "distance": best_d[ok]}))
+        return pd.concat(out)
+
+    return nearest
 
 
 def vector_search(data: DataFrame, asked: DataFrame, k: int, metric: str = "cosine", same_label: bool = False) -> DataFrame:
-    """asked: vec_id, embedding, label. All queries against all vectors, a block of QUERY_BLOCK queries at a time."""
-    out = None
-    block: list = []
-    rows = asked.select("vec_id", "embedding", "label").orderBy("vec_id").toLocalIterator()
-
-    def flush(b):
-        label = {r[0]: r[2] for r in b} if same_label else None
-        return vector_topk(data, [(r[0], r[1]) for r in b], k, metric, label)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            part, block = flush(block), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        if not block:
-            return topk_per_group(data.limit(0).select(F.col("vec_id").alias("qid"), "vec_id", F.lit(0.0).alias("distance")), ["qid"], [F.asc("distance")], k)
-        part = flush(block)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """asked and data: vec_id, embedding, label. The exact k nearest of every query, all against all.
+
+    Vectors are dealt to blocks of about VECTOR_BLOCK, queries to blocks of about QUERY_BLOCK; every pair of blocks is one
+    task. A vector travels once for each block of queries, a query once for each block of vectors.
+    """
+    n, m = data.count(), asked.count()
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vb, qb = max(parts, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    own = lambda df: df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("label"))
+    deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count))
+    v = own(data).withColumn("vb", deal(vb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    q = own(asked).withColumn("qb", deal(qb).cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))))
+    hits = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(_nearest(k, metric, same_label), "qid long, vec_id long, distance double")
+    return topk_per_group(hits, ["qid"], [F.asc("distance"), F.asc("vec_id")], k)
 
 
 def asked_vectors(spark: SparkSession, base: str) -> DataFrame:
@@ -165,7 +202,7 @@ def ranked_lists(spark: SparkSession, base: str, fan: int = 30) -> tuple[DataFra
     q = Scratch(spark).save(paired_questions(spark, base))
     v = vectors(spark, base)
     dense = vector_search(v, v.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi"), fan).select("qid", F.col("vec_id").alias("chunk_id"), "distance", "rank")
-    sparse = topk_per_group(bm25(chunks(spark, base), q).withColumn("score", F.round("score", 6)), ["qid"], [F.desc("score"), F.asc("chunk_id")], fan)
+    sparse = bm25_best(chunks(spark, base), q, fan)
     return q, dense, sparse
 
 
@@ -262,9 +299,9 @@ def tokens(spark: SparkSession, base: str) -> DataFrame:
 def fingerprint(spark: SparkSession, base: str) -> DataFrame:
     """Per plan: chunks, and the first 16 hex digits of the hash of its sorted chunk ids."""
     c = chunks(spark, base)
-    # sha256 of a list needs the list: a plan's ids are hashed in order, 64 hex digits of each block of ids first
-    block = F.expr("(row_number() over (partition by plan_id order by chunk_id) - 1) div 10000")
-    parts = c.select("plan_id", "chunk_id", block.alias("block")).groupBy("plan_id", "block").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.lpad(F.col("chunk_id").cast("string"), 12, "0"))), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    # sha256 of a list needs the list: a plan's ids are hashed by ranges of 10,000 ids in order, then the hashes; a range is a
+    # group of its own, so a plan with a third of all chunks is many
+    parts = c.select("plan_id", "chunk_id", F.expr("chunk_id div 10000").alias("block")).groupBy("plan_id", "block").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.lpad(F.col("chunk_id").cast("string"), 12, "0"))), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return parts.groupBy("plan_id").agg(F.sum("n").alias("n_chunks"), F.left(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "\n"), 256), F.lit(16)).alias("fingerprint"))
 
 

@@ -11,12 +11,13 @@ from reqloom.sources.tables import table
 
 # Keyword maps in fixed order (the first hit of a rule decides).
 MNOS = {"NVA": ["nva", "nova"], "OKT": ["okt"], "BRZ": ["brz", "breeze"], "HLM": ["hlm", "helm"]}
-STANDARD_WORDS = ["3gpp", "standard", "ts "]
-COMPARE_WORDS = ["differ", "compare", " vs", "versus", "3gpp"]
+STANDARD = r"3gpp\s+ts\s+[0-9]|\bts\s+[0-9]{2}\.[0-9]{3}"
+COMPARE_WORDS = ["differ", "compare", "vs", "versus", "3gpp"]
 RELEASE_WORDS = ["delta", "diff", "changed"]
-TRACE_WORDS = ["test case", "test plan", "coverage", "traceability", "mention"]
+TRACE_WORDS = ["test case", "test plan", "coverage", "traceability", "mention ", "mentions ", "mentioned "]
 FEATURE_WORDS = ["everything about", "related to"]
-CROSS_WORDS = ["across", "all plans", "every plan", "list the requirements"]
+CROSS_WORDS = ["across all", "across the", "in all", "across mnos", "across plans", "across specs", "all the requirements", "all reqs", "what are all", "what requirements"]
+LIST_WORDS = ["list the requirements", "all plans", "every plan"]  # how this corpus asks for lists
 CONCEPTS = ["timer", "counter", "handover", "roaming", "paging", "battery", "barring", "throttling", "certificate", "message"]
 # A feature catalogue (id, name, keywords).
 FEATURES = [
@@ -27,6 +28,8 @@ FEATURES = [
     ("SECURITY", "Security and provisioning", ["certificate", "security", "encrypt", "token"]),
     ("TIMING", "Timers", ["timer", "expires", "seconds", "wait for"]),
 ]
+# Features that build on another one.
+DEPENDS = [("DATA_RETRY", "TIMING"), ("MESSAGING", "MOBILITY"), ("SECURITY", "MESSAGING")]
 SYNONYM_DEFAULT = "latest"
 
 
@@ -50,7 +53,7 @@ def mno_hits(c: Column) -> Column:
 def question_type(c: Column, plans: Column) -> Column:
     """The ordered rules; `c` is the lower-case question, `plans` the plan ids it names."""
     n_mno = F.size(mno_hits(c))
-    std = has_any(c, STANDARD_WORDS) | c.rlike(r"[0-9]{2}\.[0-9]{3}")
+    std = c.rlike(STANDARD)
     releases = F.size(F.regexp_extract_all(c, F.lit(r"20[0-9]{2}_[a-z]{3}"), 0))
     return (
         F.when((n_mno >= 2) | (F.contains(c, F.lit("compare")) & (n_mno >= 1)), "cross_mno_comparison")
@@ -58,7 +61,7 @@ def question_type(c: Column, plans: Column) -> Column:
         .when((releases >= 2) | has_any(c, RELEASE_WORDS), "release_diff")
         .when(has_any(c, TRACE_WORDS), "traceability")
         .when(has_any(c, FEATURE_WORDS), "feature_level")
-        .when(has_any(c, CROSS_WORDS) | (F.size(plans) >= 2), "cross_doc")
+        .when(has_any(c, CROSS_WORDS + LIST_WORDS) | (F.size(plans) >= 2), "cross_doc")
         .when(F.size(plans) >= 1, "single_doc")
         .otherwise("general")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from reqloom.operators import catalog as c
+from reqloom.plans.references import STD, release_sql
 from reqloom.plans.structure import _DEPTH, _SECTIONS, REQS, SECS
 from reqloom.plans.understanding import FEATURES
 
@@ -26,11 +27,7 @@ QUERIES = {
 }
 
 _B36 = "array_to_string(list_transform(string_split({v}, '.'), lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', p::INT + 1, 1)), '')"
-_IDS = "list_distinct(regexp_extract_all(text, '[A-Z]{2}_REQ_[A-Z0-9]+_[0-9]+'))"
 SQL = {
-    "cross_ref_extract": f"""WITH r AS {REQS}, x AS (SELECT rec_id, plan_id, {_IDS} AS ids, regexp_extract_all(text, '(?s)TS [0-9]{{2}}\\.[0-9]{{3}}.{{0,100}}') AS s FROM r WHERE text IS NOT NULL),
-      y AS (SELECT rec_id, len(list_filter(ids, lambda i: contains(i, '_REQ_' || plan_id || '_'))) AS internal, len(ids) AS n, len(s) AS specs, len(list_filter(s, lambda i: regexp_matches(i, '(?i)release ([0-9]+)'))) AS with_release FROM x)
-      SELECT rec_id, internal, n - internal AS external, specs, with_release FROM y WHERE n + specs > 0""",
     "spec_citations": """WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, 'TS [0-9]{2}\\.[0-9]{3}(?: (?:clause|section|subclause) [0-9]+(?:\\.[0-9]+)*)?')) AS h FROM documents WHERE contains(text, 'TS ')),
       x AS (SELECT doc_id, regexp_extract(h, '([0-9]{2}\\.[0-9]{3})', 1) AS spec, regexp_extract(h, '(?:clause|section|subclause) ([0-9]+(?:\\.[0-9]+)*)$', 1) AS section FROM h)
       SELECT spec, section, count(*) AS n, count(DISTINCT doc_id) AS docs FROM x GROUP BY ALL""",
@@ -38,7 +35,10 @@ SQL = {
       SELECT plan_id, spec, coalesce(try_cast(nullif(regexp_extract(rel, '(?i)rel(?:ease)?[- ]?([0-9]+)', 1), '') AS INT), try_cast(trim(rel) AS INT), 0) AS release_num, n_releases FROM g""",
     "spec_latest_version": f"""WITH s AS (SELECT DISTINCT spec, release_num, version, spec_ingest_id, {_B36.replace('{v}', 'version')} AS code FROM spec_sections WHERE version IS NOT NULL)
       SELECT spec, release_num, arg_max(version, {{'a': code, 'b': spec_ingest_id}}) AS version, max(code) AS code, arg_max(spec_ingest_id, {{'a': code, 'b': spec_ingest_id}}) AS spec_ingest_id, count(*) AS n FROM s GROUP BY ALL""",
-    "spec_version_candidates": "SELECT DISTINCT spec, 20 - m AS attempt, replace(spec, '.', '') || '-f' || substr('0123456789abcdefghijklmnopqrstuvwxyz', m::INT + 1, 1) || '0.zip' AS file FROM spec_catalog, unnest(range(0, 21)) AS t(m)",
+    "spec_version_candidates": f"""WITH {STD}, named AS (SELECT DISTINCT spec, {release_sql('spec_release')} AS release_num FROM std WHERE length(spec) >= 4),
+      c AS (SELECT spec, release_num FROM named WHERE release_num BETWEEN 1 AND 21 UNION SELECT spec, 15 FROM spec_catalog WHERE spec IS NOT NULL)
+      SELECT spec, release_num, 20 - m AS attempt, replace(spec, '.', '') || '-' || substr('0123456789abcdefghijklmnopqrstuvwxyz', release_num::INT + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', m::INT + 1, 1) || '0.zip' AS file
+      FROM c, unnest(range(0, 21)) AS t(m)""",
     "toc_build": f"""WITH {_SECTIONS}, l AS (SELECT mno, release, plan_id, row_number() OVER (PARTITION BY mno, release, plan_id ORDER BY section_number) AS rn, repeat('  ', {_DEPTH} - 1) || section_number || ' ' || coalesce(title, '') AS line FROM sections)
       SELECT mno, release, plan_id, string_agg(CASE WHEN rn > 200 THEN '… (truncated)' ELSE line END, chr(10) ORDER BY rn) AS toc FROM l WHERE rn <= 201 GROUP BY ALL""",
     "feature_edges": f"""WITH {FEATURES}, q AS (SELECT DISTINCT plan_id, req_id FROM requirements WHERE req_id IS NOT NULL), e AS (SELECT req_id, feature_id, max(CASE WHEN is_primary THEN 'primary' ELSE 'referenced' END) AS mapping FROM q JOIN feats ON feats.plan_id = q.plan_id GROUP BY ALL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from reqloom.functions.keys import SPACES
 from reqloom.functions.keys import sql_canonical_key as ck
 from reqloom.functions.keys import sql_spec_key as sk
 from reqloom.operators import references as r
@@ -25,6 +26,15 @@ def release_sql(c: str) -> str:
     return _REL.replace("{c}", c)
 
 
+# the three forms of a section citation, white space of any script
+_S, _S0 = SPACES, f"(?:{SPACES})?"
+_WORD, _NUM, _SPEC = "(?:[Ss]ection|(?:[Ss]ub)?[Cc]lause|§)", "([0-9]+(?:[.][0-9]+)*)", "([0-9][0-9.]*[0-9])"
+_CITED = [
+    (f"TS{_S}{_SPEC}{_S0},?{_S0}{_WORD}{_S}{_NUM}", 1, 2),
+    (f"{_WORD}{_S}{_NUM}{_S}of{_S}(?:3GPP{_S})?TS{_S}{_SPEC}", 2, 1),
+    (f"TS{_S}{_SPEC}{_S0}[(]?{_S0}(?:reference{_S0})?[[][0-9]+[]]{_S0}[)]?{_S0},?{_S0}{_WORD}{_S}{_NUM}", 1, 2),
+]
+
 INTERNAL = f"""internal AS (
   WITH refs AS (SELECT DISTINCT ref_id, mno, release, plan_id, {ck('target_req_id')} AS k FROM refs_internal),
   reqs AS (SELECT DISTINCT mno, release, plan_id, rec_id, {ck('req_id')} AS k, section_number, title FROM requirements),
@@ -61,10 +71,9 @@ SQL = {
       SELECT ref_id, r.plan_id, arg_max(p.release, {'a': p.loaded_at, 'b': p.release}) AS plan_release FROM refs r LEFT JOIN plans p ON p.plan_id = r.plan_id AND p.loaded_at <= r.recorded_at GROUP BY ALL""",
     "std_ref_index": f"""WITH {STD}, refs AS (SELECT plan_id, spec, {release_sql('spec_release')} AS release_num, 1 AS manifest, NULL AS section FROM std WHERE length(spec) >= 4),
       cited AS (SELECT plan_id, spec, max(release_num) AS release_num FROM refs WHERE release_num > 0 GROUP BY ALL),
-      reqs AS (SELECT DISTINCT rec_id, plan_id, text FROM requirements WHERE text LIKE '%TS %'),
-      hits AS (SELECT plan_id, unnest(regexp_extract_all(text, '(?:3GPP )?TS [0-9]{{2}}\\.[0-9]{{3}} (?:clause|section|subclause) [0-9]+(?:\\.[0-9]+)*')) AS h FROM reqs),
-      found AS (SELECT plan_id, regexp_extract(h, '([0-9]{{2}}\\.[0-9]{{3}})', 1) AS spec, regexp_extract(h, ' ([0-9]+(?:\\.[0-9]+)*)$', 1) AS section FROM hits),
-      u AS (SELECT * FROM refs UNION ALL SELECT f.plan_id, f.spec, c.release_num, 0, f.section FROM found f JOIN cited c ON c.plan_id = f.plan_id AND c.spec = f.spec)
+      reqs AS (SELECT DISTINCT rec_id, plan_id, text FROM requirements WHERE contains(text, 'TS')),
+      found AS ({' UNION ALL '.join(f"SELECT plan_id, unnest(regexp_extract_all(text, '{p}', {i})) AS spec, unnest(regexp_extract_all(text, '{p}', {j})) AS section FROM reqs" for p, i, j in _CITED)}),
+      u AS (SELECT * FROM refs UNION ALL SELECT f.plan_id, f.spec, coalesce(c.release_num, 0), 0, f.section FROM found f LEFT JOIN cited c ON c.plan_id = f.plan_id AND c.spec = f.spec WHERE length(f.spec) >= 4)
       SELECT spec, release_num, sum(manifest) AS ref_count, count(*) AS total_refs, coalesce(array_to_string(list_sort(list(DISTINCT section)), ','), '') AS sections,
         array_to_string(list_sort(list(DISTINCT plan_id)), ',') AS plans FROM u GROUP BY ALL""",
 }

@@ -41,7 +41,8 @@ def bm25(questions: str) -> str:
   idf AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM post, stats GROUP BY term, n),
   qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({tok('question')}) AS term FROM questions) GROUP BY ALL),
   w AS (SELECT qid, qt.term, qtf, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM idf) ELSE raw END AS idf FROM qt JOIN idf ON idf.term = qt.term),
-  bm AS (SELECT qid, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN w ON w.term = post.term, stats GROUP BY ALL)"""
+  bm0 AS (SELECT qid, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN w ON w.term = post.term, stats GROUP BY ALL),
+  bm AS (SELECT q.qid, c.chunk_id, coalesce(score, 0.0) AS score FROM questions q CROSS JOIN (SELECT chunk_id FROM chunks) c LEFT JOIN bm0 ON bm0.qid = q.qid AND bm0.chunk_id = c.chunk_id WHERE len({tok('q.question')}) > 0)"""
 
 
 FEEDBACK = "SELECT DISTINCT id AS qid, question FROM test_feedback WHERE id % 100 = 0"
@@ -91,7 +92,7 @@ SQL = {
       de AS (SELECT src AS id, count(*) AS n FROM edges WHERE edge_type = 'depends_on' GROUP BY 1)
       SELECT qid, d.chunk_id, rank, t.title AS parent_title, coalesce(st.n, 0) AS n_standards, coalesce(de.n, 0) AS n_depends FROM diverse d JOIN chunks ch ON ch.chunk_id = d.chunk_id
       LEFT JOIN par ON par.id = 'req:' || ch.req_id LEFT JOIN chunks t ON 'req:' || t.req_id = par.up LEFT JOIN st ON st.id = 'req:' || ch.req_id LEFT JOIN de ON de.id = 'req:' || ch.req_id""",
-    "chunk_fingerprint": f"""WITH {CHUNKS}, b AS (SELECT plan_id, chunk_id, (row_number() OVER (PARTITION BY plan_id ORDER BY chunk_id) - 1) // 10000 AS block FROM chunks),
+    "chunk_fingerprint": f"""WITH {CHUNKS}, b AS (SELECT plan_id, chunk_id, chunk_id // 10000 AS block FROM chunks),
       h AS (SELECT plan_id, block, count(*) AS n, sha256(string_agg(lpad(chunk_id::VARCHAR, 12, '0'), chr(10) ORDER BY chunk_id)) AS h FROM b GROUP BY ALL)
       SELECT plan_id, sum(n) AS n_chunks, left(sha256(string_agg(h, chr(10) ORDER BY block)), 16) AS fingerprint FROM h GROUP BY 1""",
     "label_centroids": """WITH v AS (SELECT label, i, embedding[i]::DOUBLE AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i)), m AS (SELECT label, i, avg(x) AS x FROM v GROUP BY ALL), al AS (SELECT i, avg(x) AS y FROM v GROUP BY 1)

@@ -41,10 +41,10 @@ def uniq(l: str) -> str:  # noqa: E741
 
 TYPES = f"""{Q}, cq AS (SELECT id, question, lower(question) AS c, list_distinct(regexp_extract_all(question, '[A-Z]{{2}}_REQ_([A-Z]+)_[0-9]+', 1)) AS p FROM q WHERE question IS NOT NULL),
   typed AS (SELECT id, CASE WHEN {_NM} >= 2 OR (contains(c, 'compare') AND {_NM} >= 1) THEN 'cross_mno_comparison'
-    WHEN ({any_('c', u.STANDARD_WORDS)} OR regexp_matches(c, '[0-9]{{2}}\\.[0-9]{{3}}')) AND {any_('c', u.COMPARE_WORDS)} THEN 'standards_comparison'
+    WHEN regexp_matches(c, '{u.STANDARD}') AND {any_('c', u.COMPARE_WORDS)} THEN 'standards_comparison'
     WHEN len(regexp_extract_all(c, '20[0-9]{{2}}_[a-z]{{3}}')) >= 2 OR {any_('c', u.RELEASE_WORDS)} THEN 'release_diff'
     WHEN {any_('c', u.TRACE_WORDS)} THEN 'traceability' WHEN {any_('c', u.FEATURE_WORDS)} THEN 'feature_level'
-    WHEN {any_('c', u.CROSS_WORDS)} OR len(p) >= 2 THEN 'cross_doc' WHEN len(p) >= 1 THEN 'single_doc' ELSE 'general' END AS query_type,
+    WHEN {any_('c', u.CROSS_WORDS + u.LIST_WORDS)} OR len(p) >= 2 THEN 'cross_doc' WHEN len(p) >= 1 THEN 'single_doc' ELSE 'general' END AS query_type,
     array_to_string({hits('c', u.CONCEPTS)}, ',') AS concepts, array_to_string({uniq("regexp_extract_all(question, '\\b[A-Z]{5}_[A-Z]{4}_[A-Z]{4}\\b')")}, ',') AS entities FROM cq)"""
 _LOW = "lower(concat_ws(' ', title, text))"
 _FEATS = " UNION ALL ".join(f"SELECT plan_id, release, mno, '{f}' AS feature_id, '{n}' AS name, unnest({hits('low', kw)}) AS keyword FROM r" for f, n, kw in u.FEATURES)
@@ -61,8 +61,8 @@ SCORES = f"""{Q}, x AS (SELECT id, page_section, llm_model, list_distinct(list_f
 
 SQL = {
     "query_type_classify": f"WITH {TYPES} SELECT * FROM typed",
-    "query_policy": f"""WITH {TYPES} SELECT query_type, count(*) AS n, greatest(10, CASE query_type WHEN 'cross_doc' THEN 25 WHEN 'standards_comparison' THEN 20 WHEN 'cross_mno' THEN 30 ELSE 0 END) AS top_k,
-      CASE WHEN query_type IN ('standards_comparison', 'single_doc') THEN 0.5 ELSE 0.0 END AS bm25_weight FROM typed GROUP BY 1""",
+    "query_policy": f"""WITH {TYPES} SELECT query_type, count(*) AS n, CASE WHEN query_type IN ('cross_doc', 'cross_mno_comparison', 'standards_comparison', 'feature_level') THEN 25 WHEN query_type IN ('traceability', 'release_diff') THEN 20 ELSE 10 END AS top_k,
+      CASE WHEN query_type IN ('standards_comparison', 'traceability', 'single_doc') THEN 0.5 ELSE 0.0 END AS bm25_weight FROM typed GROUP BY 1""",
     "release_match": """WITH w AS (SELECT DISTINCT mno, coalesce(lower(release), 'latest') AS wish FROM documents WHERE mno IS NOT NULL), p AS (SELECT DISTINCT mno, release FROM plans),
       j AS (SELECT w.mno, wish, release, CASE WHEN wish IN ('latest', 'current') THEN 9 WHEN lower(release) = wish THEN 1 WHEN contains(lower(release), wish) THEN 2 WHEN len(list_filter(string_split(wish, '_'), lambda x: contains(lower(release), x))) > 0 THEN 3 ELSE 9 END AS rule,
         split_part(release, '_', 1) AS y, instr('jan feb mar apr may jun jul aug sep oct nov dec', lower(split_part(release, '_', -1))) AS m FROM w JOIN p ON p.mno = w.mno)

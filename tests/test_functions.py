@@ -155,3 +155,68 @@ def test_embedder_reads_whole_texts():
     long = "alpha " * 5000 + "omega"
     whole, cut = G.hash_embedder()([long])[0], G.hash_embedder(chars=8000)([long])[0]
     assert whole != cut and cut == G.hash_embedder()(["alpha " * 1333])[0]
+
+
+def brute_bm25(docs, asked, k):
+    import re
+    from collections import Counter
+
+    tok = lambda s: [x for x in re.findall(r"[a-z0-9_.\-]+", s.lower()) if len(x) > 1]
+    ts = {i: Counter(tok(t)) for i, t in docs}
+    df = Counter(w for c in ts.values() for w in c)
+    n, avg = len(docs), sum(sum(c.values()) for c in ts.values()) / len(docs)
+    idf = {w: math.log((n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: v if v >= 0 else 0.25 * mean for w, v in idf.items()}
+    out = {}
+    for q, text in asked:
+        if not tok(text):
+            out[q] = []
+            continue
+        s = {i: round(sum(idf.get(w, 0) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / avg)) for w in tok(text)), 6) for i, c in ts.items()}
+        out[q] = [(i, s[i]) for i in sorted(s, key=lambda i: (-s[i], i))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bm25_bounds_change_nothing(spark, seed):
+    """The best by bounds are those of scoring everything, also with words that most texts have and texts that share none."""
+    import random
+
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rnd.choice(words[: rnd.choice([3, 10, 60])]) for _ in range(rnd.randint(0, 30))) + (" the" if i % 10 else "")) for i in range(120)]
+    asked = [(q, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 5))) + " the") for q in range(15)] + [(99, "nothing known"), (98, "")]
+    d, a = spark.createDataFrame(docs, "chunk_id long, text string"), spark.createDataFrame(asked, "qid long, question string")
+    for k in (1, 5, 200):
+        got = {}
+        for r in R.bm25_best(d, a, k).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.chunk_id, r.score))
+        want = brute_bm25(docs, asked, k)
+        for q, rows in want.items():
+            assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in rows], abs=2e-6), (q, k)
+            assert not rows or {i for i, _ in got[q]} == {i for i, _ in rows} or rows[-1][1] in [s for _, s in rows[:-1]] or k == 1
+
+
+def test_vector_search_over_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 20)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 8)).astype(np.float32)
+    x[3] = 0
+    df = spark.createDataFrame([(i, x[i].tolist(), i % 3) for i in range(150)], "vec_id long, embedding array<float>, label int")
+    asked = df.where("vec_id % 5 = 0")
+    for same in (False, True):
+        got = {}
+        for r in R.vector_search(df, asked, 4, "l2", same).collect():
+            got.setdefault(r.qid, []).append((r.rank, r.vec_id))
+        for q in range(0, 150, 5):
+            d = np.round(np.linalg.norm(x.astype(float) - x[q].astype(float), axis=1), 6)
+            if same:
+                d[np.arange(150) % 3 != q % 3] = np.inf
+            assert [i for _, i in sorted(got[q])] == np.lexsort((np.arange(150), d))[:4].tolist()
+    assert R.vector_search(df.limit(0), asked, 4).count() == 0 and R.vector_search(df, asked.limit(0), 4).count() == 0
+    plan = R.vector_search(df, asked, 4)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("FlatMapCoGroupsInPandas") == 1
