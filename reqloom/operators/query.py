@@ -280,7 +280,7 @@ class Batch:
             terms = F.array_distinct(tx.tokenize(F.col("question")))
             share = F.floor(F.size(F.array_intersect(terms, tx.tokenize(F.col("text")))) * 10 / F.greatest(F.size(terms), F.lit(1)))
             f = f.withColumn("pair_score", F.when(F.col("reranks"), share).otherwise(0))
-            again = topk_per_group(f.drop("rank").withColumn("prior", F.col("rank")), ["qid"], [F.desc("pair_score"), F.asc("prior")], 2 * max(LEAST_K, *TOP_K.values())).where(~F.col("reranks") | (F.col("rank") <= F.col("k")))
+            again = topk_per_group(f.withColumnRenamed("rank", "prior"), ["qid"], [F.desc("pair_score"), F.asc("prior")], 2 * max(LEAST_K, *TOP_K.values())).where(~F.col("reranks") | (F.col("rank") <= F.col("k")))
             # one of each plan, in order of rank, then the others up to k; ordered by distance
             first = F.row_number().over(Window.partitionBy("qid", "plan_id").orderBy("rank")) == 1
             picked = again.withColumn("first", first).withColumn("pick", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("first"), "rank"))).where(F.col("first") | (F.col("pick") <= F.col("k")))
@@ -332,7 +332,7 @@ class Batch:
             F.concat(F.lit("Source: "), F.concat_ws(" | ", "mno", "release", "plan_id", "section_number")), F.concat(F.lit("Requirement ID: "), "req_id"),
             opt(F.substring("parent", 1, PARENT_CHARS), "Parent: "), F.nullif("title", F.lit("")), F.nullif("text", F.lit("")), F.nullif(std, F.lit("")),
             F.when(F.size("related") > 0, F.concat(F.lit("Depends on: "), F.array_join(F.slice("related", 1, LISTED_DEPENDS), ", "))),
-            F.concat(F.lit("Relevance: "), F.format_string("%.4f", F.col("distance"))),
+            F.concat(F.lit("Distance in millionths: "), F.round(F.col("distance") * 1_000_000).cast("long").cast("string")),
         )
         parts = F.array_sort(F.collect_list(F.struct("rank", part.alias("t"), "req_id")))
         x = e.groupBy("qid").agg(parts.alias("ps")).join(self.intents.select("qid", "question"), "qid")

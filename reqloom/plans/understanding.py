@@ -39,12 +39,14 @@ def uniq(l: str) -> str:  # noqa: E741
     return _UNIQ.replace("{l}", l)
 
 
-TYPES = f"""{Q}, cq AS (SELECT id, question, lower(question) AS c, list_distinct(regexp_extract_all(question, '[A-Z]{{2}}_REQ_([A-Z]+)_[0-9]+', 1)) AS p FROM q WHERE question IS NOT NULL),
-  typed AS (SELECT id, CASE WHEN {_NM} >= 2 OR (contains(c, 'compare') AND {_NM} >= 1) THEN 'cross_mno_comparison'
+# the type of a question: c is its lower-case text, p the plans that it names
+TYPE_CASE = f"""CASE WHEN {_NM} >= 2 OR (contains(c, 'compare') AND {_NM} >= 1) THEN 'cross_mno_comparison'
     WHEN regexp_matches(c, '{u.STANDARD}') AND {any_('c', u.COMPARE_WORDS)} THEN 'standards_comparison'
     WHEN len(regexp_extract_all(c, '20[0-9]{{2}}_[a-z]{{3}}')) >= 2 OR {any_('c', u.RELEASE_WORDS)} THEN 'release_diff'
     WHEN {any_('c', u.TRACE_WORDS)} THEN 'traceability' WHEN {any_('c', u.FEATURE_WORDS)} THEN 'feature_level'
-    WHEN {any_('c', u.CROSS_WORDS + u.LIST_WORDS)} OR len(p) >= 2 THEN 'cross_doc' WHEN len(p) >= 1 THEN 'single_doc' ELSE 'general' END AS query_type,
+    WHEN {any_('c', u.CROSS_WORDS + u.LIST_WORDS)} OR len(p) >= 2 THEN 'cross_doc' WHEN len(p) >= 1 THEN 'single_doc' ELSE 'general' END"""
+TYPES = f"""{Q}, cq AS (SELECT id, question, lower(question) AS c, list_distinct(regexp_extract_all(question, '[A-Z]{{2}}_REQ_([A-Z]+)_[0-9]+', 1)) AS p FROM q WHERE question IS NOT NULL),
+  typed AS (SELECT id, {TYPE_CASE} AS query_type,
     array_to_string({hits('c', u.CONCEPTS)}, ',') AS concepts, array_to_string({uniq("regexp_extract_all(question, '\\b[A-Z]{5}_[A-Z]{4}_[A-Z]{4}\\b')")}, ',') AS entities FROM cq)"""
 _LOW = "lower(concat_ws(' ', title, text))"
 _FEATS = " UNION ALL ".join(f"SELECT plan_id, release, mno, '{f}' AS feature_id, '{n}' AS name, unnest({hits('low', kw)}) AS keyword FROM r" for f, n, kw in u.FEATURES)
