@@ -130,12 +130,18 @@ def req_id_of_section(spark: SparkSession, base: str) -> DataFrame:
 
 
 def surrounding(spark: SparkSession, base: str) -> DataFrame:
-    """For each table range's first block: the last two text blocks before it, 200 characters each."""
+    """For each table range's first block: the last two text blocks before it, 200 characters each.
+
+    Every text block carries itself and the text before it; a block takes over the last of these pairs: two running last
+    values, linear in the document.
+    """
     b = blocks(spark, base)
     w = doc_window().rowsBetween(Window.unboundedPreceding, -1)
-    before = F.array_join(F.slice(F.concat(F.array(F.lit(""), F.lit("")), F.collect_list(F.when(F.col("type") != "table", F.substring("text", 1, 200))).over(w)), -2, 2), "\n")
+    is_text = F.col("type") != "table"
+    b = b.withColumn("own", F.when(is_text, F.substring("text", 1, 200))).withColumn("before", F.last("own", ignorenulls=True).over(w))
+    b = b.withColumn("pair", F.when(is_text, F.concat_ws("\n", "before", "own"))).withColumn("around", F.coalesce(F.last("pair", ignorenulls=True).over(w), F.lit("")))
     prev = F.lag("type").over(doc_window())
-    return b.withColumn("around", before).withColumn("prev", prev).where("type = 'table' and (prev is null or prev <> 'table')").select("doc_id", "idx", F.trim(F.col("around"), F.lit("\n")).alias("around"))
+    return b.withColumn("prev", prev).where("type = 'table' and (prev is null or prev <> 'table')").select("doc_id", "idx", F.trim(F.col("around"), F.lit("\n")).alias("around"))
 
 
 def size_runs(spark: SparkSession, base: str, step: int = 200) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqloom.operators.patterns import once, p95_floor
-from reqloom.sources.tables import table
+from reqloom.sources.tables import Scratch, table
 
 STATUSES = ("submitted", "running", "completed", "failed", "cancelled")
 TERMINAL = ("completed", "failed", "cancelled")
@@ -38,19 +38,23 @@ def metrics_recent(spark: SparkSession, base: str) -> DataFrame:
     return filtered(metric_rows(spark, base), category="request", since=dt.datetime(2025, 7, 1), limit=100).select("id", "ts", "name", "value")
 
 
+BINS = 32  # ranges of each group in which the wanted position is looked for
+
+
 def metrics_summary(spark: SparkSession, base: str) -> DataFrame:
     """Per category and name: count, mean, least, greatest, p95 by the floor rule, and the newest unit.
 
-    The p95 of a group comes from the distribution of its distinct values: groups are pre-aggregated to (value, count)
-    and the running count is taken per range of values, so a group that holds a third of all rows is many small windows.
+    The p95 of a group is exact: rows are counted by distinct value first; the quantiles of a sketch cut each group into
+    BINS ranges of about as many rows, whatever its tail looks like; running counts over the ranges say in which the
+    wanted position lies, and only that range is ordered. So a group that holds a third of all rows is many small windows.
     """
     m = metric_rows(spark, base)
-    agg = m.groupBy("category", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("unit", F.when(F.col("unit").isNotNull(), F.struct("ts", "id"))).alias("unit"), F.min("value").alias("lo_"), F.max("value").alias("hi_"))
-    # 1,024 ranges of each group's span; the range that holds the wanted position is then ordered by itself
-    span = F.col("hi_") - F.col("lo_")
-    bins = F.when(span > 0, F.least(F.lit(1023), F.floor((F.col("value") - F.col("lo_")) / span * 1024))).otherwise(0).cast("int")
-    keyed = m.select("category", "name", "value").join(F.broadcast(agg.select("category", "name", "lo_", "hi_", "n")), ["category", "name"])
-    counted = keyed.groupBy("category", "name", "n", bins.alias("bin"), "value").agg(F.count("*").alias("c"))
+    cuts = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value"), F.array(*[F.lit(i / BINS) for i in range(1, BINS)]))
+    agg = m.groupBy("category", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("unit", F.when(F.col("unit").isNotNull(), F.struct("ts", "id"))).alias("unit"), cuts.alias("cuts"))
+    agg = Scratch(spark).save(agg)  # a row for each name; the planner knows its size
+    values = m.groupBy("category", "name", "value").agg(F.count("*").alias("c"))
+    keyed = values.join(agg.select("category", "name", "n", "cuts"), ["category", "name"])
+    counted = keyed.select("category", "name", "n", "value", "c", F.size(F.filter("cuts", lambda x: x < F.col("value"))).alias("bin"))
     per_bin = counted.groupBy("category", "name", "n", "bin").agg(F.sum("c").alias("c"))
     wb = Window.partitionBy("category", "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     target = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(0.95)).cast("long"))
