@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqloom.functions.text import bbox_overlap
+from reqloom.operators.blocks import blocks
 
 # Fixed values of the page rules, in points or shares.
 TOP, BOTTOM, REPEAT_SHARE, REPEAT_PAGES, LEAST_AREA, OVERLAP = 65.0, 50.0, 0.6, 20, 10.0, 0.5
@@ -95,3 +96,79 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     """Dense index per document by page and top; blocks without a box come last on their page."""
     w = Window.partitionBy("doc_id").orderBy("page", F.coalesce("y0", F.lit(9999.0)), F.coalesce("x0", F.lit(9999.0)))
     return blocks.withColumn("idx", F.row_number().over(w) - 1)
+
+
+def running_sides(blocks_: DataFrame) -> DataFrame:
+    """The running lines of each document as header or footer: by the side of the page on which they stand more often."""
+    b = blocks_.where((F.col("page") <= REPEAT_PAGES) & in_margin()).select("doc_id", "page", F.regexp_replace(F.trim("text"), r"\d+", "#").alias("norm"), (F.col("y1") < TOP).alias("above"))
+    n = b.join(running_lines(blocks_), ["doc_id", "norm"]).groupBy("doc_id", "norm").agg(F.count_if("above").alias("above"), F.count("*").alias("n"))
+    return n.select("doc_id", "norm", F.when(F.col("above") * 2 >= F.col("n"), "header").otherwise("footer").alias("side"))
+
+
+# Fixed values of the pages on which the registered queries lay out the text corpus: twelve lines to a page.
+LINES, PITCH, LEFT, CHAR_W, LINE_H, PAGE_H, PAGE_W = 12, 66.0, 72.0, 4.0, 12.0, 792.0, 540.0
+
+
+def pages(spark: SparkSession, base: str) -> DataFrame:
+    """Blocks of the documents on pages of LINES lines: doc_id, idx, page, type, text, x0, y0, x1, y1, page_h."""
+    y0 = (F.col("idx") % LINES) * PITCH + 20
+    return blocks(spark, base).select(
+        "doc_id", "idx", (F.floor(F.col("idx") / LINES) + 1).cast("int").alias("page"), "type", "text", F.lit(LEFT).alias("x0"), y0.alias("y0"),
+        F.least(F.lit(PAGE_W), LEFT + CHAR_W * F.length("text")).alias("x1"), (y0 + LINE_H).alias("y1"), F.lit(PAGE_H).alias("page_h"),
+    )
+
+
+def drawn(spark: SparkSession, base: str) -> DataFrame:
+    """Strokes on those pages: through the middle of every 17th block, over three fifths or a quarter of its width, and boxes
+    that are no strokes."""
+    p = pages(spark, base)
+    k = F.pmod(F.col("doc_id") * 31 + F.col("idx"), F.lit(17))
+    mid, w = (F.col("y0") + F.col("y1")) / 2, F.col("x1") - F.col("x0")
+    return p.where(k.isin(0, 1, 2)).select("doc_id", "page", "x0", F.when(k == 2, F.col("y0")).otherwise(mid - 0.5).alias("y0"), (F.col("x0") + w * F.when(k == 1, 0.25).otherwise(0.6)).alias("x1"), F.when(k == 2, F.col("y1")).otherwise(mid + 0.5).alias("y1"))
+
+
+def table_boxes(spark: SparkSession, base: str) -> DataFrame:
+    """The box around the table lines of each page."""
+    t = pages(spark, base).where("type = 'table'")
+    return t.groupBy("doc_id", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def kept_in_margins(spark: SparkSession, base: str) -> DataFrame:
+    return without_margins(pages(spark, base)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
+
+
+def kept_boilerplate(spark: SparkSession, base: str) -> DataFrame:
+    return without_boilerplate(pages(spark, base)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def headers_footers(spark: SparkSession, base: str) -> DataFrame:
+    return running_sides(pages(spark, base))
+
+
+def kept_running(spark: SparkSession, base: str) -> DataFrame:
+    return without_running_lines(pages(spark, base)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def kept_table_text(spark: SparkSession, base: str) -> DataFrame:
+    p = pages(spark, base).where("type <> 'table'")
+    return without_table_text(p, table_boxes(spark, base)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("idx").alias("idxs"))
+
+
+def struck_blocks(spark: SparkSession, base: str) -> DataFrame:
+    """Spans and rows that a stroke strikes, by document."""
+    p, q = pages(spark, base), strike_lines(drawn(spark, base))
+    spans = struck_spans(p, q).groupBy("doc_id").agg(F.count("*").alias("spans"))
+    rows = struck_rows(p.where("type = 'table'"), q).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    return spans.join(rows, "doc_id", "full_outer").select("doc_id", F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def struck_characters(spark: SparkSession, base: str) -> DataFrame:
+    """Documents' pages as blocks of spans, every third span struck where the document's id is even: struck by characters?"""
+    p = pages(spark, base).select("doc_id", F.col("page").alias("idx"), "text", ((F.col("idx") % 3 != 1) & (F.col("doc_id") % 2 == 0)).alias("struck"))
+    return struck_by_characters(p)
+
+
+def ordered(spark: SparkSession, base: str) -> DataFrame:
+    """Reading order restored from the boxes alone."""
+    p = pages(spark, base).select("doc_id", F.col("idx").alias("was"), "page", "x0", "y0")
+    return reading_order(p).select("doc_id", "was", "idx")
