@@ -15,7 +15,7 @@ from reqloom.functions.keys import DOTTED
 from reqloom.operators.patterns import once
 from reqloom.operators.references import resolve_standards
 from reqloom.operators.structure import sections
-from reqloom.operators.understanding import feature_hits
+from reqloom.operators.understanding import by_month, feature_hits
 from reqloom.sources.tables import table
 
 # A spec with its section, a spec alone, and the characters on both sides in which a release may be named.
@@ -189,7 +189,7 @@ def chunks_per(spark: SparkSession, base: str) -> DataFrame:
 def side_by_side(spark: SparkSession, base: str) -> DataFrame:
     """Requirements of the first and the last release of a plan and section, side by side, with whether the texts agree."""
     r = table(spark, base, "requirements").where("section_number is not null")
-    g = r.groupBy("plan_id", "section_number").agg(F.min_by("req_id", F.struct("release", "rec_id")).alias("first_req"), F.max_by("req_id", F.struct("release", "rec_id")).alias("last_req"), F.min_by(F.coalesce("text", F.lit("")), F.struct("release", "rec_id")).alias("a"), F.max_by(F.coalesce("text", F.lit("")), F.struct("release", "rec_id")).alias("b"))
+    g = r.groupBy("plan_id", "section_number").agg(F.min_by("req_id", F.struct(by_month(), "rec_id")).alias("first_req"), F.max_by("req_id", F.struct(by_month(), "rec_id")).alias("last_req"), F.min_by(F.coalesce("text", F.lit("")), F.struct(by_month(), "rec_id")).alias("a"), F.max_by(F.coalesce("text", F.lit("")), F.struct(by_month(), "rec_id")).alias("b"))
     return g.where("first_req <> last_req").select("plan_id", "section_number", "first_req", "last_req", (F.col("a") == F.col("b")).alias("same_text"))
 
 

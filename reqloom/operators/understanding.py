@@ -87,6 +87,13 @@ def policy(spark: SparkSession, base: str) -> DataFrame:
     return c.select("query_type", "n", F.greatest(F.lit(10), F.coalesce(F.try_element_at(m(TOP_K), F.col("query_type")), F.lit(0))).alias("top_k"), F.coalesce(F.try_element_at(m(BM25_WEIGHT), F.col("query_type")), F.lit(0.0)).alias("bm25_weight"))
 
 
+def by_month(c="release") -> Column:
+    """A sortable form of a release like 2025_feb."""
+    c = F.col(c)
+    month = F.instr(F.lit("jan feb mar apr may jun jul aug sep oct nov dec"), F.lower(F.substring_index(c, "_", -1)))
+    return F.struct(F.substring_index(c, "_", 1).alias("y"), month.alias("m"), c.alias("r"))
+
+
 def release_match(spark: SparkSession, base: str) -> DataFrame:
     """The release of a plan that a feedback row's wish names: exact, substring, part, else the latest by month.
 
@@ -148,7 +155,7 @@ def taxonomy_diff(spark: SparkSession, base: str) -> DataFrame:
     low = F.lower(F.concat_ws(" ", "title", "text"))
     feats = F.array(*[F.struct(F.lit(f).alias("feature_id"), word_hits(low, kw).alias("hits")) for f, _, kw in FEATURES])
     x = r.select("release", F.explode(feats).alias("f")).select("release", "f.feature_id", F.explode("f.hits").alias("keyword")).distinct()
-    ends = x.agg(F.min("release").alias("lo"), F.max("release").alias("hi"))
+    ends = x.agg(F.min_by("release", by_month()).alias("lo"), F.max_by("release", by_month()).alias("hi"))
     x = x.crossJoin(F.broadcast(ends))  # one row
     a = x.where("release = lo").select("feature_id", "keyword", F.lit(1).alias("old"))
     b = x.where("release = hi").select("feature_id", "keyword", F.lit(1).alias("new"))
@@ -156,13 +163,15 @@ def taxonomy_diff(spark: SparkSession, base: str) -> DataFrame:
     return j.select("feature_id", "keyword", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("kept").alias("change"))
 
 
-def score_questions(spark: SparkSession, base: str, known: DataFrame | None = None) -> DataFrame:
+def score_questions(spark: SparkSession, base: str, known: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
     """Scores of each answer against its expected citations: completeness, accuracy, citation, standards, grounding.
 
     Expected ids come from citations_json, found ones from the answer's text; an id that no requirement has is
-    ungrounded (left-anti against the corpus, not a fixed plan list).
+    ungrounded (left-anti against the corpus, not a fixed plan list). `answers` (id, answer) scores another run's answers.
     """
     q = question_rows(spark, base)
+    if answers is not None:
+        q = q.drop("answer").join(answers.select("id", "answer"), "id", "left")
     expected = F.array_distinct(F.filter(F.coalesce(F.transform(F.from_json("citations_json", "array<struct<req_id string>>"), lambda x: x["req_id"]), F.array().cast("array<string>")), lambda x: x.isNotNull()))
     x = q.select("id", "page_section", "llm_model", expected.alias("expected"), F.array_distinct(tx.find_req_ids(F.coalesce("answer", F.lit("")))).alias("found"), F.contains(F.coalesce("answer", F.lit("")), F.lit("3GPP TS")).alias("std"))
     have = (table(spark, base, "requirements") if known is None else known).select("req_id").distinct()
@@ -194,6 +203,31 @@ def ab_compare(spark: SparkSession, base: str) -> DataFrame:
     return j.groupBy("page_section").agg(F.count_if(F.col("a") > F.col("b")).alias("a_wins"), F.count_if(F.col("a") < F.col("b")).alias("b_wins"), F.count_if(F.col("a") == F.col("b")).alias("ties"), F.round(F.avg(F.col("a") - F.col("b")), 6).alias("delta"))
 
 
+def ab_runs(spark: SparkSession, base: str) -> DataFrame:
+    """Two runs over the same questions, paired by question: the delivered answers against those of a model that gives the
+    question back. Wins, ties and mean difference of the overall score per page section and in total."""
+    q = question_rows(spark, base)
+    a = score_questions(spark, base).select("id", "page_section", F.col("overall").alias("a"))
+    b = score_questions(spark, base, answers=q.select("id", F.col("question").alias("answer"))).select("id", F.col("overall").alias("b"))
+    j = a.join(b, "id")
+    d = F.col("a") - F.col("b")
+    return j.rollup("page_section").agg(F.count("*").alias("n"), F.count_if(d > 0).alias("a_wins"), F.count_if(d < 0).alias("b_wins"), F.count_if(d == 0).alias("ties"), F.round(F.avg(d), 6).alias("delta"), F.grouping("page_section").cast("int").alias("is_total"))
+
+
+# Targets of an evaluation. Completeness is asked of questions over several plans only.
+TARGETS = [("completeness", 0.8, False), ("accuracy", 0.9, False), ("citation", 1.0, True), ("standards", 0.8, False), ("grounded", 1.0, True)]
+
+
+def target_checks(spark: SparkSession, base: str) -> DataFrame:
+    """Per model and target its mean, the target, and whether it is met: more than the target, or all of it where that is 1."""
+    s = score_questions(spark, base)
+    plans = question_rows(spark, base).select("id", F.size(F.array_distinct(F.transform(F.from_json("citations_json", "array<struct<req_id string>>"), lambda x: tx.plan_of_req(x["req_id"])))).alias("plans"))
+    s = s.join(plans, "id", "left")
+    means = s.groupBy("llm_model").agg(*[F.avg(F.when(F.col("plans") >= 2, F.col(c)) if c == "completeness" else F.col(c)).alias(c) for c, _, _ in TARGETS])
+    rows = F.array(*[F.struct(F.lit(c).alias("target"), F.round(F.col(c), 6).alias("mean"), F.lit(t).alias("wanted"), (F.col(c) >= t if whole else F.col(c) > t).alias("met")) for c, t, whole in TARGETS])
+    return means.select("llm_model", F.explode(rows).alias("r")).select("llm_model", "r.*")
+
+
 def verdicts(spark: SparkSession, base: str) -> DataFrame:
     """PASS from 0.6, WARN from 0.3, else FAIL: per model."""
     s = score_questions(spark, base)
@@ -205,7 +239,7 @@ def set_diff(spark: SparkSession, base: str) -> DataFrame:
     """Sections added, removed, changed and kept between each plan's first and last release (full outer join on the key)."""
     r = table(spark, base, "requirements").where("section_number is not null")
     r = r.groupBy("plan_id", "release", "section_number").agg(F.min_by("title", "rec_id").alias("title"))
-    ends = r.groupBy("plan_id").agg(F.min("release").alias("lo"), F.max("release").alias("hi"))
+    ends = r.groupBy("plan_id").agg(F.min_by("release", by_month()).alias("lo"), F.max_by("release", by_month()).alias("hi"))
     x = r.join(ends, "plan_id").where("lo <> hi")
     a = x.where("release = lo").select("plan_id", "section_number", F.coalesce("title", F.lit("")).alias("old"))
     b = x.where("release = hi").select("plan_id", "section_number", F.coalesce("title", F.lit("")).alias("new"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from reqloom.operators import catalog as c
 from reqloom.plans.references import STD, release_sql
 from reqloom.plans.structure import _DEPTH, _SECTIONS, REQS, SECS
-from reqloom.plans.understanding import FEATURES
+from reqloom.plans.understanding import FEATURES, MONTH
 
 QUERIES = {
     "cross_ref_extract": c.cross_refs,
@@ -57,7 +57,7 @@ SQL = {
       SELECT zone_type, o + w AS n, CASE WHEN o > 0 AND w > 0 THEN 'both' WHEN w > 0 THEN 'new' ELSE 'old' END AS origin FROM g""",
     "chunks_per_plan": """WITH r AS (SELECT req_id, arg_min(plan_id, rec_id) AS plan_id, arg_min(coalesce(zone_type, 'none'), rec_id) AS zone FROM requirements WHERE req_id IS NOT NULL GROUP BY 1)
       SELECT plan_id, zone, count(*) AS n, grouping_id(plan_id, zone) AS gid FROM r GROUP BY ROLLUP (plan_id, zone)""",
-    "requirement_pair_compare": """WITH g AS (SELECT plan_id, section_number, arg_min(req_id, {'a': release, 'b': rec_id}) AS first_req, arg_max(req_id, {'a': release, 'b': rec_id}) AS last_req, arg_min(coalesce(text, ''), {'a': release, 'b': rec_id}) AS a, arg_max(coalesce(text, ''), {'a': release, 'b': rec_id}) AS b
+    "requirement_pair_compare": f"""WITH g AS (SELECT plan_id, section_number, arg_min(req_id, {{'a': {MONTH}, 'b': rec_id}}) AS first_req, arg_max(req_id, {{'a': {MONTH}, 'b': rec_id}}) AS last_req, arg_min(coalesce(text, ''), {{'a': {MONTH}, 'b': rec_id}}) AS a, arg_max(coalesce(text, ''), {{'a': {MONTH}, 'b': rec_id}}) AS b
         FROM requirements WHERE section_number IS NOT NULL GROUP BY ALL) SELECT plan_id, section_number, first_req, last_req, a = b AS same_text FROM g WHERE first_req <> last_req""",
     "priority_tally": f"SELECT CASE WHEN upper(trim(coalesce(priority, ''))) = '' THEN 'NONE' ELSE upper(trim(coalesce(priority, ''))) END AS priority, count(*) AS n FROM {REQS} GROUP BY 1",
 }

@@ -17,6 +17,8 @@ QUERIES = {
     "category_rollup": u.category_rollup,
     "ab_compare": u.ab_compare,
     "verdicts": u.verdicts,
+    "ab_runs": u.ab_runs,
+    "target_checks": u.target_checks,
     "set_diff_report": u.set_diff,
 }
 
@@ -48,6 +50,7 @@ TYPE_CASE = f"""CASE WHEN {_NM} >= 2 OR (contains(c, 'compare') AND {_NM} >= 1)
 TYPES = f"""{Q}, cq AS (SELECT id, question, lower(question) AS c, list_distinct(regexp_extract_all(question, '[A-Z]{{2}}_REQ_([A-Z]+)_[0-9]+', 1)) AS p FROM q WHERE question IS NOT NULL),
   typed AS (SELECT id, {TYPE_CASE} AS query_type,
     array_to_string({hits('c', u.CONCEPTS)}, ',') AS concepts, array_to_string({uniq("regexp_extract_all(question, '\\b[A-Z]{5}_[A-Z]{4}_[A-Z]{4}\\b')")}, ',') AS entities FROM cq)"""
+MONTH = "{'y': split_part(release, '_', 1), 'm': instr('jan feb mar apr may jun jul aug sep oct nov dec', lower(split_part(release, '_', -1))), 'r': release}"
 _LOW = "lower(concat_ws(' ', title, text))"
 _FEATS = " UNION ALL ".join(f"SELECT plan_id, release, mno, '{f}' AS feature_id, '{n}' AS name, unnest({hits('low', kw)}) AS keyword FROM r" for f, n, kw in u.FEATURES)
 FEATURES = f"""r AS (SELECT plan_id, release, mno, {_LOW} AS low FROM (SELECT * FROM requirements QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY ingested_at) = 1) WHERE text IS NOT NULL),
@@ -76,14 +79,22 @@ SQL = {
         any_value(k.keywords) AS keywords, count(*) FILTER (is_primary) AS n_primary FROM feats f JOIN k ON k.feature_id = f.feature_id GROUP BY 1""",
     "feature_mno_coverage": f"""WITH {FEATURES}, p AS (SELECT DISTINCT mno, plan_id FROM requirements), c AS (SELECT feature_id, mno, array_to_string(list_sort(list(DISTINCT p.plan_id)), ',') AS plans FROM feats f JOIN p ON p.plan_id = f.plan_id GROUP BY ALL)
       SELECT feature_id, array_to_string(list_sort(list(mno || '=' || plans)), ';') AS coverage FROM c GROUP BY 1""",
-    "taxonomy_diff": f"""WITH {FEATURES}, e AS (SELECT min(release) AS lo, max(release) AS hi FROM fx), a AS (SELECT DISTINCT feature_id, keyword FROM fx, e WHERE release = lo), b AS (SELECT DISTINCT feature_id, keyword FROM fx, e WHERE release = hi)
+    "taxonomy_diff": f"""WITH {FEATURES}, e AS (SELECT arg_min(release, {MONTH}) AS lo, arg_max(release, {MONTH}) AS hi FROM fx), a AS (SELECT DISTINCT feature_id, keyword FROM fx, e WHERE release = lo), b AS (SELECT DISTINCT feature_id, keyword FROM fx, e WHERE release = hi)
       SELECT coalesce(a.feature_id, b.feature_id) AS feature_id, coalesce(a.keyword, b.keyword) AS keyword, CASE WHEN a.keyword IS NULL THEN 'added' WHEN b.keyword IS NULL THEN 'removed' ELSE 'kept' END AS change
       FROM a FULL JOIN b ON a.feature_id = b.feature_id AND a.keyword = b.keyword""",
     "score_questions": f"WITH {SCORES} SELECT * FROM scores",
     "category_rollup": f"WITH {SCORES} SELECT page_section, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('completeness', 'accuracy', 'citation', 'standards', 'grounded', 'overall'))}, grouping(page_section)::INT AS is_total FROM scores GROUP BY ROLLUP (page_section)",
     "ab_compare": f"WITH {SCORES} SELECT page_section, count(*) FILTER (completeness > accuracy) AS a_wins, count(*) FILTER (completeness < accuracy) AS b_wins, count(*) FILTER (completeness = accuracy) AS ties, round(avg(completeness - accuracy), 6) AS delta FROM scores GROUP BY 1",
+    "ab_runs": f"""WITH a AS (WITH {SCORES} SELECT id, page_section, overall AS a FROM scores), b AS (WITH {SCORES.replace("coalesce(answer, '')", "coalesce(question, '')")} SELECT id, overall AS b FROM scores),
+      j AS (SELECT page_section, a, b, a - b AS d FROM a JOIN b ON b.id = a.id)
+      SELECT page_section, count(*) AS n, count(*) FILTER (d > 0) AS a_wins, count(*) FILTER (d < 0) AS b_wins, count(*) FILTER (d = 0) AS ties, round(avg(d), 6) AS delta, grouping(page_section)::INT AS is_total FROM j GROUP BY ROLLUP (page_section)""",
+    "target_checks": f"""WITH {SCORES}, pl AS (SELECT id, len(list_distinct(list_transform(e, lambda i: coalesce(string_split(i, '_')[3], '')))) AS plans FROM x),
+      m AS (SELECT llm_model, avg(completeness) FILTER (plans >= 2) AS completeness, avg(accuracy) AS accuracy, avg(citation) AS citation, avg(standards) AS standards, avg(grounded) AS grounded FROM scores s LEFT JOIN pl ON pl.id = s.id GROUP BY 1),
+      t AS (UNPIVOT m ON completeness, accuracy, citation, standards, grounded INTO NAME target VALUE mean)
+      SELECT m.llm_model, k.target, round(t.mean, 6) AS mean, k.wanted, CASE WHEN k.wanted = 1.0 THEN t.mean >= 1.0 ELSE t.mean > k.wanted END AS met FROM m CROSS JOIN (VALUES ('completeness', 0.8::DOUBLE), ('accuracy', 0.9), ('citation', 1.0), ('standards', 0.8), ('grounded', 1.0)) k(target, wanted)
+      LEFT JOIN t ON t.llm_model IS NOT DISTINCT FROM m.llm_model AND t.target = k.target""",
     "verdicts": f"WITH {SCORES} SELECT llm_model, count(*) FILTER (overall >= 0.6) AS pass, count(*) FILTER (overall >= 0.3 AND overall < 0.6) AS warn, count(*) FILTER (overall < 0.3) AS fail FROM scores GROUP BY 1",
-    "set_diff_report": """WITH r AS (SELECT plan_id, release, section_number, coalesce(arg_min(title, rec_id), '') AS title FROM requirements WHERE section_number IS NOT NULL GROUP BY ALL), e AS (SELECT plan_id, min(release) AS lo, max(release) AS hi FROM r GROUP BY 1),
+    "set_diff_report": f"""WITH r AS (SELECT plan_id, release, section_number, coalesce(arg_min(title, rec_id), '') AS title FROM requirements WHERE section_number IS NOT NULL GROUP BY ALL), e AS (SELECT plan_id, arg_min(release, {MONTH}) AS lo, arg_max(release, {MONTH}) AS hi FROM r GROUP BY 1),
       a AS (SELECT r.* FROM r JOIN e ON e.plan_id = r.plan_id AND r.release = lo AND lo <> hi), b AS (SELECT r.* FROM r JOIN e ON e.plan_id = r.plan_id AND r.release = hi AND lo <> hi),
       j AS (SELECT coalesce(a.plan_id, b.plan_id) AS plan_id, a.title AS o, b.title AS n FROM a FULL JOIN b ON a.plan_id = b.plan_id AND a.section_number = b.section_number)
       SELECT plan_id, count(*) FILTER (o IS NULL) AS added, count(*) FILTER (n IS NULL) AS removed, count(*) FILTER (o <> n) AS changed, count(*) FILTER (o = n) AS kept FROM j GROUP BY 1""",
