@@ -172,3 +172,8 @@ def bbox_overlap(a: Column, b: Column) -> Column:
     h = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
     area = (a[2] - a[0]) * (a[3] - a[1])
     return F.when(area > 0, w * h / area).otherwise(0.0)
+
+
+def list_literal(c: Column) -> Column:
+    """A list written as `['a', "b"]` or as JSON to an array of text; null where it is none."""
+    return F.from_json(c, "array<string>", {"allowSingleQuotes": "true"})

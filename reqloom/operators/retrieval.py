@@ -105,7 +105,7 @@ def bm25_best(docs: DataFrame, asked: DataFrame, k: int, id_: str = "chunk_id",
     first = post.join(parts.where("essential").select("qid", "term", "w"), "term").groupBy("qid", id_).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
     first = tmp.save(first.join(rest, "qid").where(F.col("score") + F.col("rest") >= F.col("reach")).select("qid", id_, "score"))
     more = first.select("qid", id_).join(parts.where(~F.col("essential")).select("qid", "term", "w"), "qid").join(post, ["term", id_]).select("qid", id_, (F.col("w") * F.col("part")).alias("score"))
-    total = first.unionByName(more).groupBy("qid", id_).agg(F.round(F.sum("score"), 6).alias("score"))
+    total = tmp.save(first.unionByName(more).groupBy("qid", id_).agg(F.round(F.sum("score"), 6).alias("score")))
     # where fewer chunks than k share a term with a question that has any, others follow with score 0, by id: the first k ids that are not there
     ids = docs.select(id_).orderBy(id_).limit(2 * k).agg(F.collect_list(id_).alias("ids"))  # 2 k ids at most
     some = asked.where(F.size(tx.tokenize(F.col("question"))) > 0).select("qid").distinct()

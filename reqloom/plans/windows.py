@@ -13,6 +13,8 @@ QUERIES = {
     "stream_latest_per_key": st.stream_latest_per_key,
     "stream_session_counts": st.stream_session_counts,
     "stream_dedup_counts": st.stream_dedup_counts,
+    "stream_sliding_counts": st.stream_sliding_counts,
+    "stream_log_lines": st.stream_log_lines,
     "cube_counts": w.event_cube,
     "eav_pivot": w.event_pivot,
     "asof_previous_order": w.asof_orders,
@@ -35,6 +37,8 @@ SQL = {
     "stream_tumbling_counts": _TUMBLE,
     "stream_latest_per_key": "SELECT event_type, arg_max(value, {'t': ts, 'e': event_id}) AS value, max(ts) AS ts FROM events GROUP BY 1",
     "stream_session_counts": _SESSION,
+    "stream_sliding_counts": """SELECT time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n FROM events, unnest(range(0, 4)) AS t(i) GROUP BY ALL""",
+    "stream_log_lines": "SELECT user_id AS job_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_number FROM events",
     "stream_dedup_counts": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
     "cube_counts": "SELECT event_type, month, count(*) AS n, round(avg(value), 6) AS mean, grouping_id(event_type, month) AS gid FROM (SELECT *, strftime(ts, '%Y-%m') AS month FROM events) GROUP BY CUBE (event_type, month)",
     "eav_pivot": f"SELECT user_id, {', '.join(f'''nullif(count(value) FILTER (event_type = '{t}'), 0) AS {t}''' for t in ('click', 'error', 'purchase', 'signup', 'view'))} FROM events GROUP BY 1",

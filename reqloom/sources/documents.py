@@ -236,3 +236,40 @@ def spec_sections(blocks: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("idx", "text")))), lambda x: x["text"]), "\n")
     g = b.groupBy("path", "sec").agg(first.alias("heading"), body.alias("text"))
     return g.select("path", "sec", number.alias("number"), F.trim(F.regexp_replace("heading", r"^([^\t]*\t|Annex [A-Z]\s*)", "")).alias("title"), "text")
+
+
+# How a spec's front page names its number, version and release.
+FRONT_SPEC = r"(?:3GPP\s+)?TS\s+([0-9]{2}[.][0-9]{3})"
+FRONT_VERSION = r"\bV\s?([0-9]+[.][0-9]+[.][0-9]+)"
+FRONT_RELEASE = r"(?i)release\s+([0-9]+)"
+
+
+def spec_front_matter(blocks: DataFrame, lines: int = 40) -> DataFrame:
+    """path, spec, version, release_num, title of spec documents, from the first lines before the first section: the first
+    number, version and release named; the release follows from the version where none is. Null where nothing is named."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("path").orderBy("idx")
+    b = blocks.where("error is null and text is not null").withColumn("n", F.row_number().over(w)).where(F.col("n") <= lines)
+
+    def first(pattern: str):
+        v = F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+        return F.min_by(v, F.when(v.isNotNull(), F.col("n")))
+
+    title = F.min_by("text", F.when((F.col("type") != "table") & ~F.col("text").rlike(f"{FRONT_SPEC}|{FRONT_VERSION}|{FRONT_RELEASE}"), F.col("n")))
+    g = b.groupBy("path").agg(first(FRONT_SPEC).alias("spec"), first(FRONT_VERSION).alias("version"), first(FRONT_RELEASE).alias("rel"), title.alias("title"))
+    return g.select("path", "spec", "version", F.coalesce("rel", F.substring_index("version", ".", 1)).cast("int").alias("release_num"), "title")
+
+
+def save_documents(blocks: DataFrame, path: str) -> None:
+    """Blocks as JSON documents, one line each, that `load_documents` reads back; a document's blocks are at most some ten
+    thousand."""
+    cols = [c for c in blocks.columns if c != "path"]
+    b = blocks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", *[c for c in cols if c != "idx"]))).alias("blocks"))
+    b.write.mode("overwrite").json(path)
+
+
+def load_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `save_documents` wrote; `schema` is that of the blocks without `path`."""
+    d = spark.read.schema(f"path string, blocks array<struct<{schema}>>").json(path)
+    return d.select("path", F.explode("blocks").alias("b")).select("path", "b.*")

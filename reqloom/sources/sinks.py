@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqloom.sources.documents import read_xlsx
+
 
 def xml_escape(c):
     return F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
@@ -45,7 +50,21 @@ def write_audit_csv(df: DataFrame, path: str) -> None:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation questions from CSV: header in any case, comma lists split, trimmed and without blanks."""
-    df = spark.read.option("header", True).csv(path)
+    return _question_lists(spark.read.option("header", True).csv(path))
+
+
+def read_question_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation questions from the first sheet with content of an .xlsx workbook (a small file, read on the driver)."""
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    t = next((b for b in read_xlsx(data) if b["type"] == "table"), None)
+    if t is None:
+        return spark.createDataFrame([], "question string")
+    head = [(h or "").strip() for h in t["headers"]]
+    rows = [tuple((r + [""] * len(head))[: len(head)]) for r in t["rows"]]
+    return _question_lists(spark.createDataFrame(rows, ", ".join(f"`{h or f'c{i}'}` string" for i, h in enumerate(head))))
+
+
+def _question_lists(df: DataFrame) -> DataFrame:
     df = df.toDF(*[c.strip().lower() for c in df.columns])
     lists = [c for c in df.columns if c.startswith("expected_")]
     return df.withColumns({c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "") for c in lists})
@@ -101,6 +120,27 @@ class JobStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.events = EventStore(spark, f"{path}/events", "job_id string, ts timestamp_ntz, seq long, status string, progress int, message string")
         self.logs = EventStore(spark, f"{path}/logs", "job_id string, ts timestamp_ntz, seq long, message string")
+        self.spark, self.path = spark, path
+
+    def _end(self, job_id: str) -> bool:
+        """Claims the job's end: an exclusive file of its own, so of several callers one gets True."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/ended/{hashlib.sha256(job_id.encode()).hexdigest()}")
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(where.getParent())
+        if fs.getUri().getScheme() == "file":  # its Hadoop form looks first and creates then; the system call does both at once
+            try:
+                os.close(os.open(where.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+                return True
+            except FileExistsError:
+                return False
+        try:
+            fs.create(where, False).close()
+            return True
+        except Exception as e:  # noqa: BLE001
+            if "FileAlreadyExists" not in str(e):
+                raise
+            return False
 
     def submit(self, job_id: str, at: dt.datetime) -> None:
         self.events.append([(job_id, at, 0, "submitted", 0, None)])
@@ -108,14 +148,16 @@ class JobStore:
     def update(self, job_id: str, at: dt.datetime, status: str, progress: int | None = None, message: str | None = None) -> None:
         if status not in self.STATUSES:
             raise ValueError(f"no such status: {status}")
+        if status in self.TERMINAL:
+            self._end(job_id)
         self.events.append([(job_id, at, 1, status, progress, message)])
 
     def cancel(self, job_id: str, at: dt.datetime) -> bool:
-        """Only a job that has not ended can be cancelled."""
+        """Only a job that has not ended can be cancelled, and only one of several callers cancels it."""
         now = self.states().where(F.col("job_id") == job_id).select("status").head()
-        if now is None or now[0] in self.TERMINAL:
+        if now is None or now[0] in self.TERMINAL or not self._end(job_id):
             return False
-        self.update(job_id, at, "cancelled")
+        self.events.append([(job_id, at, 1, "cancelled", None, None)])
         return True
 
     def states(self) -> DataFrame:
@@ -137,6 +179,61 @@ class JobStore:
         return rows.select(n.alias("line_number"), "ts", "message").where(F.col("line_number") > after)
 
 
+class FeedbackStore:
+    """Feedback as events: a row once, votes after it; the last vote counts. Votes are up, down or none."""
+
+    VOTES = ("up", "down", None)
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.rows = EventStore(spark, f"{path}/feedback", "id string, ts timestamp_ntz, page_section string, question string, answer string, citations_json string, llm_model string, query_elapsed_ms long")
+        self.votes = EventStore(spark, f"{path}/votes", "id string, ts timestamp_ntz, seq long, vote string, free_form_feedback string")
+
+    def insert(self, id_: str, at: dt.datetime, page_section: str, question: str, answer: str, citations: list | None = None, llm_model: str | None = None, elapsed_ms: int | None = None) -> None:
+        self.rows.append([(id_, at, page_section, question, answer, json.dumps(citations or []), llm_model, elapsed_ms)])
+
+    def vote(self, id_: str, at: dt.datetime, vote: str | None, comment: str | None = None, seq: int = 0) -> None:
+        if vote not in self.VOTES:
+            raise ValueError(f"no such vote: {vote}")
+        self.votes.append([(id_, at, seq, vote, comment)])
+
+    def read(self, page_section: str | None = None) -> DataFrame:
+        """Every row with its last vote and comment, newest first."""
+        r = self.rows.latest("id")
+        if page_section is not None:
+            r = r.where(F.col("page_section") == page_section)
+        v = self.votes.latest("id").select("id", "vote", "free_form_feedback")
+        return r.join(v, "id", "left").orderBy(F.desc("ts"), F.desc("id"))
+
+
+class MetricStore:
+    """Metric events with JSON tags; helpers for the four kinds that are measured."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.events = EventStore(spark, path, "ts timestamp_ntz, seq long, category string, name string, value double, unit string, tags string")
+
+    def emit(self, at: dt.datetime, rows: list[tuple[str, str, float, str | None, dict | None]]) -> None:
+        """rows: category, name, value, unit, tags."""
+        self.events.append([(at, i, c, n, float(v), u, json.dumps(t or {}, sort_keys=True)) for i, (c, n, v, u, t) in enumerate(rows)])
+
+    def request(self, at: dt.datetime, endpoint: str, status: int, ms: float) -> None:
+        self.emit(at, [("request", "latency", ms, "ms", {"endpoint": endpoint, "status": status})])
+
+    def stage(self, at: dt.datetime, stage: str, seconds: float, **counts: float) -> None:
+        self.emit(at, [("stage", "duration", seconds, "s", {"stage": stage}), *[("stage", k, v, None, {"stage": stage}) for k, v in sorted(counts.items())]])
+
+    def model(self, at: dt.datetime, name: str, ms: float, tokens: int) -> None:
+        self.emit(at, [("llm", "latency", ms, "ms", {"model": name}), ("llm", "tokens", tokens, None, {"model": name}), ("llm", "tokens_per_second", round(tokens * 1000 / ms, 2) if ms else 0.0, None, {"model": name})])
+
+    def resource(self, at: dt.datetime, used: int, total: int, busy_pct: float | None = None) -> None:
+        """Memory in bytes is kept in GB with one decimal, and as a share."""
+        rows = [("resource", "memory_gb", gigabytes(used), "GB", None), ("resource", "memory_pct", round(100 * used / total, 1) if total else 0.0, "%", None)]
+        self.emit(at, rows + ([("resource", "cpu_pct", busy_pct, "%", None)] if busy_pct is not None else []))
+
+
+def gigabytes(n: int) -> float:
+    return round(n / 1024**3, 1)
+
+
 def with_corrections(output: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
     """A correction's row wins over the output's row of the same key; corrections of new keys are added."""
     fixed = corrections.select(*output.columns)

@@ -7,10 +7,13 @@ batch's rows under its batch id, so that a replayed batch overwrites itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reqloom.sources.tables import Scratch, table
 
@@ -109,3 +112,29 @@ def stream_session_counts(spark: SparkSession, base: str) -> DataFrame:
     # complete mode repeats all sessions in each batch: the longest version of a start is the last one
     out = rows.groupBy("user_id", "start").agg(F.max(F.struct("end", "n")).alias("v")).select("user_id", "start", "v.end", "v.n")
     return _ntz(out, "start", "end")
+
+
+def _number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Running line numbers of one job; the state is how many lines it has had."""
+    n = state.get[0] if state.exists else 0
+    rows = [b for b in batches if len(b)]
+    if rows:
+        pdf = pd.concat(rows).sort_values(["ts", "event_id"], kind="stable")
+        yield pd.DataFrame({"job_id": pdf["user_id"], "event_id": pdf["event_id"], "line_number": np.arange(n + 1, n + 1 + len(pdf))})
+        state.update((n + len(pdf),))
+
+
+def numbered_lines(df: DataFrame) -> DataFrame:
+    """Log lines as they come, each with the next number of its job: a poll for lines after the last one seen is a filter.
+
+    Lines of one trigger are ordered by time and id; numbers, once given, do not change when a late line arrives.
+    """
+    return df.groupBy("user_id").applyInPandasWithState(_number, "job_id long, event_id long, line_number long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_sliding_counts(spark: SparkSession, base: str) -> DataFrame:
+    """Hourly windows every 15 minutes."""
+    return _query(lambda df: sliding(df, "1 hour", "15 minutes"), "update", ["start", "event_type"], ["start"])(spark, base)
+
+
+stream_log_lines = _query(numbered_lines, "append", None, [])
