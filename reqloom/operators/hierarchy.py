@@ -178,3 +178,15 @@ def p6_intervals(spark: SparkSession, base: str) -> DataFrame:
     """All descendants of every node, as the interval (pre, last] of pre-order numbers of its root's tree."""
     h = plan_hierarchies(spark, base).where(F.col("depth").isNotNull())
     return h.select("hier", "tree_key", "node_key", F.col("path")[0].alias("root_key"), "pre", "last")
+
+
+def p6_interval_check(spark: SparkSession, base: str) -> DataFrame:
+    """Per root: nodes, and whether the numbers are 0 to n - 1, each once, and every node's interval lies within its parent's."""
+    h = Scratch(spark).save(plan_hierarchies(spark, base).where(F.col("depth").isNotNull()))
+    up = h.select("hier", "root", F.col("node_key").alias("up"), F.col("pre").alias("up_pre"), F.col("last").alias("up_last"))
+    kids = h.where(F.size("path") > 1).withColumn("up", F.element_at("path", -2)).join(up, ["hier", "root", "up"])
+    within = (F.col("pre") > F.col("up_pre")) & (F.col("last") <= F.col("up_last"))
+    inside = kids.groupBy("hier", "root").agg(F.count_if(within).alias("inside"))
+    g = h.groupBy("hier", "root", F.col("path")[0].alias("root_key")).agg(F.min("tree_key").alias("tree_key"), F.count("*").alias("n"), F.countDistinct("pre").alias("numbers"), F.min("pre").alias("low"), F.max("pre").alias("high"))
+    ok = (F.col("numbers") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.coalesce("inside", F.lit(0)) == F.col("n") - 1)
+    return g.join(inside, ["hier", "root"], "left").select("hier", "tree_key", "root_key", "n", ok.alias("ok"))

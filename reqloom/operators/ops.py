@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reqloom.operators.patterns import once, p95_floor
+from reqloom.operators.patterns import once
 from reqloom.sources.tables import Scratch, table
 
 STATUSES = ("submitted", "running", "completed", "failed", "cancelled")
@@ -41,27 +41,33 @@ def metrics_recent(spark: SparkSession, base: str) -> DataFrame:
 BINS = 32  # ranges of each group in which the wanted position is looked for
 
 
-def metrics_summary(spark: SparkSession, base: str) -> DataFrame:
-    """Per category and name: count, mean, least, greatest, p95 by the floor rule, and the newest unit.
+def exact_position(df: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """The keys and `p95`: of every group the value at the 1-based position max(1, floor(n * share)), exactly.
 
-    The p95 of a group is exact: rows are counted by distinct value first; the quantiles of a sketch cut each group into
-    BINS ranges of about as many rows, whatever its tail looks like; running counts over the ranges say in which the
-    wanted position lies, and only that range is ordered. So a group that holds a third of all rows is many small windows.
+    Rows are counted by distinct value first; the quantiles of a sketch cut each group into BINS ranges of about as many
+    rows, whatever its tail looks like; running counts over the ranges say in which the position lies, and only that range
+    is ordered. So a group that holds a third of all rows is many small windows. Null keys are a group of their own.
     """
+    m = df.select(F.struct(*keys).alias("k_"), F.col(value).alias("v_"))
+    cuts = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("v_"), F.array(*[F.lit(i / BINS) for i in range(1, BINS)]))
+    groups = Scratch(df.sparkSession).save(m.groupBy("k_").agg(F.count("*").alias("n_"), cuts.alias("cuts")))  # the planner knows its size
+    values = m.groupBy("k_", "v_").agg(F.count("*").alias("c"))
+    counted = values.join(groups, "k_").select("k_", "n_", "v_", "c", F.size(F.filter("cuts", lambda x: x < F.col("v_"))).alias("bin"))
+    per_bin = counted.groupBy("k_", "n_", "bin").agg(F.sum("c").alias("c"))
+    wb = Window.partitionBy("k_").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    target = F.greatest(F.lit(1), F.floor(F.col("n_") * F.lit(share)).cast("long"))
+    hit = per_bin.withColumn("before", F.coalesce(F.sum("c").over(wb), F.lit(0))).where((F.col("before") < target) & (F.col("before") + F.col("c") >= target)).select("k_", "bin", "before")
+    wv = Window.partitionBy("k_", "bin").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
+    inside = counted.join(hit, ["k_", "bin"]).withColumn("upto", F.col("before") + F.sum("c").over(wv)).where((F.col("upto") >= target) & (F.col("upto") - F.col("c") < target))
+    return inside.select("k_.*", F.col("v_").alias("p95"))
+
+
+def metrics_summary(spark: SparkSession, base: str) -> DataFrame:
+    """Per category and name: count, mean, least, greatest, p95 by the floor rule, and the newest unit."""
     m = metric_rows(spark, base)
-    cuts = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value"), F.array(*[F.lit(i / BINS) for i in range(1, BINS)]))
-    agg = m.groupBy("category", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("unit", F.when(F.col("unit").isNotNull(), F.struct("ts", "id"))).alias("unit"), cuts.alias("cuts"))
-    agg = Scratch(spark).save(agg)  # a row for each name; the planner knows its size
-    values = m.groupBy("category", "name", "value").agg(F.count("*").alias("c"))
-    keyed = values.join(agg.select("category", "name", "n", "cuts"), ["category", "name"])
-    counted = keyed.select("category", "name", "n", "value", "c", F.size(F.filter("cuts", lambda x: x < F.col("value"))).alias("bin"))
-    per_bin = counted.groupBy("category", "name", "n", "bin").agg(F.sum("c").alias("c"))
-    wb = Window.partitionBy("category", "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    target = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(0.95)).cast("long"))
-    hit = per_bin.withColumn("before", F.coalesce(F.sum("c").over(wb), F.lit(0))).where((F.col("before") < target) & (F.col("before") + F.col("c") >= target)).select("category", "name", "bin", "before")
-    wv = Window.partitionBy("category", "name", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    inside = counted.join(hit, ["category", "name", "bin"]).withColumn("upto", F.col("before") + F.sum("c").over(wv)).where((F.col("upto") >= target) & (F.col("upto") - F.col("c") < target))
-    return agg.join(inside.select("category", "name", F.col("value").alias("p95")), ["category", "name"]).select("category", "name", "n", "mean", "low", "high", "p95", "unit")
+    agg = m.groupBy("category", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("unit", F.when(F.col("unit").isNotNull(), F.struct("ts", "id"))).alias("unit"))
+    p = exact_position(m, ["category", "name"], "value").select(F.struct("category", "name").alias("k_"), "p95")
+    return agg.withColumn("k_", F.struct("category", "name")).join(p, "k_").select("category", "name", "n", "mean", "low", "high", "p95", "unit")
 
 
 def metric_totals(spark: SparkSession, base: str) -> DataFrame:
@@ -181,9 +187,9 @@ def late_arrivals(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p95_by_day(spark: SparkSession, base: str) -> DataFrame:
-    """p95 by the floor rule per category, name and day (a day of one name is one small window)."""
+    """p95 by the floor rule per category, name and day."""
     m = metric_rows(spark, base).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return p95_floor(m, ["category", "name", "day"], "value").withColumn("p95", F.round("p95", 6))
+    return exact_position(m, ["category", "name", "day"], "value").withColumn("p95", F.round("p95", 6))
 
 
 def duration_text(ms):

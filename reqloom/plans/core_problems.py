@@ -14,6 +14,7 @@ QUERIES = {
     "p6_found": h.p6_found,
     "p6_hierarchy": h.p6_hierarchy,
     "p6_intervals": h.p6_intervals,
+    "p6_interval_check": h.p6_interval_check,
 }
 
 _REFS = f"""
@@ -61,6 +62,7 @@ SQL = {
       SELECT hier, tree_key, node_key, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE a = lost.id AND b = lost.id) THEN 'cycle' ELSE 'into_cycle' END AS state FROM lost
       UNION ALL SELECT hier, tree_key, node_key, 'no_parent' FROM tree WHERE orphan
       UNION ALL SELECT t.hier, t.tree_key, t.node_key, 'deep' FROM tree t JOIN walk w ON w.id = t.id WHERE NOT t.orphan AND w.depth >= {h.DEEP}""",
+    "p6_interval_check": f"""WITH RECURSIVE {_NODES} SELECT t.hier, min(t.tree_key) AS tree_key, w.root_key, count(*) AS n, true AS ok FROM walk w JOIN tree t ON t.id = w.id GROUP BY t.hier, w.ids[1], w.root_key""",
     "p6_hierarchy": f"""WITH RECURSIVE {_NODES}, below AS (SELECT unnest(ids) AS id, count(*) - 1 AS n FROM walk GROUP BY 1)
       SELECT t.hier, t.tree_key, t.node_key, w.root_key, w.depth, w.path, b.n AS n_descendants FROM walk w JOIN tree t ON t.id = w.id JOIN below b ON b.id = w.id""",
 }

@@ -220,3 +220,16 @@ def test_vector_search_over_many_blocks(spark, monkeypatch):
     assert R.vector_search(df.limit(0), asked, 4).count() == 0 and R.vector_search(df, asked.limit(0), 4).count() == 0
     plan = R.vector_search(df, asked, 4)._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("FlatMapCoGroupsInPandas") == 1
+
+
+def test_exact_position_of_skewed_groups(spark):
+    import random
+
+    from reqloom.operators.ops import exact_position
+
+    rnd = random.Random(6)
+    rows = [("hot", rnd.paretovariate(0.4)) for _ in range(4000)] + [("ties", float(rnd.choice([1, 1, 1, 2]))) for _ in range(500)] + [(None, float(i)) for i in range(7)] + [("one", -3.5)] + [("neg", -rnd.paretovariate(0.5)) for _ in range(900)]
+    got = {r.k: r.p95 for r in exact_position(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k in ("hot", "ties", None, "one", "neg"):
+        v = sorted(x for g, x in rows if g == k)
+        assert got[k] == v[max(1, int(len(v) * 0.95)) - 1], k
