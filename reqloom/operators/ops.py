@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reqloom.operators.patterns import once
-from reqloom.sources.tables import Scratch, table
+from reqloom.sources.tables import table
 
 STATUSES = ("submitted", "running", "completed", "failed", "cancelled")
 TERMINAL = ("completed", "failed", "cancelled")
@@ -50,7 +50,7 @@ def exact_position(df: DataFrame, keys: list[str], value: str, share: float = 0.
     """
     m = df.select(F.struct(*keys).alias("k_"), F.col(value).alias("v_"))
     cuts = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("v_"), F.array(*[F.lit(i / BINS) for i in range(1, BINS)]))
-    groups = Scratch(df.sparkSession).save(m.groupBy("k_").agg(F.count("*").alias("n_"), cuts.alias("cuts")))  # the planner knows its size
+    groups = m.groupBy("k_").agg(F.count("*").alias("n_"), cuts.alias("cuts"))
     values = m.groupBy("k_", "v_").agg(F.count("*").alias("c"))
     counted = values.join(groups, "k_").select("k_", "n_", "v_", "c", F.size(F.filter("cuts", lambda x: x < F.col("v_"))).alias("bin"))
     per_bin = counted.groupBy("k_", "n_", "bin").agg(F.sum("c").alias("c"))

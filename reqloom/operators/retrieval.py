@@ -48,6 +48,9 @@ def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return t.groupBy("term", id_, "dl").agg(F.count("*").alias("tf"))
 
 
+DIRECT = 100_000_000  # scores of (question, posting) up to which scoring all is cheaper than finding out which can be left out
+
+
 class Bm25:
     """Term weights and postings of a batch: texts are tokenised once, into a written table. Document frequencies of all
     terms combine before the shuffle; only occurrences of terms that are asked for become postings. Terms in more than half
@@ -57,27 +60,47 @@ class Bm25:
         tmp = self.tmp = Scratch(docs.sparkSession)
         self.id = id_
         toks = tmp.save(docs.select(id_, tx.tokenize(F.col(text)).alias("ts")))
-        q = tmp.save(asked.select("qid", F.explode(tx.tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")))
+        q = asked.select("qid", F.explode(tx.tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
         stats = F.broadcast(toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl")))  # one row
         df = toks.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        idf = tmp.save(df.crossJoin(stats).select("term", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")))
+        idf = tmp.save(df.crossJoin(stats).select("term", "df", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")))
         mean = F.broadcast(idf.agg(F.avg("raw").alias("mean")))  # one row
         weight = F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw"))
-        self.terms = tmp.save(q.join(idf, "term").crossJoin(mean).select("qid", "term", (F.col("qtf") * weight).alias("w")))
+        self.terms = q.join(idf, "term").crossJoin(mean).select("qid", "term", "df", (F.col("qtf") * weight).alias("w"))
         tf, dl = F.col("tf"), F.col("dl")
-        seen = toks.select(id_, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(self.terms.select("term").distinct(), "term", "left_semi")
+        seen = toks.select(id_, F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
         part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-        self.post = tmp.save(seen.groupBy("term", id_, "dl").agg(F.count("*").alias("tf")).crossJoin(stats).select("term", id_, part.alias("part")))
+        self.post = seen.groupBy("term", id_, "dl").agg(F.count("*").alias("tf")).crossJoin(stats).select("term", id_, part.alias("part"))
+
+    def scores(self) -> DataFrame:
+        return self.post.join(self.terms, "term").groupBy("qid", self.id).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
 
 def bm25(docs: DataFrame, asked: DataFrame, id_: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """qid, chunk, score of every chunk that shares a term with the question; repeated terms count repeatedly."""
-    x = Bm25(docs, asked, id_, text, k1, b, epsilon)
-    return x.post.join(x.terms, "term").groupBy("qid", id_).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
+    return Bm25(docs, asked, id_, text, k1, b, epsilon).scores()
 
 
 def bm25_best(docs: DataFrame, asked: DataFrame, k: int, id_: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """qid, chunk, score (six decimals), rank: the k best of every question, the same as of `bm25`, by bounds of the terms.
+    """qid, chunk, score (six decimals), rank: the k best of every question, the same as of `bm25`.
+
+    The document frequencies say how many scores there are; up to DIRECT of them all are made. Beyond, bounds of the terms
+    leave out what cannot matter (`_bounded`); both ways give the same rows. Where fewer chunks than k share a term with a
+    question that has any, others follow with score 0, by id.
+    """
+    x = Bm25(docs, asked, id_, text, k1, b, epsilon)
+    work = x.terms.agg(F.sum("df")).first()[0] or 0
+    found = x.scores() if work <= DIRECT else _bounded(x, k)
+    # of the first 2 k ids at least k are not among fewer than k that share a term
+    ids = docs.select(id_).orderBy(id_).limit(2 * k).agg(F.collect_list(id_).alias("ids"))
+    some = asked.where(F.size(tx.tokenize(F.col("question"))) > 0).select("qid").distinct()
+    none = some.crossJoin(F.broadcast(ids)).select("qid", F.explode("ids").alias(id_), F.lit(0.0).alias("score"))
+    total = found.unionByName(none).groupBy("qid", id_).agg(F.round(F.sum("score"), 6).alias("score"))
+    return topk_per_group(total, ["qid"], [F.desc("score"), F.asc(id_)], k)
+
+
+def _bounded(x: Bm25, k: int) -> DataFrame:
+    """Scores of all chunks that can be among the k best.
 
     1. A term can add at most its weight times its greatest part. Of each question the term with the largest of these
        products is scored alone; its k-th best score is a score that k chunks reach.
@@ -87,8 +110,8 @@ def bm25_best(docs: DataFrame, asked: DataFrame, k: int, id_: str = "chunk_id",
     3. Of the chunks brought up those stay that can still reach the score with everything that is not essential; they, and
        only they, are looked up under the other terms.
     """
-    x = Bm25(docs, asked, id_, text, k1, b, epsilon)
-    tmp, post = x.tmp, x.post
+    tmp, id_ = x.tmp, x.id
+    post = tmp.save(x.post)
     most = post.groupBy("term").agg(F.max("part").alias("most"))
     # a negative weight bounds nothing: it adds 0 at most
     terms = tmp.save(x.terms.join(most, "term").withColumn("bound", F.greatest(F.lit(0.0), F.col("w") * F.col("most"))))
@@ -105,12 +128,7 @@ def bm25_best(docs: DataFrame, asked: DataFrame, k: int, id_: str = "chunk_id",
     first = post.join(parts.where("essential").select("qid", "term", "w"), "term").groupBy("qid", id_).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
     first = tmp.save(first.join(rest, "qid").where(F.col("score") + F.col("rest") >= F.col("reach")).select("qid", id_, "score"))
     more = first.select("qid", id_).join(parts.where(~F.col("essential")).select("qid", "term", "w"), "qid").join(post, ["term", id_]).select("qid", id_, (F.col("w") * F.col("part")).alias("score"))
-    total = tmp.save(first.unionByName(more).groupBy("qid", id_).agg(F.round(F.sum("score"), 6).alias("score")))
-    # where fewer chunks than k share a term with a question that has any, others follow with score 0, by id: the first k ids that are not there
-    ids = docs.select(id_).orderBy(id_).limit(2 * k).agg(F.collect_list(id_).alias("ids"))  # 2 k ids at most
-    some = asked.where(F.size(tx.tokenize(F.col("question"))) > 0).select("qid").distinct()
-    none = some.crossJoin(F.broadcast(ids)).select("qid", F.explode("ids").alias(id_)).join(total.select("qid", id_), ["qid", id_], "left_anti").withColumn("score", F.lit(0.0))
-    return topk_per_group(total.unionByName(none), ["qid"], [F.desc("score"), F.asc(id_)], k)
+    return first.unionByName(more)
 
 
 def bm25_topk(spark: SparkSession, base: str, k: int = 10) -> DataFrame:
