@@ -14,7 +14,7 @@ NAMES = sorted(n for n in entry.queries() if n[:2] not in ("p2", "p3", "p4", "p5
 
 
 @pytest.fixture(scope="module", params=["empty", "nulls"])
-def base(request, tmp_path_factory):
+def base(request, spark, tmp_path_factory):
     where = tmp_path_factory.mktemp(request.param)
     for f in os.listdir(BASE):
         if f.endswith(".parquet"):
@@ -22,7 +22,10 @@ def base(request, tmp_path_factory):
             schema = pa.schema([pa.field(x.name, x.type) for x in schema])
             rows = 0 if request.param == "empty" else 3
             pq.write_table(pa.table([pa.nulls(rows, x.type) for x in schema], schema=schema), f"{where}/{f}")
-    return str(where)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # no rows to spread
+    yield str(where)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @pytest.mark.parametrize("name", NAMES)
