@@ -42,7 +42,18 @@ for _lang in LANGS:
     for _w in FREQUENT_SETS[_lang]:
         OF_WORD[_w] = (*OF_WORD.get(_w, ()), _lang)
 
+# Languages beyond the twelve that a label may name (code, then other codes and names, lower case).
+ELSEWHERE = {
+    "fi": "fin finnish suomi", "da": "dan danish dansk", "nb": "nor nob norwegian norsk", "is": "isl icelandic", "cs": "ces cze czech čeština", "sk": "slk slovak slovenčina", "hu": "hun hungarian magyar",
+    "ro": "ron rum romanian română", "bg": "bul bulgarian български", "el": "ell gre greek ελληνικά", "tr": "tur turkish türkçe", "ukr": "ukrainian українська", "sr": "srp serbian српски", "hr": "hrv croatian hrvatski",
+    "sl": "slv slovenian slovenščina", "et": "est estonian eesti", "lv": "lav latvian latviešu", "lt": "lit lithuanian lietuvių", "ca": "cat catalan català", "eu": "eus baq basque euskara", "gl": "glg galician galego",
+    "ga": "gle irish gaeilge", "ko": "kor korean 한국어", "vi": "vie vietnamese", "th": "tha thai ไทย", "id": "ind indonesian", "ms": "msa may malay", "hi": "hin hindi हिन्दी", "ar": "ara arabic العربية", "he": "heb hebrew עברית", "fa": "fas per persian farsi فارسی",
+}
+
 NAME_OF = {n: k for k, names in NAMES.items() for n in [k, *names.split()]}
+for _k, _names in ELSEWHERE.items():
+    for _n in [_k, *_names.split()]:
+        NAME_OF.setdefault(_n, _k)
 NAME_OF["se"] = "sv"
 NAME_OF.update({"gb": "en", "us": "en", "uk": "en"})
 # Codes of regions and scripts, which name a language only when they stand alone.
@@ -50,7 +61,8 @@ REGIONS = ("gb", "us", "uk", "cn", "jp", "se", "hans", "hant")
 
 
 def language_of_label(label: str | None) -> str | None:
-    """The two-letter code that a label in any spelling names, with or without a region; None if it names none."""
+    """The code of the language that a label in any spelling names, with or without a region, also one beyond LANGS; None if
+    it names none."""
     if not label:
         return None
     s = label.strip().lower()

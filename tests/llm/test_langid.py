@@ -130,7 +130,7 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(each[3], rows[1] / rows[1].sum(), atol=1e-5)
 
 
-@pytest.mark.parametrize(("label", "want"), [("en_US", "en"), ("DE", "de"), ("Deutsch", "de"), ("español", "es"), ("pt-BR", "pt"), ("zho", "zh"), (" fr ", "fr"), ("n/a", None), ("??", None), ("", None), (None, None), ("und", None), ("unknown", None), ("zh-Hans", "zh"), ("English (UK)", "en")])
+@pytest.mark.parametrize(("label", "want"), [("en_US", "en"), ("DE", "de"), ("Deutsch", "de"), ("español", "es"), ("pt-BR", "pt"), ("zho", "zh"), (" fr ", "fr"), ("n/a", None), ("??", None), ("", None), (None, None), ("und", None), ("unknown", None), ("zh-Hans", "zh"), ("English (UK)", "en"), ("fi-FI", "fi"), ("Korean", "ko"), ("-", None), ("gb", "en")])
 def test_labels(label, want):
     assert language_of_label(label) == want
 
