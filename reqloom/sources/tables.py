@@ -33,7 +33,7 @@ class Scratch:
     """Written tables of one query. A table replaces lineage: a lost executor costs a re-read, not a recomputation.
 
     `save(df)` writes and reads back; `drop(df)` removes a table that no later step reads. What is left is removed
-    when the Spark application ends.
+    when the Spark application ends, or before by `drop_written` once all results are consumed.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -44,6 +44,7 @@ class Scratch:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path(self.root))
+        spark.sparkContext.__dict__.setdefault("_reqloom_written", []).append(self.root)
         self._where: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -59,3 +60,14 @@ class Scratch:
             where = self._where.pop(id(df), None)
             if where:
                 self._fs.delete(self._path(where), True)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Removes the written tables of all queries so far, for long sessions; results that are still to be read need them, so
+    first write or collect those. Returns how many queries' folders were there."""
+    roots, gone = spark.sparkContext.__dict__.pop("_reqloom_written", []), 0
+    jvm = spark.sparkContext._jvm
+    for root in roots:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone

@@ -59,3 +59,12 @@ def test_no_temporary_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Unset)
+
+
+def test_written_tables_can_be_dropped(spark):
+    from reqloom.sources.tables import Scratch, drop_written
+
+    drop_written(spark)
+    x = Scratch(spark)
+    assert x.save(spark.range(5)).count() == 5 and os.path.isdir(x.root.removeprefix("file:"))
+    assert drop_written(spark) == 1 and not os.path.isdir(x.root.removeprefix("file:")) and drop_written(spark) == 0
