@@ -39,19 +39,26 @@ def metrics_recent(spark: SparkSession, base: str) -> DataFrame:
 
 
 BINS = 32  # ranges of each group in which the wanted position is looked for
+SAMPLE = 1024  # values of each group, at most, that the ranges are cut by
 
 
 def exact_position(df: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
     """The keys and `p95`: of every group the value at the 1-based position max(1, floor(n * share)), exactly.
 
-    Rows are counted by distinct value first; the quantiles of a sketch cut each group into BINS ranges of about as many
-    rows, whatever its tail looks like; running counts over the ranges say in which the position lies, and only that range
-    is ordered. So a group that holds a third of all rows is many small windows. Null keys are a group of their own.
+    Rows are counted by distinct value first; a sample of these, the least hash in each of SAMPLE buckets, cuts each group
+    into BINS ranges of about as many of them, whatever its tail looks like; running counts over the ranges say in which the
+    position lies, and only that range is ordered. So a group that holds a third of all rows is many small windows. The
+    ranges depend on nothing but the values: the plan uses them twice, and where Spark works them out anew (an exchange that
+    is not reused, a lost executor) they must be the same, which a sketch with random compactions does not give. Null keys
+    are a group of their own.
     """
     m = df.select(F.struct(*keys).alias("k_"), F.col(value).alias("v_"))
-    cuts = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("v_"), F.array(*[F.lit(i / BINS) for i in range(1, BINS)]))
-    groups = m.groupBy("k_").agg(F.count("*").alias("n_"), cuts.alias("cuts"))
     values = m.groupBy("k_", "v_").agg(F.count("*").alias("c"))
+    h = F.xxhash64("v_")
+    least = values.groupBy("k_", F.pmod(h, F.lit(SAMPLE)).alias("bucket")).agg(F.sum("c").alias("c"), F.min(F.struct(h.alias("h"), "v_")).alias("s"))
+    sampled = least.groupBy("k_").agg(F.sum("c").alias("n_"), F.sort_array(F.collect_list("s.v_")).alias("sample"))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda i: F.get("sample", F.floor(i * F.size("sample") / BINS).cast("int")))
+    groups = sampled.select("k_", "n_", cuts.alias("cuts"))
     counted = values.join(groups, "k_").select("k_", "n_", "v_", "c", F.size(F.filter("cuts", lambda x: x < F.col("v_"))).alias("bin"))
     per_bin = counted.groupBy("k_", "n_", "bin").agg(F.sum("c").alias("c"))
     wb = Window.partitionBy("k_").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

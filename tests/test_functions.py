@@ -234,3 +234,20 @@ def test_exact_position_of_skewed_groups(spark):
     for k in ("hot", "ties", None, "one", "neg"):
         v = sorted(x for g, x in rows if g == k)
         assert got[k] == v[max(1, int(len(v) * 0.95)) - 1], k
+
+
+def test_exact_position_does_not_depend_on_reused_exchanges(spark):
+    import random
+
+    from reqloom.operators.ops import exact_position
+
+    rnd = random.Random(7)
+    rows = [(f"g{g}", rnd.paretovariate(0.5)) for g in range(40) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.k: r.p95 for r in exact_position(df, ["k"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert got == {f"g{g}": sorted(x for k, x in rows if k == f"g{g}")[949] for g in range(40)}
