@@ -7,7 +7,8 @@ Every step is a table keyed by question (`qid`), so a batch of questions is a si
 3. graph_seeds: requirements that it names (1.0), else those of its features (0.8), else of its plans (0.6), else those whose
    title or text has its concepts (0.3 + 0.2 for each, three at most);
 4. graph_scope: what lies within one or two steps of the seeds over the edge types of the question's type; a standard that
-   many requirements share is met once for each question, and its members join it, never each other;
+   many requirements share is met once for each question, and its members join it, never each other; questions that agree in
+   type, scopes and named things share seeds and candidates, which are worked out once for all of them;
 5. retrieve: the candidates (or, without any, the chunks in scope) ranked by vector distance, fused with BM25 where the type
    asks for it, reranked where it asks for that, diversified by plan, glossary entries pinned;
 6. contexts and answers: parent, standards' text, dependencies; a prompt text; the structured answer of the model-free
@@ -28,7 +29,7 @@ from reqloom.operators import graph as g
 from reqloom.operators import understanding as u
 from reqloom.operators.catalog import ACRONYM
 from reqloom.operators.patterns import rrf_fuse, topk_per_group
-from reqloom.operators.retrieval import BM25_WEIGHT, RRF_K, TOP_K, bm25, glossary_words, vectors
+from reqloom.operators.retrieval import BM25_WEIGHT, EPSILON, K1, RRF_K, TOP_K, B, Bm25, bm25_grid, glossary_words, vectors
 from reqloom.sources.tables import Scratch, table
 
 # Fixed values of the query policy: depth and edge types by question type, fan-out, types that are reranked, limits.
@@ -140,23 +141,34 @@ def graph_seeds(intent: DataFrame, scope: DataFrame, reqs: DataFrame, feature_pl
 
 def traverse(seeds: DataFrame, intent: DataFrame, scope: DataFrame, edges: DataFrame, reqs: DataFrame) -> DataFrame:
     """qid, id, depth, score of the seeds (depth 0) and of everything within the type's depth; requirements in scope only."""
+    tmp = Scratch(seeds.sparkSession)
     where = reqs.select(g.nid("req", "req_id").alias("id"), "mno", "release", "plan_id")
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("next"), "edge_type").unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("next"), "edge_type"))
-    std = edges.where("edge_type = 'references_standard'").select(F.col("src").alias("id"), F.col("dst").alias("std")).join(where.select("id", "plan_id"), "id")
-    policy = intent.select("qid", "edge_types", F.col("depth").alias("most"))
+    kinds = sorted({t for ts in EDGES.values() for t in ts})
+    bit = F.coalesce(*[F.when(F.col("edge_type") == t, F.lit(1 << n)) for n, t in enumerate(kinds)])
+    used = edges.where(F.col("edge_type").isin(kinds)).select("src", "dst", bit.alias("bit"))
+    both = used.select(F.col("src").alias("id"), F.col("dst").alias("next"), "bit").unionByName(used.select(F.col("dst").alias("id"), F.col("src").alias("next"), "bit"))
+    # a node that many requirements share is asked for its neighbours in scope only: they carry operator and release
+    to_req, from_req = F.startswith("next", F.lit("req:")), F.startswith("id", F.lit("req:"))
+    near = tmp.save(both.where(to_req).join(where.select(F.col("id").alias("next"), "mno", "release"), "next"))
+    other = both.where(~to_req)
+    std = tmp.save(edges.where("edge_type = 'references_standard'").select(F.col("src").alias("id"), F.col("dst").alias("std")).join(where, "id"))
+    types = sum(F.when(F.array_contains("edge_types", F.lit(t)), F.lit(1 << n)).otherwise(F.lit(0)) for n, t in enumerate(kinds))
+    policy = intent.select("qid", types.alias("types"), F.col("depth").alias("most"))
+    keys = ["qid", "mno", "release"]
     seen = seeds.select("qid", "id", F.lit(0).alias("depth"), "score")
     frontier = seen.select("qid", "id").distinct()
     deepest = max([DEFAULT_DEPTH, *DEPTH.values()])
     for d in range(1, deepest + 1):
         at = frontier.join(policy.where(F.col("most") >= d), "qid")
-        step = at.join(both, "id").where(F.array_contains("edge_types", F.col("edge_type"))).select("qid", F.col("next").alias("id"))
+        follows = F.col("types").bitwiseAND(F.col("bit")) != 0
+        step = at.join(other, "id").where(follows).select("qid", F.col("next").alias("id")).distinct()
+        kin = at.where(from_req).join(near, "id").where(follows).select(*keys, F.col("next").alias("id")).distinct().join(scope, keys, "left_semi").select("qid", "id")
+        hub = at.where(~from_req).join(scope, "qid").join(near, ["id", "mno", "release"]).where(follows).select("qid", F.col("next").alias("id"))
         # a shared standard: first the distinct standards of the question, then their members of other plans
-        shared = at.where(F.array_contains("edge_types", F.lit("shared_standard"))).join(std, "id").groupBy("qid", "std").agg(F.min("plan_id").alias("lo"), F.max("plan_id").alias("hi"))
-        members = shared.join(std, "std").where("plan_id <> lo or plan_id <> hi").select("qid", "id")
-        new = step.unionByName(members).distinct().join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
-        is_req = F.startswith("id", F.lit("req:"))
-        inside = new.where(is_req).join(where, "id").join(scope, ["qid", "mno", "release"], "left_semi").select("qid", "id")
-        new = inside.unionByName(new.where(~is_req)).withColumn("depth", F.lit(d)).withColumn("score", F.lit(round(g.DECAY**d, 6)))
+        shared = at.where(F.col("types").bitwiseAND(F.lit(1 << kinds.index("shared_standard"))) != 0).join(std.select("id", "std", "plan_id"), "id").groupBy("qid", "std").agg(F.min("plan_id").alias("lo"), F.max("plan_id").alias("hi"))
+        members = shared.join(scope, "qid").join(std, ["std", "mno", "release"]).where("plan_id <> lo or plan_id <> hi").select("qid", "id")
+        new = step.unionByName(kin).unionByName(hub).unionByName(members).distinct().join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
+        new = tmp.save(new.withColumn("depth", F.lit(d)).withColumn("score", F.lit(round(g.DECAY**d, 6))))
         seen = seen.unionByName(new)
         frontier = new.select("qid", "id")
     return seen
@@ -197,34 +209,65 @@ class Batch:
     def edges(self) -> DataFrame:
         return self._once("edges", lambda: g.edges(self.spark, self.base))
 
+    @property
+    def groups(self) -> DataFrame:
+        """qid, gid: questions with the same type, scopes and named things have the same seeds and candidates, which are worked
+        out once, for the question with the least id of them."""
+
+        def make() -> DataFrame:
+            # lists of strings as they are, no text made of them, so that nothing is mistaken for the same
+            scope = self.scopes.groupBy("qid").agg(F.sort_array(F.collect_set(F.struct("mno", "release"))).alias("scope"))
+            i = self.intents.join(scope, "qid", "left").select("qid", F.struct("query_type", *[F.sort_array(F.array_distinct(c)).alias(c) for c in ("entities", "features", "plan_ids", "concepts")], "scope").alias("same"))
+            return i.join(i.groupBy("same").agg(F.min("qid").alias("gid")), "same").select("qid", "gid")
+
+        return self._once("groups", make)
+
+    def _first(self, df: DataFrame) -> DataFrame:
+        """The rows of the questions that stand for their group."""
+        return df.join(self.groups.where("qid = gid").select("qid"), "qid", "left_semi")
+
+    def _each(self, df: DataFrame) -> DataFrame:
+        """The rows of a group for every question of the group."""
+        return df.withColumnRenamed("qid", "gid").join(self.groups, "gid").select("qid", *[c for c in df.columns if c != "qid"])
+
+    @property
+    def group_seeds(self) -> DataFrame:
+        return self._once("group_seeds", lambda: graph_seeds(self._first(self.intents), self._first(self.scopes), self.reqs, u.feature_hits(self.spark, self.base).select("feature_id", "plan_id")))
+
     @property
     def seeds(self) -> DataFrame:
-        return self._once("seeds", lambda: graph_seeds(self.intents, self.scopes, self.reqs, u.feature_hits(self.spark, self.base).select("feature_id", "plan_id")))
+        return self._each(self.group_seeds)
+
+    @property
+    def group_candidates(self) -> DataFrame:
+        return self._once("group_candidates", lambda: traverse(self.group_seeds, self._first(self.intents), self._first(self.scopes), self.edges, self.reqs))
 
     @property
     def candidates(self) -> DataFrame:
-        return self._once("candidates", lambda: traverse(self.seeds, self.intents, self.scopes, self.edges, self.reqs))
+        return self._each(self.group_candidates)
 
     @property
     def population(self) -> DataFrame:
-        """qid, chunk_id, scoped: the chunks that may answer a question: its candidates, else what is in its scope."""
+        """gid, chunk_id, scoped: the chunks that may answer the questions of a group: its candidates, else what is in its scope."""
 
         def make() -> DataFrame:
             r = self.reqs.select("chunk_id", g.nid("req", "req_id").alias("id"), "mno", "release")
-            near = self.candidates.select("qid", "id").join(r.select("id", "chunk_id"), "id").select("qid", "chunk_id", F.lit(True).alias("scoped"))
-            far = self.scopes.join(self.candidates.where(F.startswith("id", F.lit("req:"))).select("qid"), "qid", "left_anti").join(r, ["mno", "release"]).select("qid", "chunk_id", F.lit(False).alias("scoped"))
+            c = self.group_candidates.where(F.startswith("id", F.lit("req:"))).select(F.col("qid").alias("gid"), "id")
+            near = c.join(r.select("id", "chunk_id"), "id").select("gid", "chunk_id", F.lit(True).alias("scoped"))
+            far = self._first(self.scopes).withColumnRenamed("qid", "gid").join(c.select("gid").distinct(), "gid", "left_anti").join(r, ["mno", "release"]).select("gid", "chunk_id", F.lit(False).alias("scoped"))
             return near.unionByName(far)
 
         return self._once("population", make)
 
     @property
     def dense(self) -> DataFrame:
-        """qid, chunk_id, distance, rank: the nearest chunks of the population, as many as the type's fan-out."""
+        """qid, chunk_id, distance, rank: the nearest chunks of the population, as many as the type's fan-out. Groups become
+        questions only where both the question and the chunk have a vector."""
 
         def make() -> DataFrame:
             v = vectors(self.spark, self.base).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("x"))
-            q = v.select(F.col("chunk_id").alias("qid"), F.col("x").alias("y"))
-            pairs = self.population.join(v, "chunk_id").join(q, "qid").select("qid", "chunk_id", "scoped", F.round(tx.cosine_distance(F.col("y"), F.col("x")), 6).alias("distance"))
+            q = self.groups.join(v.select(F.col("chunk_id").alias("qid"), F.col("x").alias("y")), "qid")
+            pairs = self.population.join(v, "chunk_id").join(q, "gid").select("qid", "chunk_id", "scoped", F.round(tx.cosine_distance(F.col("y"), F.col("x")), 6).alias("distance"))
             fan = self.intents.select("qid", (F.col("k") * F.when(F.col("reranks"), 2).otherwise(1) * F.when(F.col("weight") > 0, FANOUT).otherwise(1)).alias("fan"))
             widest = max(LEAST_K, *TOP_K.values()) * 2 * FANOUT
             top = topk_per_group(pairs, ["qid"], [F.asc("distance"), F.asc("chunk_id")], widest)
@@ -239,12 +282,12 @@ class Batch:
 
         def make() -> DataFrame:
             i = self.intents.where((F.col("weight") > 0) & (F.size(tx.tokenize(F.col("question"))) > 0)).select("qid", "question", (F.col("k") * F.when(F.col("reranks"), 2).otherwise(1) * FANOUT).alias("fan"))
-            docs = self.reqs.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
-            scores = bm25(docs, i.select("qid", "question"))
-            pop = self.population.where("scoped").select("qid", "chunk_id").unionByName(self.dense.where("not scoped").select("qid", "chunk_id"))
-            all_ = pop.join(i.select("qid", "fan"), "qid").join(scores, ["qid", "chunk_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
-            widest = max(LEAST_K, *TOP_K.values()) * 2 * FANOUT
-            return topk_per_group(all_, ["qid"], [F.desc("score"), F.asc("chunk_id")], widest).where("rank <= fan").select("qid", "chunk_id", "score", "rank")
+            i = i.join(self.groups, "qid").join(self.population.where("scoped").select("gid").distinct().withColumn("scoped", F.lit(True)), "gid", "left")
+            # the key of a question with candidates is its group, of another the question itself; no id is both
+            i = self.tmp.save(i.select("qid", "question", "fan", F.when(F.col("scoped"), F.col("gid")).otherwise(F.col("qid")).alias("key")))
+            among = self.population.where("scoped").select(F.col("gid").alias("key"), "chunk_id").unionByName(self.dense.where("not scoped").select(F.col("qid").alias("key"), "chunk_id"))
+            x = Bm25(self.reqs.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text")), i.select("qid", "question"), "chunk_id", "text", K1, B, EPSILON)
+            return bm25_grid(x, self.reqs.select("chunk_id"), i.select("qid", "key", "fan"), among)
 
         return self._once("sparse", make)
 
@@ -416,7 +459,7 @@ def query_pipeline(spark: SparkSession, base: str) -> DataFrame:
     """Every question with its type, candidates, retrieved chunks, answer and the size of its context in tokens."""
     b = Batch(spark, base)
     found = b.retrieved.groupBy("qid").agg(F.count("*").alias("retrieved"))
-    cand = b.candidates.groupBy("qid").agg(F.count("*").alias("candidates"))
+    cand = b.groups.join(b.group_candidates.groupBy(F.col("qid").alias("gid")).agg(F.count("*").alias("candidates")), "gid").select("qid", "candidates")
     ctx = b.contexts.select("qid", tx.token_estimate(F.col("context")).alias("context_tokens"))
     j = b.intents.select("qid", "query_type").join(cand, "qid", "left").join(found, "qid", "left").join(ctx, "qid", "left").join(b.answers, "qid")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
